@@ -1,9 +1,16 @@
 """All registered queries by name."""
 
+from __future__ import annotations
+
+from tilewright.plans import agreement, screening
+from tilewright.plans.registry import QUERIES, SQL
+
+__all__ = ["agreement", "oracle_sql", "queries", "screening"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
