@@ -28,7 +28,7 @@ RULES = (
     ("repeats", "n_repeat_words * 50 <= n_words", "n_repeat_words * 5 >= n_words"),
     ("word_length", "word_chars between n_words * 3 and n_words * 9", "word_chars < n_words * 2 or word_chars > n_words * 14"),
     ("capitals", "n_upper * 10 <= word_chars", "n_upper * 2 >= word_chars"),
-    ("letters", "n_letters * 100 >= word_chars * 92", "n_letters * 100 < word_chars * 89"),
+    ("letters", "n_letters * 100 >= word_chars * 90", "n_letters * 100 < word_chars * 75"),
     ("symbol_share", "n_symbols * 300 <= word_chars", "n_symbols * 25 >= word_chars"),
     ("variety", "n_distinct * 100 >= least(n_words, 400) * 25", "n_distinct * 100 < least(n_words, 400) * 10"),
 )
