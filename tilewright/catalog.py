@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tilewright.plans import agreement, screening
+from tilewright.plans import agreement, rasters, screening, spatial, texts
 from tilewright.plans.registry import QUERIES, SQL
 
-__all__ = ["agreement", "oracle_sql", "queries", "screening"]
+__all__ = ["agreement", "oracle_sql", "queries", "rasters", "screening", "spatial", "texts"]
 
 
 def queries() -> dict:

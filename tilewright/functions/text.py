@@ -10,9 +10,9 @@ def strip_bom(c: Column) -> Column:
     return F.regexp_replace(c, "^﻿", "")
 
 
-def number_or_null(c: Column) -> Column:
-    """Text to double: empty, 'nan' in any case, or no number at all is NULL."""
-    v = F.expr(f"try_cast(trim({c}) as double)") if isinstance(c, str) else F.try_to_number(F.trim(c), F.lit("S999999999999D999999")).cast("double")
+def number_or_null(column: str) -> Column:
+    """A text column to double: empty, 'nan' in any case, or no number at all is NULL."""
+    v = F.expr(f"try_cast(trim(`{column}`) as double)")
     return F.when(~F.isnan(v), v)
 
 
@@ -51,7 +51,7 @@ def correspondence(lines: DataFrame, column: str = "value") -> DataFrame:
     files = F.array_distinct(F.filter(F.transform(F.split(parts[1], "[、,，]"), lambda p: F.regexp_extract(p, r"([^、,，：:（(]*?\.tif)", 1)), lambda p: p != ""))
     files = F.transform(files, F.trim)
     read = lines.where(F.size(parts) == 2).where(F.size(numbers) > 0).select(numbers.alias("numbers"), files.alias("files"))
-    return read.select(F.explode("numbers").cast("int").alias("n"), F.when(F.size("files") > 0, "linked").otherwise("unmatched").alias("status"), "files")
+    return read.select(F.explode(F.transform("numbers", lambda v: v.cast("int"))).alias("n"), F.when(F.size("files") > 0, "linked").otherwise("unmatched").alias("status"), "files")
 
 
 def not_understood(lines: DataFrame, column: str = "value") -> DataFrame:

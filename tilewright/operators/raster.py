@@ -63,7 +63,11 @@ def tiles(pixels: DataFrame, img: str, *values: str) -> DataFrame:
     """img, h, w and each value as one array in row order: a tile per row, for kernels that need their neighbours."""
     order = F.struct("y", "x", *values)
     got = pixels.groupBy(img).agg((F.max("y") + 1).cast("int").alias("h"), (F.max("x") + 1).cast("int").alias("w"), F.array_sort(F.collect_list(order)).alias("_p"))
-    return got.select(img, "h", "w", *[F.transform("_p", lambda p, v=v: p[v].cast("double")).alias(v) for v in values])
+
+    def column(v: str) -> Column:
+        return F.transform("_p", lambda p: p[v].cast("double")).alias(v)
+
+    return got.select(img, "h", "w", *map(column, values))
 
 
 def _per_tile(df: DataFrame, img: str, columns: list[str], kernel, schema: str) -> DataFrame:
