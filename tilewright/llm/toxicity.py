@@ -32,9 +32,11 @@ from tilewright.llm.common import arrow_pass, cut
 MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 4000, 8000, 20_000
 #: Least chi-squared and document count of a term; neighbours; examples of a block; weight of the base rate among votes.
 LEAST_CHI2, LEAST_DF, K, BLOCK, PRIOR_VOTE = 20.0, 4, 15, 64, 0.25
+#: A term is at least so many times as frequent in one class as in the other.
+LEAST_LIFT = 3.0
 #: Weight of a word as such, which is term 0.
 ANY_WORD = 0.05
-MEMO = 200_000
+MEMO = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -43,32 +45,50 @@ def term_names(word: str) -> tuple[str, ...]:
     return (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) >= n))
 
 
+#: For ASCII texts: letters in lower case, all else white space.
+_PLAIN = bytes(c | 32 if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, in lower case."""
+    if not text:
+        return []
+    if text.isascii():
+        return text.encode().translate(_PLAIN).decode().split()
+    return _WORD.findall(text.lower())
+
+
 class Terms:
-    """Counts of terms in whole texts; a memo keeps the terms of words that were met."""
+    """Counts of terms in whole texts; words that were met are remembered, those without any term apart."""
 
     def __init__(self, vocabulary: dict[str, int] | None = None):
-        self.vocabulary, self.memo = vocabulary, {}
+        self.vocabulary, self.memo, self.none = vocabulary, {}, set()
 
     def _of(self, word: str) -> tuple:
         got = term_names(word)
         if self.vocabulary is not None:
             got = tuple(self.vocabulary[x] for x in got if x in self.vocabulary)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
+        if len(self.memo) + len(self.none) >= MEMO:
+            self.memo, self.none = {}, set()
         if len(word) <= 40:
-            self.memo[word] = got
+            if got:
+                self.memo[word] = got
+            else:
+                self.none.add(word)
         return got
 
     def count(self, text: str | None) -> dict:
-        out: Counter = Counter()
-        memo, of = self.memo, self._of
-        words = _WORD.findall(text.lower()) if text else []
+        words = words_of(text)
+        out: dict = {}
         if words and self.vocabulary is not None:
             out[0] = len(words)
-        for word, n in Counter(words).items():
-            got = memo.get(word)
-            for x in of(word) if got is None else got:
-                out[x] += n
+        some = set(words).difference(self.none)
+        if some:
+            memo, of = self.memo, self._of
+            for word, n in Counter(filter(some.__contains__, words)).items():
+                got = memo.get(word)
+                for x in of(word) if got is None else got:
+                    out[x] = out.get(x, 0) + n
         return out
 
 
@@ -196,6 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         p, q, n = F.col("pos").cast("double"), F.col("neg").cast("double"), float(n0 + n1)
         chi2 = n * F.pow(p * (n0 - q) - q * (n1 - p), 2) / ((p + q) * (n - p - q) * n0 * n1)
         chosen = by_part.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= LEAST_DF).where(p + q < n).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
+        chosen = chosen.where((p * n0 >= LEAST_LIFT * q * n1) | (q * n1 >= LEAST_LIFT * p * n0))
         vocabulary = {"": 0} | {r["term"]: i for i, r in enumerate(chosen.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).select("term").collect(), 1)}
     everywhere = spark.sparkContext.broadcast(vocabulary)
 
