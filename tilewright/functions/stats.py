@@ -26,8 +26,7 @@ def concordance(x: Column, y: Column, least: int = 5, textbook: bool = False) ->
 def pearson(x: Column, y: Column, zero: bool = False) -> Column:
     """Correlation of the complete pairs; a column without spread gives NULL, or 0 where the caller counts it so."""
     a, b = both(x, y, x), both(x, y, y)
-    flat = (F.stddev_pop(a) == 0) | (F.stddev_pop(b) == 0)
-    r = F.when(~flat, F.corr(a, b))
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
     return F.coalesce(r, F.lit(0.0)) if zero else r
 
 

@@ -1 +1 @@
-"""operators"""
+"""Operations on tables, places, rasters and links."""

@@ -42,19 +42,20 @@ def box_pairs(nodes: DataFrame, group: list[str], reach: float) -> DataFrame:
     return met.select(*group, "i", "j", (F.col("_bx") - F.col("_ax")).alias("dx"), (F.col("_by") - F.col("_ay")).alias("dy"))
 
 
-def nearest_other(nodes: DataFrame, group: list[str], start: float, rounds: int = 12) -> DataFrame:
+def nearest_other(nodes: DataFrame, group: list[str], start: float, store, rounds: int = 24) -> DataFrame:
     """id, d: distance to the nearest other point of the group, by a search that doubles its reach for those left over.
 
     A neighbour is final only if it is within the reach, as the cells around a point hold all points that near. Groups
-    of one point have none and are left out.
+    of one point have none and are left out. store(df) writes what a round found and reads it back, so that the next
+    round's plan does not hold this one's.
     """
     sizes = nodes.groupBy(*group).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    left, found, reach = nodes.join(sizes, group, "left_semi"), None, start
-    every = left
+    every = store(nodes.join(sizes, group, "left_semi"))
+    left, found, reach = every, None, start
     for _ in range(rounds):
-        near = within(left, every, group, reach).where("a_id <> b_id").groupBy(*group, F.col("a_id").alias("id")).agg(F.min("d").alias("d"))
+        near = store(within(left, every, group, reach).where("a_id <> b_id").groupBy(*group, F.col("a_id").alias("id")).agg(F.min("d").alias("d")))
         found = near if found is None else found.unionByName(near)
-        left = left.join(near, [*group, "id"], "left_anti")
+        left = store(left.join(near, [*group, "id"], "left_anti"))
         reach *= 2
         if left.limit(1).count() == 0:
             break

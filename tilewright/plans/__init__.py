@@ -1 +1 @@
-"""plans"""
+"""Views over the given tables, and the registered queries."""

@@ -115,7 +115,7 @@ def probe_correlations(spark, d):
     """Correlation of every two structures over the tiles, with its rank and its percentile among all pairs."""
     s = scores(spark, d)
     o = s.select("vec_id", F.col("structure").alias("b"), F.col("score").alias("y"))
-    p = s.join(o, "vec_id").where("structure < b").groupBy(F.col("structure").alias("a"), "b").agg(F.corr("score", "y").alias("r")).withColumn("q", F.round("r", 9))
+    p = s.join(o, "vec_id").where("structure < b").groupBy(F.col("structure").alias("a"), "b").agg(stats.pearson(F.col("score"), F.col("y")).alias("r")).withColumn("q", F.round("r", 9))
     w = Window.orderBy(F.desc("q"))  # one row per pair of structures
     below = F.count("*").over(Window.orderBy("q").rangeBetween(Window.unboundedPreceding, 0)) - F.count("*").over(Window.partitionBy("q"))
     return p.select("a", "b", R(F.col("r"), "r"), F.rank().over(w).cast("long").alias("place"), R(below.cast("double") * 100 / F.count("*").over(Window.partitionBy()), "percentile"))

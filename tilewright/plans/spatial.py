@@ -65,7 +65,7 @@ def candidate_links(spark, d):
 
 @query(f"with {POINTS}, n as (select a.region_id, a.id, min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))) as d from pts a join pts b on a.region_id = b.region_id and a.source = 'ref' and b.source = 'ref' and a.id <> b.id group by 1, 2) select region_id, count(*) as n, round(median(d), 6) as median_nn from n group by 1")
 def nearest_neighbour_distance(spark, d):
-    n = spatial.nearest_other(stored(points(spark, d, "ref")), ["region_id"], 16.0)
+    n = spatial.nearest_other(points(spark, d, "ref"), ["region_id"], 32.0, stored)
     return n.groupBy("region_id").agg(F.count("*").alias("n"), R(F.median("d"), "median_nn"))
 
 

@@ -1 +1 @@
-"""sources"""
+"""Files as relations."""

@@ -1 +1 @@
-"""streaming"""
+"""Tables that grow while they are read."""
