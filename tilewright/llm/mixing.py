@@ -28,7 +28,7 @@ from tilewright.llm.common import WORD, cut, small_join
 
 WEIGHTS = (5, 2, 1)
 #: Documents of one run, runs that meet in a node of the tree, and copies at most.
-RUN, FAN_IN, MOST = 50_000, 32, 3.0
+RUN, FAN_IN, MOST = 4096, 32, 3.0
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -156,4 +156,5 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     if twice:
         on = on & (F.col("_nth") == F.col("_n"))
     names = docs.columns
-    return rows.join(right, on).select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select(*names)
+    # both sides are dealt by key at every size: neither has a bound, so neither is sent to all tasks
+    return rows.join(right.hint("merge"), on).select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select(*names)
