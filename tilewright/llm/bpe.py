@@ -28,6 +28,20 @@ WINDOW = 256
 CHUNK, MEMO = 1 << 16, 200_000
 
 
+#: Code points that newer character tables call letters or numbers, and the library's does not.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2,
+    0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7,
+    0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: Capitals that Python's tables do not know yet, as first and last of a run and the distance to small ones.
+CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -0xA567), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -0xA641), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+_SMALL = {c: c + step for a, b, step in CAPITALS for c in range(a, b + 1)}
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself if printable, else from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -123,7 +137,13 @@ class Tokenizer:
         self.last = [vocab[s + self.suffix] for s in signs]
         pairs = (x.split(" ") if isinstance(x, str) else x for x in model["merges"])
         self.merges = Merges((vocab[a], vocab[b], vocab[a + b]) for a, b in pairs)
-        self.words = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
+        pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        self.words = regex.compile(pattern)
+        newer = "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER)
+        self.unusual = regex.compile(f"[{newer}{''.join(map(chr, _SMALL))}]")
+        for kind in (r"[^\s\p{L}\p{N}]", r"[\p{L}]", r"[\p{N}]"):  # for texts with such characters: they are neither
+            pattern = pattern.replace(kind, f"[{kind}{'||' if '^' in kind else '--'}[{newer}]]")
+        self.careful = regex.compile(pattern, regex.V1)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.memo: dict[str, tuple[int, ...]] = {}
 
@@ -150,11 +170,14 @@ class Tokenizer:
         out: list[int] = []
         memo, ids = self.memo, self._ids
         for part in self._chunks(text):
+            words = self.words
             if not part.isascii():
                 if not is_normalized("NFC", part):
                     part = normalize("NFC", part)
                 part = part.replace("Σ", "σ")  # letters are lowered one by one, without regard to a word's end
-            for word in self.words.findall(part.lower()):
+                if self.unusual.search(part):
+                    part, words = part.translate(_SMALL), self.careful
+            for word in words.findall(part.lower()):
                 out += memo.get(word) or ids(word)
         return out
 
