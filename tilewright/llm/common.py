@@ -13,9 +13,19 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that a Python worker turns over at once.
+PIECE = 1024
+
 _own_dir: list[str] = []
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a worker holds the texts of a few rows only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; one of our own only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -36,13 +46,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_pass(df: DataFrame, columns: list, work: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+def arrow_pass(df: DataFrame, columns: list, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """One narrow pass: work turns each Arrow batch of the columns into the columns of schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield pa.RecordBatch.from_pydict(out)
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_pydict(work(batch))
 
     return df.select(*columns).mapInArrow(run, schema)
 

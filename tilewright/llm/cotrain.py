@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import arrow_pass, cut
+from tilewright.llm.common import arrow_pass, cut, pieces
 from tilewright.llm.rules import MEASURES, measure
 
 #: A view is confident at that many units of log-odds beyond what the shares of the classes say.
@@ -205,12 +205,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     places = [docs.columns.index(c) for c in (text, "source", "lang", "n_chars")]
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             x = []
             for t, s, g, n in zip(*(batch[i].to_pylist() for i in places)):
                 m = dict(zip(MEASURES, measure(t)))
                 x.append(text_bins(t, m) + meta_bins(t, m, s, g, n))
-            if x:
-                yield batch.filter(pa.array(model.score(np.array(x))[0] >= at))
+            yield batch.filter(pa.array(model.score(np.array(x))[0] >= at))
 
     return docs.mapInArrow(run, docs.schema)

@@ -210,7 +210,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     prints = cut(copy_fingerprints(docs, key, text, width), "simhash-prints")
     ids = cut(grouped(prints, radius, key), "simhash-groups")
     first = ids.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first"))
-    kept = docs.join(first.distinct(), F.col(key).eqNullSafe(F.col("_first")), "left_semi")
+    # the kept ids grow with the input, so they are dealt by key at every size and never sent to all tasks
+    kept = docs.join(first.distinct().hint("merge"), F.col(key).eqNullSafe(F.col("_first")), "left_semi")
     if ids.count() == ids.select(key).distinct().count():
         return kept
     return kept.dropDuplicates([key])  # repeated rows

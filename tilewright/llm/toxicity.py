@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import arrow_pass, cut
+from tilewright.llm.common import arrow_pass, cut, pieces
 
 MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 4000, 8000, 20_000
 #: Least chi-squared and document count of a term; neighbours; examples of a block; weight of the base rate among votes.
@@ -36,7 +36,7 @@ LEAST_CHI2, LEAST_DF, K, BLOCK, PRIOR_VOTE = 20.0, 4, 15, 64, 0.25
 LEAST_LIFT = 3.0
 #: Weight of a word as such, which is term 0.
 ANY_WORD = 0.05
-MEMO = 400_000
+MEMO = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -283,7 +283,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", at: float = 0.
     place = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             m = sent.value
             terms = _terms(m.vocabulary)
             yield batch.filter(pa.array([m.judge(terms.count(t))[0] < at for t in batch[place].to_pylist()], pa.bool_()))
