@@ -87,4 +87,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_urls": urlfilter.sql()}

@@ -11,6 +11,8 @@ the named ones are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +55,21 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return best
 
 
+def hashed(gram: Column) -> Column:
+    """A polynomial of the gram's code points, so that any SQL can say it."""
+    code = F.lit(0)
+    for i in range(1, GRAM + 1):
+        code = code * 31 + F.ascii(F.substr(gram, F.lit(i), F.lit(1)))
+    return F.pmod(code, F.lit(BUCKETS)).cast("int")
+
+
 def buckets(host: Column, path: Column) -> Column:
     """The bucket of each n-gram of host and path; the two parts have n-grams of their own. No characters: none."""
 
     def of(part: Column, mark: str) -> Column:
         whole = F.concat(F.lit(mark), part, F.lit("$"))
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - GRAM + 1, F.lit(1))), lambda i: F.substr(whole, i, F.lit(GRAM)))
-        return F.when(F.length(part) > 0, F.transform(grams, lambda g: F.pmod(F.crc32(F.encode(g, "utf-8")), F.lit(BUCKETS)).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.when(F.length(part) > 0, F.transform(grams, lambda g: hashed(g))).otherwise(F.array().cast("array<int>"))
 
     return F.array_distinct(F.concat(of(host, "^"), of(path, ">")))
 
@@ -96,5 +106,44 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple
     read = pages.select(F.col(key), host.alias("host"), path.alias("path"))
     read = read.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("_r"), buckets(F.col("host"), F.col("path")).alias("_b"))
     margin = F.aggregate("_b", F.element_at(weights, BUCKETS + 1), lambda z, b: z + F.element_at(weights, b + 1))
-    judged = read.withColumn("p_block", F.round(1 / (1 + F.exp(-margin)), 6))
+    judged = read.withColumn("p_block", F.round(1 / (1 + F.exp(-margin)), 4))
     return judged.select(key, "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", F.when(F.col("p_block") > 0.5, "block").otherwise("allow")).alias("verdict"), "p_block")
+
+
+def plain_buckets(host: str, path: str) -> set[int]:
+    out = set()
+    for part, mark in ((host, "^"), (path, ">")):
+        whole = f"{mark}{part}$"
+        for i in range(max(1, len(whole) - GRAM + 1) if part else 0):
+            code = 0
+            for c in whole[i : i + GRAM].ljust(GRAM, "\0"):
+                code = code * 31 + ord(c)
+            out.add(code % BUCKETS)
+    return out
+
+
+def plain_fit(labelled: tuple = LABELLED) -> list[float]:
+    """The weights by a loop over the labelled rows, for tests and for the SQL."""
+    rows = [(plain_buckets(h, p), y) for h, p, y in labelled]
+    k = [[1 + len(a & b) / 32 for b, _ in rows] for a, _ in rows]
+    a = [0.0] * len(rows)
+    for _ in range(STEPS):
+        margin = [sum(x * v for x, v in zip(line, a)) for line in k]
+        a = [v * (1 - RATE * RIDGE) + RATE * (y - 1 / (1 + math.exp(-m))) for v, (_, y), m in zip(a, rows, margin)]
+    return [round(sum(v for v, (b, _) in zip(a, rows) if i in b) / 32, 6) for i in range(BUCKETS)] + [round(sum(a), 6)]
+
+
+def sql(rules: tuple = RULES, labelled: tuple = LABELLED) -> str:
+    """What `judge` gives for the table pages, for DuckDB."""
+    weights = plain_fit(labelled)
+    grams = lambda part, mark: f"case when length({part}) = 0 then [] else list_transform(range(1, greatest(length('{mark}' || {part} || '$') - {GRAM - 1}, 1) + 1), lambda i: substr('{mark}' || {part} || '$', i, {GRAM})) end"
+    code = "0::bigint"
+    for i in range(1, GRAM + 1):
+        code = f"({code} * 31 + case when length(g) >= {i} then unicode(substr(g, {i}, 1)) else 0 end)"
+    fits = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then {{'rule': '{h}{p}', 'verdict': '{v}'}}" for h, p, v in sorted(rules, key=lambda r: (-len(r[0]) - len(r[1]), r)))
+    return f"""with u as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+ h as (select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0, 's'), '{UPPER}', '{LOWER}'), '') as host, coalesce(regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*', 0, 's')) + 1), '^[^?#]*', 0, 's'), '') as path from u),
+ m as (select [{", ".join(f"{w!r}::double" for w in weights)}] as w),
+ s as (select page_id, host, path, case {fits} end as r, list_distinct(list_transform(list_concat({grams("host", "^")}, {grams("path", ">")}), lambda g: {code} % {BUCKETS})) as b from h),
+ p as (select s.*, round(1 / (1 + exp(-(w[{BUCKETS + 1}] + coalesce(list_sum(list_transform(b, lambda k: w[k + 1])), 0)))), 4) as p_block from s, m)
+ select page_id, host, path, r.rule as rule, coalesce(r.verdict, case when p_block > 0.5 then 'block' else 'allow' end) as verdict, p_block from p"""
