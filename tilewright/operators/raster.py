@@ -181,3 +181,93 @@ def clean_rectangle(bad: np.ndarray) -> tuple[int, int, int, int]:
 
 def tile_rectangle(df: DataFrame, img: str, value: str, below: float) -> DataFrame:
     return _per_tile(df, img, [value], lambda a: [clean_rectangle(a < below)], "y long, x long, ny long, nx long")
+
+
+def _box(a: np.ndarray, r: int, how) -> np.ndarray:
+    p = np.pad(a, r, mode="edge")
+    return how(np.stack([p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(2 * r + 1) for j in range(2 * r + 1)]), 0)
+
+
+def closing(mask: np.ndarray, r: int) -> np.ndarray:
+    """Dilation, then erosion, with a square of 2 r + 1."""
+    return _box(_box(mask, r, np.max), r, np.min)
+
+
+def tile_closing(df: DataFrame, img: str, value: str, least: float, r: int) -> DataFrame:
+    def kernel(a: np.ndarray) -> list[tuple]:
+        mask = a >= least
+        closed = closing(mask, r)
+        return [(int(mask.sum()), int(closed.sum()), int(_box(closed, r, np.max).sum()))]
+
+    return _per_tile(df, img, [value], kernel, "before long, closed long, widened long")
+
+
+def fit_template(a: np.ndarray, t: np.ndarray) -> tuple[int, int, float]:
+    """y, x and normalised correlation of the best place of t in a; the first among equals."""
+    v = np.lib.stride_tricks.sliding_window_view(a, t.shape).reshape(-1, t.size)
+    z = v - v.mean(1, keepdims=True)
+    s = t.reshape(-1) - t.mean()
+    ncc = np.round(z @ s / np.sqrt(np.maximum((z * z).sum(1) * (s * s).sum(), 1e-12)), 9)
+    k = int(ncc.argmax())
+    return k // (a.shape[1] - t.shape[1] + 1), k % (a.shape[1] - t.shape[1] + 1), float(ncc[k])
+
+
+def tile_template(df: DataFrame, img: str, a: str, b: str, size: int) -> DataFrame:
+    def kernel(p: np.ndarray, q: np.ndarray) -> list[tuple]:
+        y, x = ((n - size) // 2 for n in q.shape)
+        return [fit_template(p, q[y : y + size, x : x + size])]
+
+    return _per_tile(df, img, [a, b], kernel, "y long, x long, ncc double")
+
+
+def tile_holes(df: DataFrame, img: str, value: str, r: int) -> DataFrame:
+    def kernel(a: np.ndarray) -> list[tuple]:
+        depth = np.maximum(_box(a, r, np.mean) - a, 0)
+        return [(float(np.percentile(depth[depth > 0], 75)) if (depth > 0).any() else 0.0, int((depth > 0).sum()))]
+
+    return _per_tile(df, img, [value], kernel, "depth double, n long")
+
+
+def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
+    """Separable blur; borders repeat."""
+    r = max(1, round(3 * sigma))
+    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    k /= k.sum()
+    for axis in (0, 1):
+        a = np.apply_along_axis(lambda line: np.convolve(np.pad(line, r, mode="edge"), k, "valid"), axis, a)
+    return a
+
+
+def tile_masked_scale(df: DataFrame, img: str, value: str, mask: str, least: float, factor: float, sigma: float) -> DataFrame:
+    def kernel(a: np.ndarray, m: np.ndarray) -> list[tuple]:
+        soft = gaussian((m >= least).astype(float), sigma)
+        out = np.clip(a * (1 + (factor - 1) * soft), 0, 255)
+        return [(float(out.mean()), int((out >= 255).sum()))]
+
+    return _per_tile(df, img, [value, mask], kernel, "mean double, clipped long")
+
+
+def equalise(a: np.ndarray, size: int, limit: float) -> np.ndarray:
+    """Histogram equalisation of each block, no bin above limit times the mean one, mapped smoothly between blocks."""
+    h, w = (n // size for n in a.shape)
+    maps = np.empty((h, w, 256))
+    for i in range(h):
+        for j in range(w):
+            n = np.bincount(a[i * size : (i + 1) * size, j * size : (j + 1) * size].astype(int).reshape(-1), minlength=256).astype(float)
+            top = max(1.0, limit * size * size / 256)
+            over = np.maximum(n - top, 0).sum()
+            maps[i, j] = np.cumsum(np.minimum(n, top) + over / 256) * 255 / (size * size)
+    y, x = np.mgrid[: a.shape[0], : a.shape[1]]
+    fy, fx = np.clip((y + 0.5) / size - 0.5, 0, h - 1), np.clip((x + 0.5) / size - 0.5, 0, w - 1)
+    y0, x0 = np.minimum(fy.astype(int), max(0, h - 2)), np.minimum(fx.astype(int), max(0, w - 2))
+    y1, x1, v = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1), a.astype(int)
+    wy, wx = fy - y0, fx - x0
+    return (maps[y0, x0, v] * (1 - wy) + maps[y1, x0, v] * wy) * (1 - wx) + (maps[y0, x1, v] * (1 - wy) + maps[y1, x1, v] * wy) * wx
+
+
+def tile_equalised(df: DataFrame, img: str, value: str, size: int, limit: float) -> DataFrame:
+    def kernel(a: np.ndarray) -> list[tuple]:
+        out = equalise(a, size, limit)
+        return [(float(out.mean()), float(out.std()))]
+
+    return _per_tile(df, img, [value], kernel, "mean double, std double")
