@@ -223,3 +223,30 @@ def test_tables(spark):
     assert [tuple(r) for r in tables.first_rows(seq, ["k"], [F.col("s")]).select("k", "v").collect()] == [(1, "x")]
     a, b = frame(spark, [(1,), (2,)], "k int"), frame(spark, [(2,), (3,)], "k int")
     assert {(r.k, r.status) for r in tables.side_status(a, b, "k").collect()} == {(1, "left_only"), (2, "both"), (3, "right_only")}
+
+
+def slow_picks(rows, k, separation):
+    out = []
+    for r in sorted(rows, key=lambda r: (-r[2], r[1])):
+        if len(out) < k and all((r[3] - o[3]) ** 2 + (r[4] - o[4]) ** 2 >= separation**2 for o in out):
+            out.append(r)
+    return [r[1] for r in out]
+
+
+def test_far_apart_equals_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(screening, "PER_PICK", 2)  # so that some groups run out of their share
+    rng = np.random.default_rng(0)
+    rows = [("a" if i % 3 else "b", i, float(rng.integers(0, 50)), float(rng.integers(0, 9)), float(rng.integers(0, 9))) for i in range(150)]
+    got = screening.far_apart(frame(spark, rows, "g string, key int, score double, x double, y double"), "g", 5, 4.0).orderBy("g", "rank").collect()
+    for g in "ab":
+        assert [r.key for r in got if r.g == g] == slow_picks([r for r in rows if r[0] == g], 5, 4.0)
+
+
+def test_round_robin_plays_again_with_larger_shares(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [("ab"[i % 2], i, float(rng.random() * 9), float(rng.integers(0, 12)), 0.0) for i in range(200)]
+    df = frame(spark, rows, "structure string, key int, score double, x double, y double")
+    play = lambda: [(r.structure, r.key) for r in screening.round_robin(df, 6, 0.0, 2.0, ["a", "b"]).orderBy("turn").collect()]
+    want = play()
+    monkeypatch.setattr(screening, "PER_PICK", 1)
+    assert play() == want and len(want) >= 4

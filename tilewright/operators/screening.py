@@ -31,34 +31,49 @@ def ranked(df: DataFrame, by: list[str], score: str, key: str, k: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Rows per pick that a group sends to its task at first; only groups that run out of them send all.
+PER_PICK = 64
+
+
+def _schema(df: DataFrame, more: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + more
+
+
 def far_apart(df: DataFrame, by: str, k: int, separation: float) -> DataFrame:
     """Greedy picks per group: the next best that is at least separation from all before it, k at most.
 
-    df: by, key, score, x, y. Only a group's own rows meet, in the order of their scores; k * 64 best rows of a group
-    would do in most cases, but the rule asks for all, so a group is one task's work and holds what it picked.
+    df: by, key, score, x, y. Picks come in the order of scores, so the k * PER_PICK best rows of a group give all of
+    them unless they hold fewer than k far apart; then the group, and only such a group, is done over all its rows.
     """
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values(["score", "key"], ascending=[False, True], kind="stable")
+        xy = rows[["x", "y"]].to_numpy()
         out: list[int] = []
-        xy = frame[["x", "y"]].to_numpy()
-        for i in frame.sort_values(["score", "key"], ascending=[False, True], kind="stable").index:
-            at = frame.index.get_loc(i)
-            if all(((xy[at] - xy[j]) ** 2).sum() >= separation * separation for j in out):
+        for at in range(len(xy)):
+            if not out or (((xy[out] - xy[at]) ** 2).sum(1) >= separation * separation).all():
                 out.append(at)
                 if len(out) == k:
                     break
-        got = frame.iloc[out].copy()
-        got["rank"] = range(1, len(got) + 1)
+        got = rows.iloc[out].copy()
+        got["rank"], got["found"] = range(1, len(got) + 1), len(got)
         return got
 
-    schema = f"{df.select(by, 'key', 'score', 'x', 'y').schema.simpleString()[7:-1]}, rank long".replace(":", " ")
-    return df.select(by, "key", "score", "x", "y").groupBy(by).applyInPandas(pick, schema)
+    rows = df.select(by, "key", "score", "x", "y")
+    best = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "key"))).where(F.col("_r") <= k * PER_PICK).drop("_r")
+    schema = _schema(rows, "rank long, found long")
+    first = best.groupBy(by).applyInPandas(pick, schema)
+    large = rows.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > k * PER_PICK).select(by)
+    short = first.where(F.col("found") < k).select(by).distinct().join(large, by, "left_semi")
+    again = rows.join(short, by, "left_semi").groupBy(by).applyInPandas(pick, schema)
+    return first.join(short, by, "left_anti").unionByName(again).drop("found")
 
 
 def round_robin(df: DataFrame, n: int, floor: float, separation: float, structures: list[str]) -> DataFrame:
     """A second tier: structures take turns with their best tile left, none under the floor or too near one taken.
 
-    The turns depend on one another, so one task plays them; it is fed only each structure's rows at or over the floor.
+    The turns depend on one another, so one task plays them, over the best rows of each structure. If a structure runs
+    out of its share while it has more, the game is played again with larger shares.
     """
 
     def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,26 +82,33 @@ def round_robin(df: DataFrame, n: int, floor: float, separation: float, structur
             return
         rows = pd.concat(parts).sort_values(["structure", "score", "key"], ascending=[True, False, True], kind="stable")
         queues = {s: list(g.itertuples(index=False)) for s, g in rows.groupby("structure", sort=False)}
-        taken: list = []
-        while len(taken) < n and any(queues.get(s) for s in structures):
+        more = {s: bool(g["_more"].any()) for s, g in rows.groupby("structure", sort=False)}
+        at, taken, dry = dict.fromkeys(queues, 0), [], False
+        while len(taken) < n and any(at[s] < len(queues[s]) for s in structures if s in queues):
             for s in structures:
-                queue = queues.get(s) or []
-                while queue:
-                    row = queue.pop(0)
+                queue = queues.get(s, [])
+                while at.get(s, 0) < len(queue):
+                    row = queue[at[s]]
+                    at[s] += 1
                     if all(row.key != t.key and (row.x - t.x) ** 2 + (row.y - t.y) ** 2 >= separation * separation for t in taken):
                         taken.append(row)
                         break
+                dry = dry or (more.get(s, False) and at[s] >= len(queue))
                 if len(taken) == n:
                     break
         out = pd.DataFrame([(t.structure, t.key, t.score, t.x, t.y) for t in taken], columns=["structure", "key", "score", "x", "y"])
-        out["turn"] = range(1, len(out) + 1)
+        out["turn"], out["dry"] = range(1, len(out) + 1), dry
         yield out
 
     rows = df.where(F.col("score") >= floor).select("structure", "key", "score", "x", "y")
-    best = Window.partitionBy("structure").orderBy(F.desc("score"), "key")
-    # n taken tiles block at most those within the separation; on a grid of tiles that is a bounded number each
-    rows = rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= n * 64).drop("_r")
-    return rows.coalesce(1).mapInPandas(play, rows.schema.simpleString()[7:-1].replace(":", " ") + ", turn long")
+    ranked_rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("structure").orderBy(F.desc("score"), "key")))
+    share = n * PER_PICK
+    while True:
+        some = ranked_rows.where(F.col("_r") <= share + 1).withColumn("_more", F.col("_r") > share).drop("_r")
+        out = some.coalesce(1).mapInPandas(play, _schema(rows, "turn long, dry boolean"))
+        if not out.where("dry").limit(1).count():
+            return out.drop("dry")
+        share *= 8
 
 
 def shortlist(scores: DataFrame, key: str, structures: list[str], top: int) -> DataFrame:
