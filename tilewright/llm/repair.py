@@ -26,8 +26,8 @@ from tilewright.llm.common import arrow_pass, cut
 
 MAGIC = b"TWRP1\0\0\0"
 #: Ids of a shard at which it is closed, rounds, least occurrences of a pair, and rules of a round at most.
-SHARD, ROUNDS, LEAST, RULES = 1 << 20, 6, 24, 8192
-END, MEMO = 2, 200_000
+SHARD, ROUNDS, LEAST, RULES = 1 << 20, 4, 24, 8192
+END, MEMO = 2, 400_000
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST, most: int = RULES) -> tuple[int, np.ndarray, np.ndarray]:
@@ -158,18 +158,37 @@ class Pieces:
         self.other = regex.compile(r"[^\t\n\r\x20-\x7E\u00A0-\u024F\u2010-\u201F\u2026\u20AC]|<\|").search
         self.memo: dict[str, bytes] = {}
 
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of pieces. Words that begin with their space are cut apart again in a row, so one call does for all."""
+        got: dict[str, bytes] = {}
+        plain = [p for p in new if len(p) > 1 and p[0] == " " and p[1:].isalpha()]
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            row = self.library.encode("".join(some), add_special_tokens=False)
+            word = np.array(row.word_ids, np.int64)
+            if len(word) and word[-1] + 1 == len(some):
+                ids = np.array(row.ids, "<u4").tobytes()
+                ends = (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
+                got.update(zip(some, (ids[a:b] for a, b in zip(ends, ends[1:]))))
+        rest = [p for p in new if p not in got]
+        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            got[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return got
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         whole = [bool(self.other(t)) for t in texts]
         cut_up = [[] if w else self.find(t) for t, w in zip(texts, whole)]
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({p for pieces in cut_up for p in pieces if p not in memo})
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            memo[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        known = self._learn(list(set().union(*cut_up).difference(memo)))
+        full = len(memo) >= MEMO  # the first words are the frequent ones; those that come later are not kept
+        memo.update(known)
         left = iter(self.library.encode_batch_fast([t for t, w in zip(texts, whole) if w], add_special_tokens=False))
-        return [np.array(next(left).ids, "<u4").tobytes() if w else b"".join(map(memo.__getitem__, pieces)) for pieces, w in zip(cut_up, whole)]
+        out = [np.array(next(left).ids, "<u4").tobytes() if w else b"".join(map(memo.__getitem__, pieces)) for pieces, w in zip(cut_up, whole)]
+        if full:
+            for p in known:
+                del memo[p]
+        return out
 
 
 _open: dict[str, Pieces] = {}
@@ -189,8 +208,8 @@ def store(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()), "keys": pa.array([keys], pa.list_(pa.int64())), "n": pa.array([n], pa.int64()), "blob": pa.array([write_shard(held)], pa.binary())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
                 for k, raw in zip(some[0].to_pylist(), tok.encode([t or "" for t in some[1].to_pylist()])):
                     ids = np.concatenate([np.frombuffer(raw, "<u4"), tail])
                     keys.append(k)
