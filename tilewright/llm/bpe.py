@@ -13,6 +13,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -49,6 +50,19 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
+#: Finds a character at or over the first of those above.
+_late = re.compile("[\u0558-\U0010FFFF]").search
+
+
+def _latin(text: str) -> bool:
+    """Whether all characters are under U+0100: such a text is composed, and its letters are no news."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Merges:
     """A merge list over integer symbols: (left, right) -> (rank, merged)."""
 
@@ -146,6 +160,8 @@ class Tokenizer:
         self.careful = regex.compile(pattern, regex.V1)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.memo: dict[str, tuple[int, ...]] = {}
+        every = range(max(self.names) + 1)
+        self.signs, self.pieces = [str(i) for i in every], [self.names.get(i, "").encode() for i in every]
 
     def _ids(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "replace")
@@ -171,11 +187,11 @@ class Tokenizer:
         memo, ids = self.memo, self._ids
         for part in self._chunks(text):
             words = self.words
-            if not part.isascii():
+            if not part.isascii() and not _latin(part):
                 if not is_normalized("NFC", part):
                     part = normalize("NFC", part)
                 part = part.replace("Σ", "σ")  # letters are lowered one by one, without regard to a word's end
-                if self.unusual.search(part):
+                if _late(part) and self.unusual.search(part):
                     part, words = part.translate(_SMALL), self.careful
             for word in words.findall(part.lower()):
                 out += memo.get(word) or ids(word)
@@ -194,7 +210,7 @@ class Tokenizer:
         return out + self._plain(text[at:])
 
     def decoder(self) -> Decoder:
-        return Decoder([self.names.get(i, "").encode() for i in range(max(self.names) + 1)], b" ")
+        return Decoder(self.pieces, b" ")
 
 
 class Decoder:
@@ -265,7 +281,7 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", b
 
     def work(batch: pa.RecordBatch) -> dict:
         tok = open_tokenizer(path)
-        back, sign = tok.decoder(), [str(i) for i in range(max(tok.names) + 1)]
+        back, sign = tok.decoder(), tok.signs
         n, ids_sha, text_sha = [], [], []
         for t in batch[1].to_pylist():
             ids, sha = tok.encode(t), hashlib.sha256()
