@@ -94,3 +94,25 @@ def test_keep_one(spark):
     twice = spark.createDataFrame([(7, "a b c", 0, "x"), (7, "a b c", 0, "x")], DOCS)
     assert S.keep_one(twice).count() == 1
     assert S.keep_one(df.limit(0)).count() == 0
+
+
+def test_several():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        slot = np.sort(rng.integers(0, 12, int(rng.integers(0, 20))))
+        cuts = [0, *sorted(rng.integers(0, len(slot) + 1, 3).tolist()), len(slot)]
+        batches = [pa.RecordBatch.from_pydict({"slot": pa.array(slot[a:b], pa.int64()), "node": pa.array(np.arange(a, b), pa.int64())}) for a, b in zip(cuts, cuts[1:]) if a < b]
+        got = [n for b in S._several(iter(batches)) for n in b[1].to_pylist()]
+        assert got == [i for i, s in enumerate(slot) if (slot == s).sum() > 1]
+
+
+def test_sparse_links_give_the_same_groups(spark):
+    rng = np.random.default_rng(8)
+    base = [int(rng.integers(0, 1 << 63)) for _ in range(12)]
+    prints = {i: base[i % 12] ^ sum(1 << int(b) for b in set(rng.integers(0, 64, 2).tolist())) for i in range(90)}
+    rows = [(i, [p & 0xFFFFFFFF, p >> 32], bytearray(p.to_bytes(8, "big"))) for i, p in prints.items()]
+    df = spark.createDataFrame(rows, "doc_id long, keys array<long>, check binary")
+    group = lambda sparse: {r.doc_id: r.component_id for r in S.grouped(df, 3, sparse=sparse).collect()}
+    assert group(True) == group(False) == slow_components(prints, 3)
