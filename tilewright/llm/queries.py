@@ -73,7 +73,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return cotrain.judge(table(spark, sf_dir, "documents"), labels)
+    return cotrain.judge(table(spark, sf_dir, "documents"), labels).withColumn("kept", F.col("predicted") == 1)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
