@@ -250,3 +250,15 @@ def test_round_robin_plays_again_with_larger_shares(spark, monkeypatch):
     want = play()
     monkeypatch.setattr(screening, "PER_PICK", 1)
     assert play() == want and len(want) >= 4
+
+
+def test_hull_simplex_and_scales():
+    square = np.argwhere(np.ones((4, 5)))
+    assert raster.hull_area(square) == 20
+    ell = np.array([p for p in square.tolist() if p[0] == 0 or p[1] == 0])
+    assert raster.hull_area(ell) == pytest.approx(20 - 0.5 * 3 * 4)
+    best, error = raster.simplex(lambda t: (t[0] - 3) ** 2 + (t[1] + 1) ** 2 + 0.5 * t[0] * t[1], [0.0, 0.0])
+    assert error == pytest.approx(min((a - 3) ** 2 + (b + 1) ** 2 + 0.5 * a * b for a in np.linspace(2, 5, 301) for b in np.linspace(-3, 0, 301)), abs=1e-3)
+    rng = np.random.default_rng(0)
+    a = rng.random((64, 64)) * 255
+    assert raster.ms_ssim(a, a) == pytest.approx(1) and raster.ms_ssim(a, np.clip(a + rng.normal(0, 40, a.shape), 0, 255)) < 0.98

@@ -271,3 +271,94 @@ def tile_equalised(df: DataFrame, img: str, value: str, size: int, limit: float)
         return [(float(out.mean()), float(out.std()))]
 
     return _per_tile(df, img, [value], kernel, "mean double, std double")
+
+
+def ms_ssim(a: np.ndarray, b: np.ndarray, weights: tuple = (0.3, 0.4, 0.3), data_range: float = 255.0) -> float:
+    """Structural similarity over halved sizes: contrast and structure at each, luminance at the last."""
+    c1, c2, out = (0.01 * data_range) ** 2, (0.03 * data_range) ** 2, 1.0
+    for i, w in enumerate(weights):
+        k = min(7, *a.shape)
+        ma, mb = _window_mean(a, k), _window_mean(b, k)
+        va, vb, cov = (_window_mean(p, k) - q for p, q in ((a * a, ma * ma), (b * b, mb * mb), (a * b, ma * mb)))
+        part = float(((2 * cov + c2) / (va + vb + c2)).mean())
+        if i == len(weights) - 1:
+            part *= float(((2 * ma * mb + c1) / (ma * ma + mb * mb + c1)).mean())
+        out *= max(part, 0.0) ** w
+        a, b = (m[: m.shape[0] // 2 * 2, : m.shape[1] // 2 * 2].reshape(m.shape[0] // 2, 2, m.shape[1] // 2, 2).mean((1, 3)) for m in (a, b))
+    return out
+
+
+def tile_ms_ssim(df: DataFrame, img: str, a: str, b: str) -> DataFrame:
+    return _per_tile(df, img, [a, b], lambda x, y: [(ms_ssim(x, y),)], "ms_ssim double")
+
+
+def hull_area(points: np.ndarray) -> float:
+    """Area of the convex hull of pixel squares, by a monotone chain over their corners."""
+    corners = sorted({(y + dy, x + dx) for y, x in points.tolist() for dy in (0, 1) for dx in (0, 1)})
+
+    def half(rows: list) -> list:
+        out: list = []
+        for p in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    h = half(corners) + half(corners[::-1])
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(h, h[1:] + h[:1]))) / 2
+
+
+def tile_hulls(df: DataFrame, img: str, value: str, least: float, size: int) -> DataFrame:
+    """blob, area, hull, solidity of the connected parts over a level."""
+
+    def kernel(a: np.ndarray) -> list[tuple]:
+        lab, out = label(a >= least), []
+        for k in range(1, int(lab.max(initial=0)) + 1):
+            p = np.argwhere(lab == k)
+            if len(p) >= size:
+                hull = hull_area(p)
+                out.append((k, len(p), hull, len(p) / hull))
+        return out
+
+    return _per_tile(df, img, [value], kernel, "blob long, area long, hull double, solidity double")
+
+
+def simplex(f, start: list[float], step: float = 0.25, rounds: int = 300, tolerance: float = 1e-9) -> tuple[np.ndarray, float]:
+    """The least of f that a Nelder-Mead simplex finds from a start."""
+    n = len(start)
+    x = np.array([start, *(np.array(start) + step * np.eye(n))], float)
+    y = np.array([f(p) for p in x])
+    for _ in range(rounds):
+        order = np.argsort(y, kind="stable")
+        x, y = x[order], y[order]
+        if y[-1] - y[0] < tolerance:
+            break
+        mid = x[:-1].mean(0)
+        trial = lambda t: (mid + t * (x[-1] - mid),)  # noqa: B023, E731
+        (r,) = trial(-1.0)
+        fr = f(r)
+        if fr < y[0]:
+            (e,) = trial(-2.0)
+            fe = f(e)
+            x[-1], y[-1] = (e, fe) if fe < fr else (r, fr)
+        elif fr < y[-2]:
+            x[-1], y[-1] = r, fr
+        else:
+            (c,) = trial(-0.5 if fr < y[-1] else 0.5)
+            fc = f(c)
+            if fc < min(fr, y[-1]):
+                x[-1], y[-1] = c, fc
+            else:
+                x[1:] = x[0] + 0.5 * (x[1:] - x[0])
+                y[1:] = [f(p) for p in x[1:]]
+    return x[y.argmin()], float(y.min())
+
+
+def tile_fit(df: DataFrame, img: str, a: str, b: str) -> DataFrame:
+    """gain and offset that bring a nearest to b (mean absolute difference), by simplex."""
+
+    def kernel(p: np.ndarray, q: np.ndarray) -> list[tuple]:
+        best, error = simplex(lambda t: float(np.abs(t[0] * p + t[1] * 100 - q).mean()), [1.0, 0.0])
+        return [(float(best[0]), float(best[1] * 100), error)]
+
+    return _per_tile(df, img, [a, b], kernel, "gain double, shift double, error double")

@@ -190,3 +190,33 @@ def blurred_stain(spark, d):
 def local_contrast(spark, d):
     """Contrast-limited equalisation by tiles of eight pixels."""
     return raster.tile_equalised(whole_tiles(spark, d, "v"), "img", "v", 8, 4.0).select("img", R(F.col("mean"), "mean"), R(F.col("std"), "std"))
+
+
+@query(f"""with {PIXELS}, m as (select img, floor(u/50)::bigint as inst, count(*) as n, var_pop(y) as vy, var_pop(x) as vx, covar_pop(y, x) as c from pixels where u >= 50 group by 1, 2 having count(*) >= 5),
+ e as (select *, (vy+vx)/2 + sqrt(pow((vy-vx)/2, 2) + c*c) as l1, (vy+vx)/2 - sqrt(pow((vy-vx)/2, 2) + c*c) as l2 from m) select img, inst, n, round(4*sqrt(l1), 6) as major, round(4*sqrt(greatest(l2, 0)), 6) as minor_, round(sqrt(greatest(1 - l2/l1, 0)), 5) as eccentricity, round(2*sqrt(n/pi()), 6) as eqdiam from e where l1 > 0""")
+def instance_ellipses(spark, d):
+    """Axes and eccentricity of the ellipse with an object's second moments, and the diameter of a disc of its area."""
+    o = pixels(spark, d).where("u >= 50").select("img", F.floor(F.col("u") / 50).alias("inst"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    m = o.groupBy("img", "inst").agg(F.count("*").alias("n"), F.var_pop("y").alias("vy"), F.var_pop("x").alias("vx"), F.covar_pop("y", "x").alias("c")).where("n >= 5")
+    half, root = (F.col("vy") + F.col("vx")) / 2, F.sqrt(F.pow((F.col("vy") - F.col("vx")) / 2, 2) + F.col("c") * F.col("c"))
+    e = m.withColumn("l1", half + root).withColumn("l2", half - root).where("l1 > 0")
+    zero = F.lit(0.0)
+    return e.select("img", "inst", "n", R(4 * F.sqrt("l1"), "major"), R(4 * F.sqrt(F.greatest("l2", zero)), "minor_"), R(F.sqrt(F.greatest(1 - F.col("l2") / F.col("l1"), zero)), "eccentricity", 5), R(2 * F.sqrt(F.col("n") / F.pi()), "eqdiam"))
+
+
+@query()
+def multi_scale_similarity(spark, d):
+    return raster.tile_ms_ssim(whole_tiles(spark, d, "v", "u"), "img", "v", "u").withColumn("ms_ssim", F.round("ms_ssim", 6))
+
+
+@query()
+def blob_solidity(spark, d):
+    """How much of its convex hull each bright part fills."""
+    return raster.tile_hulls(whole_tiles(spark, d, "v"), "img", "v", 150.0, 5).withColumn("solidity", F.round("solidity", 6))
+
+
+@query()
+def fitted_levels(spark, d):
+    """Gain and shift that bring one channel nearest to another, by a simplex search per image."""
+    f = raster.tile_fit(whole_tiles(spark, d, "v", "u"), "img", "v", "u")
+    return f.select("img", *[R(F.col(c), c, 3) for c in ("gain", "shift", "error")])
