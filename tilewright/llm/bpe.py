@@ -25,8 +25,10 @@ from tilewright.llm.common import arrow_pass
 
 #: Symbols that a window of the transducer has beyond the lookahead.
 WINDOW = 256
-#: Characters that the text stream hands on at a time, and words that the memo keeps.
-CHUNK, MEMO = 1 << 16, 200_000
+#: Symbols up to which merges are done one at a time.
+SHORT = 48
+#: Characters that the text stream hands on at a time; words that the memo keeps, and misses after which it starts anew.
+CHUNK, MEMO, STALE = 1 << 16, 300_000, 3_000_000
 
 
 #: Code points that newer character tables call letters or numbers, and the library's does not.
@@ -74,6 +76,7 @@ class Merges:
             self.rank.setdefault((a, b), (k, c))
             self.parts.setdefault(c, (a, b))
             self.length.setdefault(c, self.length.get(a, 1) + self.length.get(b, 1))
+        self.order, self.made = {p: k for p, (k, _) in self.rank.items()}, {k: c for k, c in self.rank.values()}
         self.lookahead = self._lookahead()
 
     def _right_edge(self, symbol: int) -> Iterator[int]:
@@ -99,6 +102,8 @@ class Merges:
 
     def merge(self, symbols: list[int]) -> list[int]:
         """All merges of the symbols: lowest rank first, leftmost first."""
+        if len(symbols) <= SHORT:
+            return self._merge_short(symbols)
         rank, none = self.rank, (1 << 60, -1)
         while len(symbols) > 1:
             found = [rank.get(p, none) for p in zip(symbols, symbols[1:])]
@@ -117,6 +122,24 @@ class Merges:
         return symbols
 
 
+    def _merge_short(self, symbols: list[int]) -> list[int]:
+        """One merge at a time, of which only the two neighbours are looked up anew."""
+        get, none = self.order.get, 1 << 60
+        found = [get(p, none) for p in zip(symbols, symbols[1:])]
+        while found:
+            best = min(found)
+            if best == none:
+                break
+            i = found.index(best)
+            symbols[i : i + 2] = [self.made[best]]
+            del found[i]
+            if i:
+                found[i - 1] = get((symbols[i - 1], symbols[i]), none)
+            if i < len(found):
+                found[i] = get((symbols[i], symbols[i + 1]), none)
+        return symbols
+
+
 def transduce(symbols: Iterable[int], merges: Merges, window: int = WINDOW) -> Iterator[int]:
     """The ids of a stream of symbols, each as soon as it is stable; holds window + lookahead symbols and one token."""
     held: list[int] = []
@@ -160,6 +183,7 @@ class Tokenizer:
         self.careful = regex.compile(pattern, regex.V1)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.missed = 0
         every = range(max(self.names) + 1)
         self.signs, self.pieces = [str(i) for i in every], [self.names.get(i, "").encode() for i in every]
 
@@ -167,10 +191,14 @@ class Tokenizer:
         raw = word.encode("utf-8", "replace")
         stream = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
         ids = tuple(self.merges.merge(stream) if len(stream) <= WINDOW else transduce(stream, self.merges))
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        if len(word) <= 64:
-            self.memo[word] = ids
+        if len(self.memo) < MEMO:  # the first words are the frequent ones
+            if len(word) <= 64:
+                self.memo[word] = ids
+        else:
+            self.missed += 1
+            if self.missed > STALE:
+                self.memo.clear()
+                self.missed = 0
         return ids
 
     def _chunks(self, text: str) -> Iterator[str]:
