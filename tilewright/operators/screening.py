@@ -39,11 +39,12 @@ def _schema(df: DataFrame, more: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + more
 
 
-def far_apart(df: DataFrame, by: str, k: int, separation: float) -> DataFrame:
+def far_apart(df: DataFrame, by: str, k: int, separation: float, store=lambda rows: rows) -> DataFrame:
     """Greedy picks per group: the next best that is at least separation from all before it, k at most.
 
     df: by, key, score, x, y. Picks come in the order of scores, so the k * PER_PICK best rows of a group give all of
     them unless they hold fewer than k far apart; then the group, and only such a group, is done over all its rows.
+    store(rows) may write rows and read them back, so that scores and first picks are computed once.
     """
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
@@ -59,17 +60,17 @@ def far_apart(df: DataFrame, by: str, k: int, separation: float) -> DataFrame:
         got["rank"], got["found"] = range(1, len(got) + 1), len(got)
         return got
 
-    rows = df.select(by, "key", "score", "x", "y")
+    rows = store(df.select(by, "key", "score", "x", "y"))
     best = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "key"))).where(F.col("_r") <= k * PER_PICK).drop("_r")
     schema = _schema(rows, "rank long, found long")
-    first = best.groupBy(by).applyInPandas(pick, schema)
+    first = store(best.groupBy(by).applyInPandas(pick, schema))
     large = rows.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > k * PER_PICK).select(by)
     short = first.where(F.col("found") < k).select(by).distinct().join(large, by, "left_semi")
     again = rows.join(short, by, "left_semi").groupBy(by).applyInPandas(pick, schema)
     return first.join(short, by, "left_anti").unionByName(again).drop("found")
 
 
-def round_robin(df: DataFrame, n: int, floor: float, separation: float, structures: list[str]) -> DataFrame:
+def round_robin(df: DataFrame, n: int, floor: float, separation: float, structures: list[str], store=lambda rows: rows) -> DataFrame:
     """A second tier: structures take turns with their best tile left, none under the floor or too near one taken.
 
     The turns depend on one another, so one task plays them, over the best rows of each structure. If a structure runs
@@ -100,12 +101,12 @@ def round_robin(df: DataFrame, n: int, floor: float, separation: float, structur
         out["turn"], out["dry"] = range(1, len(out) + 1), dry
         yield out
 
-    rows = df.where(F.col("score") >= floor).select("structure", "key", "score", "x", "y")
+    rows = store(df.where(F.col("score") >= floor).select("structure", "key", "score", "x", "y"))
     ranked_rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("structure").orderBy(F.desc("score"), "key")))
     share = n * PER_PICK
     while True:
         some = ranked_rows.where(F.col("_r") <= share + 1).withColumn("_more", F.col("_r") > share).drop("_r")
-        out = some.coalesce(1).mapInPandas(play, _schema(rows, "turn long, dry boolean"))
+        out = store(some.coalesce(1).mapInPandas(play, _schema(rows, "turn long, dry boolean")))
         if not out.where("dry").limit(1).count():
             return out.drop("dry")
         share *= 8

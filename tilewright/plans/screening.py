@@ -11,6 +11,7 @@ from tilewright.operators import screening as ops
 from tilewright.operators import tables
 from tilewright.plans.agreement import R
 from tilewright.plans.registry import query
+from tilewright.plans.spatial import stored
 from tilewright.plans.views import MANIFEST, SCORES, TILES, manifest, scores, table, tiles
 
 Z = f"""{SCORES}, z as (select vec_id, structure, score, round((score - avg(score) over (partition by structure))/(stddev_pop(score) over (partition by structure) + 1e-9), 6) as z from scores)"""
@@ -91,14 +92,14 @@ def separated_picks(spark, d):
     """Per structure the best tiles that keep two tiles' distance; which one comes next depends on those before it."""
     t = tiles(spark, d).select("vec_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     s = z_scores(spark, d).join(t, "vec_id").select("structure", F.col("vec_id").alias("key"), F.col("z").alias("score"), "x", "y")
-    return ops.far_apart(s, "structure", 6, 512.0)
+    return ops.far_apart(s, "structure", 6, 512.0, stored)
 
 
 @query()
 def second_tier(spark, d):
     t = tiles(spark, d).select("vec_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     s = z_scores(spark, d).join(t, "vec_id").select(F.col("structure").cast("string").alias("structure"), F.col("vec_id").alias("key"), F.col("z").alias("score"), "x", "y")
-    return ops.round_robin(s, 24, 0.5, 512.0, [str(i) for i in range(10)])
+    return ops.round_robin(s, 24, 0.5, 512.0, [str(i) for i in range(10)], stored)
 
 
 @query(f"with {Z}, r as (select *, row_number() over (partition by structure order by z desc, vec_id) as rank from z qualify rank <= 4), f as (select vec_id, min(structure*10 + rank) as seq from r group by 1) select vec_id, row_number() over (order by seq) as n from f")
