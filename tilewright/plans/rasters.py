@@ -12,7 +12,7 @@ from tilewright.plans.registry import query
 from tilewright.plans.views import PIXELS, pixels
 
 #: Tiles of 20 pixels every 12: shifted copies of an image that overlap.
-OVER = f"{PIXELS}, placed as (select img, y, x, v, u, ty, tx, y - ty as oy, x - tx as ox, (ty//12)*2 + tx//12 as tile from pixels, (values (0), (12)) a(ty), (values (0), (12)) b(tx) where y >= ty and y < ty + 20 and x >= tx and x < tx + 20)"
+OVER = f"{PIXELS}, placed as (select img, y, x, v, u, ty, tx, y - ty as oy, x - tx as ox, ((ty//12)*2 + tx//12)::bigint as tile from pixels, (values (0), (12)) a(ty), (values (0), (12)) b(tx) where y >= ty and y < ty + 20 and x >= tx and x < tx + 20)"
 
 
 def placed(spark, d):
