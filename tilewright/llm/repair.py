@@ -13,12 +13,12 @@ kept, each with a place of its own; rows with a null id come first; an empty tab
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +28,8 @@ MAGIC = b"TWRP1\0\0\0"
 #: Ids of a shard at which it is closed, rounds, least occurrences of a pair, and rules of a round at most.
 SHARD, ROUNDS, LEAST, RULES = 1 << 20, 4, 24, 8192
 END, MEMO = 2, 400_000
+#: The letters and numbers among the characters that texts are cut up at here (up to U+024F).
+LETTERS, NUMBERS = r"A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"0-9\u00B2\u00B3\u00B9\u00BC-\u00BE"
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST, most: int = RULES) -> tuple[int, np.ndarray, np.ndarray]:
@@ -154,8 +156,10 @@ class Pieces:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.find = regex.compile(pattern).findall
-        self.other = regex.compile(r"[^\t\n\r\x20-\x7E\u00A0-\u024F\u2010-\u201F\u2026\u20AC]|<\|").search
+        for kind, own in ((r"[^\s\p{L}\p{N}]", f"[^\\s{LETTERS}{NUMBERS}]"), (r"\p{L}", f"[{LETTERS}]"), (r"\p{N}", f"[{NUMBERS}]")):
+            pattern = pattern.replace(kind, own)
+        self.find = re.compile(pattern).findall
+        self.other = re.compile(r"[^\t\n\r\x20-\x7E\u00A0-\u024F\u2010-\u201F\u2026\u20AC]|<\|").search
         self.memo: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
