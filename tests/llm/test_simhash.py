@@ -96,6 +96,37 @@ def test_keep_one(spark):
     assert S.keep_one(df.limit(0)).count() == 0
 
 
+def edited_texts(rng, n=60):
+    """Texts of 60 to 400 short or long words, and each with a passage appended, dropped or words swapped."""
+    word = lambda most: "".join(map(chr, rng.integers(97, 123, int(rng.integers(2, most)))))
+    texts = {}
+    for i in range(n):
+        size, most = int(rng.integers(60, 400)), 5 if i % 4 == 0 else 11
+        base = [word(most) for _ in range(size)]
+        part = int(size * rng.uniform(0.05, 0.24))
+        swapped = base[:]
+        for at in rng.choice(size, max(1, size // 60), replace=False):
+            swapped[at] = word(most)
+        for k, w in enumerate((base, base + [word(most) for _ in range(part)], base[: size - part], swapped)):
+            texts[4 * i + k] = " ".join(w)
+    return texts
+
+
+def test_copies_equal_a_full_scan(spark):
+    texts = edited_texts(np.random.default_rng(11))
+    sets = {i: set(S.shingles(t, 5)) for i, t in texts.items()}
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((group[a], group[b]))
+                group = {i: x if g == y else g for i, g in group.items()}
+    want = {i for i, g in group.items() if i == g}
+    assert len(want) < 140  # most edits are copies, and some are too far
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in texts.items()], DOCS)
+    assert {r.doc_id for r in S.keep_one(df).collect()} == want
+
+
 def test_several():
     import pyarrow as pa
 
