@@ -25,6 +25,19 @@ def test_measures(text):
     assert m["n_repeat_words"] == len({j for i, w in enumerate(windows) if n[w] > 1 for j in range(i, i + 5)})
 
 
+def test_variety_covers_the_whole_text(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
+    start, few = [word() for _ in range(800)], [word() for _ in range(12)]
+    salad = lambda n: rng.choice(few, n).tolist()
+    texts = [start, start + salad(900), start[:450] + salad(410), start[:300], start + ["a"] * 20, []]
+    got = [R.measure(" ".join(t))[R.MEASURES.index("n_distinct")] for t in texts]
+    slow = [min(len(set(t[i : i + 400])) for i in [*range(0, max(1, len(t) - 399), 400), max(0, len(t) - 400)]) for t in texts]
+    assert got == slow and got[0] == 400 and got[1] == got[2] == 12 and got[3] == 300 and got[4] == 381 and got[5] == 0
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 1, "", "") for i, t in enumerate(texts[:3])], DOCS)
+    assert [r.pattern[-1] for r in R.votes(R.measures(df)).orderBy("doc_id").collect()] == ["2", "1", "1"]
+
+
 def test_em_finds_the_rules_accuracies():
     rng = np.random.default_rng(0)
     good = rng.random(20_000) < 0.8

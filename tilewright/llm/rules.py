@@ -36,6 +36,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 _NO_SYMBOLS = str.maketrans("", "", SYMBOLS)
 _SPACES = str.maketrans("", "", " \t\n\x0b\x0c\r")
 WINDOW = 5
+#: Words of a block in which distinct ones are counted, as the variety rule has it, so a text's length doesn't matter.
+BLOCK = 400
 
 
 def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -80,6 +82,12 @@ def _repeat_words_plain(words: list[bytes], window: int) -> int:
     return len({j for i, w in enumerate(windows) if seen[w] > 1 for j in range(i, i + window)})
 
 
+def least_distinct(words: list[bytes], block: int = BLOCK) -> int:
+    """Distinct words of the poorest block of a whole text: consecutive ones, and the last words; fewer: all of them."""
+    n = len(words)
+    return min((len(set(words[i : i + block])) for i in [*range(0, n - block, block), max(0, n - block)]), default=0)
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     """The measures of a whole text, in the order of MEASURES."""
     text = text or ""
@@ -98,7 +106,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     low = text.lower()
     upper = sum(a != b for a, b in zip(text, low)) if len(low) == len(text) and low != text else 0
     letters = len(bare) - sum(map(bare.count, "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
-    return len(words), len(bare), symbols, dup, repeat_words(words), lines, upper, letters, len(set(words[:400]))
+    return len(words), len(bare), symbols, dup, repeat_words(words), lines, upper, letters, least_distinct(words)
 
 
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
