@@ -27,7 +27,7 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def toxic_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+def toxic_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Fitted:
     return toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "toxic"))
 
 

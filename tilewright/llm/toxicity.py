@@ -1,19 +1,26 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their beginnings; those that depend on the label among the labelled examples (chi-squared) make the
-vocabulary, and their document frequencies are counted over all documents. The number of words is a term too, of a small
-fixed weight, so that a text's length counts in its cosine as all its other words would. Examples lie in blocks; a term has its largest
-weight per block, so the bound of a block's best cosine is one small product. Blocks are scored exactly in the order of
-their bounds until no bound reaches the k-th best cosine: the neighbours are those of a full scan. Their distance-weighted
-votes, with the base rate as a small vote of its own, are calibrated on the examples themselves, each left out in turn.
-
-The examples are a bounded sample (`MOST_TOXIC`, `MOST_CLEAN`, by a hash of the id), and so is the vocabulary
-(`MOST_TERMS`); both travel to every task. Everything else covers all rows.
-
-Defined results: a null or empty text has no terms and no neighbours, and scores the calibrated base rate; labels that are
-null, or of documents that aren't there, are ignored; an id that is labelled twice counts as toxic if one label says so;
-with no labels, or with one class only, all scores are the base rate (0 with no labels); ties between neighbours go to the
-smaller position in the index, where examples are ordered; repeated rows give equal rows; an empty table an empty result.
+Terms are words and their first five letters; all terms of the labelled examples are indexed, none is left out.
+Document frequencies are counted over all documents. A term's weight is tf times idf times its tie to the label among the
+examples (1 - `CHI2` / chi-squared, at least 0) plus `FLOOR`, so words that say nothing about the label count little, but
+count, in vectors and norms alike. (Plain tf-idf ranks held-out documents clearly worse; the README has figures.)
+
+Examples lie in blocks, alike ones together. Terms that many examples have are stored as dense rows of each block with
+their largest weight, the others as postings. The bound of a block is the best of its examples by the postings alone plus
+what the dense terms can add at most. Blocks are scored in the order of their bounds until no bound reaches the k-th best
+cosine, and the best are scored once more in double precision: the neighbours are those of a full scan. Their
+distance-weighted votes, with the base rate as a small vote of its own, are calibrated on one in five examples, which
+neither the index nor the ties to the label have seen.
+
+The examples are a bounded sample (`MOST_TOXIC`, `MOST_CLEAN`, by a hash of the id); what travels to every task is their
+terms. Everything else covers all rows.
+
+Defined results: a null or empty text, or one that shares no term with the examples, has no neighbours and scores the
+calibrated base rate; labels that are null, or of documents that aren't there, are ignored; an id that is labelled twice
+counts as toxic if one label says so, and of documents that share an id the smallest text is the example; with no labels,
+or with one class only, all scores are the base rate (0 with no labels); ties between neighbours go to the smaller id;
+repeated rows give equal rows; a very long text is one bag of words like any other; an empty table gives an empty result;
+other columns pass through `keep_clean` whatever their names, and `score` ignores them. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -21,138 +28,257 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import arrow_pass, cut, pieces
-
-MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 4000, 8000, 20_000
-#: Least chi-squared and document count of a term; neighbours; examples of a block; weight of the base rate among votes.
-LEAST_CHI2, LEAST_DF, K, BLOCK, PRIOR_VOTE = 20.0, 4, 15, 64, 0.25
-#: A term is at least so many times as frequent in one class as in the other.
-LEAST_LIFT = 3.0
-#: Weight of a word as such, which is term 0.
-ANY_WORD = 0.05
-MEMO = 250_000
+from tilewright.llm.common import cut, pieces
+
+MOST_TOXIC, MOST_CLEAN = 4000, 8000
+#: Neighbours, examples of a block, weight of the base rate among votes, and one in so many examples for calibration.
+K, BLOCK, PRIOR_VOTE, HELD = 15, 64, 0.25, 5
+#: What ties a term to the label: chi-squared at which a tie begins to count, and the weight of terms without any.
+CHI2, FLOOR = 20.0, 0.02
+#: Terms that at least one in so many examples have are dense, the most frequent ones at most; blocks scored at first.
+DENSE_SHARE, DENSE_MOST, FIRST = 16, 2048, 4
+#: Texts scored together, terms whose counts travel together, words that the memo keeps.
+TOGETHER, SLICE, MEMO = 128, 4096, 250_000
+#: Beyond what single precision can be wrong by.
+MARGIN = 2e-5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Of a word, letters that make a term of their own; words of the examples count by both.
+START = 5
+
+
 def term_names(word: str) -> tuple[str, ...]:
-    """A word's terms: itself, and its first four and five letters."""
-    return (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) >= n))
+    """A word's terms: itself, and its first letters."""
+    return (word, f"{word[:START]}*") if len(word) >= START else (word,)
 
 
-#: For ASCII texts: letters in lower case, all else white space.
-_PLAIN = bytes(c | 32 if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+#: For texts of Latin-1: letters in lower case, all else white space.
+_PLAIN = bytes(ord(c.lower()) if _WORD.fullmatch(c := chr(i)) else 32 for i in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, in lower case."""
     if not text:
         return []
-    if text.isascii():
-        return text.encode().translate(_PLAIN).decode().split()
-    return _WORD.findall(text.lower())
+    try:
+        return text.encode("latin-1").translate(_PLAIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text.lower())
 
 
 class Terms:
-    """Counts of terms in whole texts; words that were met are remembered, those without any term apart."""
+    """Counts of a vocabulary's terms in whole texts. A word that was met is remembered as one number for its two terms."""
 
-    def __init__(self, vocabulary: dict[str, int] | None = None):
-        self.vocabulary, self.memo, self.none = vocabulary, {}, set()
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary, self.size, self.memo = vocabulary, len(vocabulary) + 1, {}
 
-    def _of(self, word: str) -> tuple:
-        got = term_names(word)
-        if self.vocabulary is not None:
-            got = tuple(self.vocabulary[x] for x in got if x in self.vocabulary)
-        if len(self.memo) + len(self.none) >= MEMO:
-            self.memo, self.none = {}, set()
+    def _learn(self, word: str) -> int:
+        of = self.vocabulary.get
+        got = (of(word, -1) + 1) * self.size + (of(f"{word[:START]}*", -1) + 1 if len(word) >= START else 0)
         if len(word) <= 40:
-            if got:
-                self.memo[word] = got
-            else:
-                self.none.add(word)
+            self.memo[word] = got
         return got
 
-    def count(self, text: str | None) -> dict:
-        words = words_of(text)
-        out: dict = {}
-        if words and self.vocabulary is not None:
-            out[0] = len(words)
-        some = set(words).difference(self.none)
-        if some:
-            memo, of = self.memo, self._of
-            for word, n in Counter(filter(some.__contains__, words)).items():
-                got = memo.get(word)
-                for x in of(word) if got is None else got:
-                    out[x] = out.get(x, 0) + n
-        return out
+    def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts one after the other: terms in ascending order, their counts, and where each text's begin."""
+        if len(self.memo) >= MEMO:
+            self.memo = {}
+        words = [words_of(t) for t in texts]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        flat = list(chain.from_iterable(words))
+        both = np.fromiter(map(self.memo.get, flat, repeat(-1)), np.int64, len(flat))
+        for i in np.flatnonzero(both < 0).tolist():
+            both[i] = self._learn(flat[i])
+        text = np.repeat(np.arange(len(texts)), size)
+        part = np.concatenate([both // self.size, both % self.size])
+        keys = (np.concatenate([text, text]) * self.size + part)[part > 0]
+        keys, n = np.unique(keys, return_counts=True)
+        return keys % self.size - 1, n.astype(np.float64), np.searchsorted(keys, np.arange(len(texts) + 1) * self.size)
+
+    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Terms in ascending order and their counts, of each text."""
+        t, n, begin = self.count(texts)
+        return [(t[a:b], n[a:b]) for a, b in zip(begin.tolist(), begin[1:].tolist())]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges (start, start + size), one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _bisect(x: np.ndarray, block: int) -> np.ndarray:
+    """An order of the rows in which alike ones share a block: halves along the direction of the largest spread."""
+    order, parts = np.arange(len(x)), [(0, len(x))]
+    while parts:
+        a, b = parts.pop()
+        if b - a <= block:
+            continue
+        own = x[order[a:b]]
+        own = own - own.mean(0)
+        v = own[int(np.argmax((own * own).sum(1)))]
+        for _ in range(4):
+            v = own.T @ (own @ v)
+            size = float(np.sqrt((v * v).sum()))
+            if not size:
+                break
+            v = v / size
+        order[a:b] = order[a:b][np.argsort(own @ v, kind="stable")]
+        middle = a + max(1, (b - a) // block // 2) * block
+        parts += [(a, middle), (middle, b)]
+    return order
 
 
 class Index:
-    """Examples by block and term. idf, and per term the postings (example, weight) in order."""
-
-    def __init__(self, examples: list[tuple[int, int, dict]], idf: np.ndarray):
-        """examples: id, label, term counts."""
-        self.idf = idf
-        rows = [(i, y, *self.vector(c)) for i, y, c in examples]
-        rows.sort(key=lambda r: (int(r[2][np.argmax(r[3])]) if len(r[2]) else -1, r[0]))  # alike ones share a block
-        self.ids, self.labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-        self.n, self.blocks = len(rows), max(1, -(-len(rows) // BLOCK))
-        who = np.concatenate([np.full(len(r[2]), k) for k, r in enumerate(rows)] or [np.zeros(0)]).astype(np.int64)
-        term = np.concatenate([r[2] for r in rows] or [np.zeros(0)]).astype(np.int64)
-        weight = np.concatenate([r[3] for r in rows] or [np.zeros(0)])
-        order = np.lexsort((who, term))
-        self.who, self.weight = who[order], weight[order]
-        slot = term[order] * self.blocks + self.who // BLOCK
-        self.start = np.searchsorted(slot, np.arange(len(idf) * self.blocks + 1)).astype(np.int32)
-        self.top = np.zeros((len(idf), self.blocks), np.float64)
-        np.maximum.at(self.top.reshape(-1), slot, self.weight)
-
-    def vector(self, counts: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of unit length: tf idf."""
-        t = np.fromiter(counts.keys(), np.int64, len(counts))
-        w = np.fromiter(counts.values(), np.float64, len(counts)) * self.idf[t]
-        return t, w / (np.sqrt((w * w).sum()) or 1.0)
-
-    def _score(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Exact cosines with all examples, of which only those in the blocks are filled in."""
-        slot = (t[:, None] * self.blocks + blocks[None, :]).reshape(-1)
-        a, n = self.start[slot], self.start[slot + 1] - self.start[slot]
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.bincount(self.who[at], np.repeat(np.repeat(w, len(blocks)), n) * self.weight[at], self.n)
-
-    def nearest(self, counts: dict, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest with a cosine over 0, best first. without: a position that doesn't count."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not counts or not self.n:
-            return none
-        t, w = self.vector(counts)
-        bound = w @ self.top[t]
-        order = np.argsort(-bound, kind="stable")
-        first = order[: max(4, -(-2 * k // BLOCK))]
-        cosine = self._score(t, w, first)
-        if without >= 0:
-            cosine[without] = 0
-        least = np.partition(cosine, -k)[-k] if self.n > k else 0.0
-        more = order[len(first) :]
-        more = more[bound[more] >= max(least - 1e-9, 1e-12)]
-        if len(more):
-            cosine += self._score(t, w, more)
-            if without >= 0:
-                cosine[without] = 0
-        near = np.argsort(-cosine, kind="stable")[:k] if self.n <= 4 * k else self._first(cosine, k)
-        near = near[cosine[near] > 1e-12]
-        return near, cosine[near]
-
-    @staticmethod
-    def _first(cosine: np.ndarray, k: int) -> np.ndarray:
-        least = np.partition(cosine, -k)[-k]
-        some = np.flatnonzero(cosine >= least)
-        return some[np.argsort(-cosine[some], kind="stable")][:k]
+    """The examples by block. It is built where it is first used, from the examples' terms alone."""
+
+    def __init__(self, ids: list, labels: np.ndarray, offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray, gain: np.ndarray):
+        """Example i has terms[offsets[i] : offsets[i + 1]] (ascending), counts alike; gain: idf times tie, per term."""
+        self.raw = ids, labels.astype(np.float64), offsets.astype(np.int64), terms.astype(np.int32), counts.astype(np.int32), gain.astype(np.float64)
+        self.n, self.built = len(ids), False
+
+    def __getstate__(self):
+        return {"raw": self.raw, "n": self.n, "built": False}
+
+    def build(self) -> None:
+        if self.built:
+            return
+        ids, labels, offsets, terms, counts, gain = self.raw
+        n, size = self.n, np.diff(offsets)
+        who = np.repeat(np.arange(n), size)
+        weight = counts * gain[terms]
+        norm = np.sqrt(np.bincount(who, weight * weight, n))
+        weight = weight / np.where(norm > 0, norm, 1.0)[who]
+        df = np.bincount(terms, minlength=len(gain))
+        often = np.argsort(-df, kind="stable")[:DENSE_MOST]
+        often = np.sort(often[df[often] * DENSE_SHARE >= max(n, 1)])
+        self.dense = np.full(len(gain), -1, np.int32)
+        self.dense[often] = np.arange(len(often))
+        column = self.dense[terms]
+        full = np.zeros((n, len(often)), np.float32)
+        full[who[column >= 0], column[column >= 0]] = weight[column >= 0]
+        order = _bisect(full, BLOCK)
+        # by block: ids, labels, and each example's own terms for the scores in double precision
+        self.ids, self.labels = [ids[i] for i in order], labels[order]
+        at = _ranges(offsets[:-1][order], size[order])
+        self.begin = np.concatenate([[0], np.cumsum(size[order])])
+        self.terms, self.weight = terms[at], weight[at]
+        self.blocks = max(1, -(-n // BLOCK))
+        wide = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
+        wide[:n] = full[order]
+        self.rows = np.ascontiguousarray(wide.reshape(self.blocks, BLOCK, -1).transpose(0, 2, 1))  # block, dense term, example
+        self.top = np.ascontiguousarray(self.rows.max(2).T)
+        rare = self.dense[self.terms] < 0
+        t, w = self.terms[rare], np.repeat(np.arange(n, dtype=np.int32), size[order])[rare]
+        by = np.argsort(t, kind="stable")
+        self.who, self.part = w[by], self.weight[rare][by].astype(np.float32)
+        self.start = np.searchsorted(t[by], np.arange(len(gain) + 1))
+        self.gain, self.scratch, self.built = gain, np.zeros(len(gain)), True
+        rank = sorted(range(n), key=lambda i: (str(type(self.ids[i])), self.ids[i]))
+        self.rank = np.empty(n, np.int64)
+        self.rank[rank] = np.arange(n)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each (terms, counts): positions and cosines of the k nearest with a cosine over 0, best first."""
+        self.build()
+        out = []
+        for at in range(0, len(vectors), TOGETHER):
+            out += self._nearest(vectors[at : at + TOGETHER], k)
+        return out
+
+    def _nearest(self, vectors: list, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        m, wide = len(vectors), self.blocks * BLOCK
+        query, score, weights = np.zeros((m, self.rows.shape[1]), np.float32), np.zeros((m, wide), np.float32), []
+        for i, (t, n) in enumerate(vectors):
+            w = n * self.gain[t]
+            w = w / (np.sqrt((w * w).sum()) or 1.0)
+            weights.append(w)
+            place = self.dense[t]
+            some = place >= 0
+            query[i, place[some]] = w[some]
+            a = self.start[t]
+            size = self.start[t + 1] - a
+            p = _ranges(a, size)
+            if len(p):
+                score[i] = np.bincount(self.who[p], np.repeat(w.astype(np.float32), size) * self.part[p], wide)
+        by_block = score.reshape(m, self.blocks, BLOCK)
+        bound = by_block.max(2) + query @ self.top + MARGIN
+        done = np.zeros((m, self.blocks), bool)
+        exact = np.zeros((m, wide), np.float32)
+        k = min(k, self.n)
+
+        def fill(need: np.ndarray) -> None:
+            for b in np.flatnonzero(need.any(0)).tolist():
+                rows = np.flatnonzero(need[:, b])
+                exact[rows, b * BLOCK : (b + 1) * BLOCK] = by_block[rows, b] + query[rows] @ self.rows[b]
+            done[need] = True
+
+        top = np.argsort(-bound, 1, kind="stable")[:, :FIRST]
+        first = np.zeros_like(done)
+        np.put_along_axis(first, top, True, 1)
+        fill(first)
+        some = np.take_along_axis(exact.reshape(m, self.blocks, BLOCK), top[:, :, None], 1).reshape(m, -1)
+        least = np.partition(some, some.shape[1] - min(k, some.shape[1]), 1)[:, some.shape[1] - min(k, some.shape[1])]
+        fill((bound >= np.maximum(least, MARGIN)[:, None]) & ~done)
+        out = []
+        for (t, _), w, x, l in zip(vectors, weights, exact, least.tolist()):
+            near = np.flatnonzero(x >= max(l - MARGIN, 1e-12))
+            if len(near) > k:  # the k-th best of all is at least that of the first blocks
+                own = x[near]
+                near = near[own >= np.partition(own, len(own) - k)[len(own) - k] - MARGIN]
+            out.append(self._exactly(t, w, near, k))
+        return out
+
+    def _exactly(self, t: np.ndarray, w: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines with some examples in double precision; the best k, of equal ones the smaller ids."""
+        if not len(near):
+            return near, np.zeros(0)
+        self.scratch[t] = w
+        size = self.begin[near + 1] - self.begin[near]
+        at = _ranges(self.begin[near], size)
+        cosine = np.add.reduceat(self.scratch[self.terms[at]] * self.weight[at], np.cumsum(size) - size)
+        self.scratch[t] = 0.0
+        order = np.lexsort((self.rank[near], -np.round(cosine, 12)))[:k]
+        order = order[cosine[order] > 1e-12]
+        return near[order], np.round(cosine[order], 12)
+
+
+def platt(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: tuple[float, float] = (0.0, 1.0), ridge: float = 1.0, steps: int = 100) -> tuple[float, float]:
+    """Intercept and slope of a logistic regression on x, drawn to start; damped Newton steps on smoothed targets.
+
+    A step is halved until the penalised likelihood doesn't fall, so the fit can't diverge however well x parts the classes.
+    """
+    n1, n0 = float(w[y > 0].sum()), float(w[y <= 0].sum())
+    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    X, at = np.stack([np.ones_like(x), x], 1), np.array(start)
+
+    def loss(beta: np.ndarray) -> float:
+        z = X @ beta
+        return float((w * (np.logaddexp(0, z) - target * z)).sum() + 0.5 * ridge * ((beta - at) ** 2).sum())
+
+    beta, now = at.copy(), loss(at)
+    for _ in range(steps):
+        z = X @ beta
+        p = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), 1 - 1 / (1 + np.exp(-np.abs(z))))
+        grad = X.T @ (w * (target - p)) - ridge * (beta - at)
+        step = np.linalg.solve((X * (w * p * (1 - p))[:, None]).T @ X + ridge * np.eye(2), grad)
+        if np.abs(grad).max() < 1e-8:
+            break
+        while True:
+            new = loss(beta + step)
+            if new <= now or np.abs(step).max() < 1e-12:
+                break
+            step = step / 2
+        beta, now = beta + step, min(new, now)
+    return float(beta[0]), float(beta[1])
 
 
 class Model:
@@ -160,132 +286,190 @@ class Model:
         """weight: of a clean and of a toxic example, for the parts of each class that the sample holds."""
         self.vocabulary, self.index, self.weight, self.base = vocabulary, index, weight, base
         self.line = (0.0, 1.0)
-        self.plain: tuple | None = None
+        self.terms: Terms | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"terms": None}
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        y = self.index.labels[near]
-        w = cosine / (1.05 - cosine) * np.where(y > 0, self.weight[1], self.weight[0])
+        """The share of toxic neighbours, the near ones counting more, and the base rate with a small vote of its own."""
+        y = self.index.labels[near] if len(near) else np.zeros(0)
+        w = cosine / (1.05 - np.minimum(cosine, 1.0)) * np.where(y > 0, self.weight[1], self.weight[0])
         v = (float((w * y).sum()) + PRIOR_VOTE * self.base) / (float(w.sum()) + PRIOR_VOTE)
         return min(max(v, 1e-4), 1 - 1e-4)
 
-    def calibrated(self, vote: float) -> float:
-        a, b = self.line
-        return 1 / (1 + math.exp(-min(max(a + b * math.log(vote / (1 - vote)), -30), 30)))
-
-    def calibrate(self, counts: list[dict]) -> None:
-        """Fits the line from the examples' own votes, each without itself. counts: in the order of the index."""
-        votes = np.array([self.vote(*self.index.nearest(c, without=i)) for i, c in enumerate(counts)])
-        x, y = np.log(votes / (1 - votes)), self.index.labels
-        w = np.where(y > 0, self.weight[1], self.weight[0])
-        X, beta = np.stack([np.ones_like(x), x], 1), np.array([0.0, 1.0])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(X @ beta, -30, 30)))
-            grad = X.T @ (w * (y - p)) + 1.0 * (np.array([0.0, 1.0]) - beta)  # pulled a little towards the votes themselves
-            beta = beta + np.linalg.solve((X * (w * p * (1 - p))[:, None]).T @ X + np.eye(2), grad)
-        self.line = (float(beta[0]), float(max(beta[1], 0.05)))
-
-    def judge(self, counts: dict) -> tuple[float, list[int], list[float]]:
-        if len(counts) == 1 and 0 in counts:  # words of no weight: whatever their number, their direction is one
-            if self.plain is None:
-                near, cosine = self.index.nearest({0: 1})
-                self.plain = self.calibrated(self.vote(near, cosine)), self.index.ids[near].tolist(), cosine.tolist()
-            return self.plain
-        near, cosine = self.index.nearest(counts)
-        return self.calibrated(self.vote(near, cosine)), self.index.ids[near].tolist(), cosine.tolist()
-
-
-def _sample(labels: DataFrame, key: str, label: str) -> DataFrame:
-    """One row per labelled id, at most so many of each class, the first by a hash of the id."""
-    one = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("_y"))
-    part = lambda y, n: one.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
-    return part(1, MOST_TOXIC).unionByName(part(0, MOST_CLEAN))
+    def calibrated(self, vote: float, line: tuple[float, float]) -> float:
+        return 1 / (1 + math.exp(-min(max(line[0] + line[1] * math.log(vote / (1 - vote)), -30), 30)))
+
+    def judge(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each text the vote before calibration, and positions and cosines of its neighbours."""
+        if not self.index.n:
+            return [(min(max(self.base, 1e-4), 1 - 1e-4), np.zeros(0, np.int64), np.zeros(0)) for _ in texts]
+        if self.terms is None:
+            self.terms = Terms(self.vocabulary)
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            found = self.index.nearest(self.terms.vectors(texts[at : at + TOGETHER]))
+            out += [(self.vote(near, cosine), near, cosine) for near, cosine in found]
+        return out
 
+    def scores(self, votes: list[float], line: tuple[float, float]) -> list[float]:
+        return [self.calibrated(v, line) if self.index.n else self.base for v in votes]
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """labels: rows of (key, label) to learn from."""
-    spark = docs.sparkSession
-    own = F.broadcast(_sample(labels, key, label))  # MOST_TOXIC + MOST_CLEAN rows at most
-    examples = cut(docs.join(own, F.col(key) == F.col("_id")).select(F.col("_id").cast("long").alias("id"), F.col("_y").alias("y"), F.col(text).alias("text")).dropDuplicates(["id"]), "tox-examples")
-    sizes = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    whole = labels.where(F.col(label).isNotNull()).select(F.count_if(F.col(label) > 0).alias("pos"), F.count_if(~(F.col(label) > 0)).alias("neg")).first()
-    base = whole["pos"] / max(1, whole["pos"] + whole["neg"])
-    vocabulary: dict[str, int] = {}
-    if n0 and n1:
-        by_part = arrow_pass(examples, ["y", "text"], _frequencies, "term string, pos long, neg long")
-        p, q, n = F.col("pos").cast("double"), F.col("neg").cast("double"), float(n0 + n1)
-        chi2 = n * F.pow(p * (n0 - q) - q * (n1 - p), 2) / ((p + q) * (n - p - q) * n0 * n1)
-        chosen = by_part.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= LEAST_DF).where(p + q < n).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-        chosen = chosen.where((p * n0 >= LEAST_LIFT * q * n1) | (q * n1 >= LEAST_LIFT * p * n0))
-        vocabulary = {"": 0} | {r["term"]: i for i, r in enumerate(chosen.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).select("term").collect(), 1)}
-    everywhere = spark.sparkContext.broadcast(vocabulary)
-
-    def frequencies(batch: pa.RecordBatch) -> dict:
-        terms, df = _terms(everywhere.value), Counter()
-        for t in batch[0].to_pylist():
-            df.update(terms.count(t).keys())
-        return {"term": pa.array([-1, *df], pa.int32()), "df": pa.array([batch.num_rows, *df.values()], pa.int64())}
-
-    df = {r["term"]: r["df"] for r in arrow_pass(docs, [text], frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()} if vocabulary else {}
-    idf = np.array([math.log((df.get(-1, 0) + 1) / (df.get(i, 0) + 1)) + 1 if i else ANY_WORD for i in range(len(vocabulary))])
-
-    def vectors(batch: pa.RecordBatch) -> dict:
-        got = [_terms(everywhere.value).count(t) for t in batch[2].to_pylist()]
-        return {"id": batch[0], "y": batch[1], "t": pa.array([list(c) for c in got], pa.list_(pa.int32())), "n": pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))}
-
-    rows = arrow_pass(examples, ["id", "y", "text"], vectors, "id long, y int, t array<int>, n array<int>").collect() if vocabulary else []
-    counts = {r["id"]: dict(sorted(zip(r["t"], r["n"]))) for r in rows}
-    index = Index([(r["id"], r["y"], counts[r["id"]]) for r in rows], idf)
-    weight = (whole["neg"] / n0 if n0 else 1.0, whole["pos"] / n1 if n1 else 1.0)
-    model = Model(vocabulary, index, (weight[0] / max(weight), weight[1] / max(weight)), base)
-    if vocabulary:
-        model.calibrate([counts[i] for i in index.ids.tolist()])
-    return model
-
-
-_cached: dict[int, Terms] = {}
-
-
-def _terms(vocabulary: dict[str, int]) -> Terms:
-    """One memo per vocabulary and Python worker."""
-    key = hash(tuple(vocabulary.items())) if len(vocabulary) < 50 else hash((len(vocabulary), *list(vocabulary)[:: max(1, len(vocabulary) // 40)]))
-    got = _cached.get(key)
-    if got is None or got.vocabulary != vocabulary:
-        _cached.clear()
-        got = _cached[key] = Terms(vocabulary)
-    return got
-
-
-def _frequencies(batch: pa.RecordBatch) -> dict:
-    terms, both = Terms(), (Counter(), Counter())
-    for y, t in zip(batch[0].to_pylist(), batch[1].to_pylist()):
-        both[y].update(terms.count(t).keys())
+
+class Fitted:
+    """A model that is on its way to every task, and the line that calibrates it."""
+
+    def __init__(self, sent, line: tuple[float, float]):
+        self.sent, self.line = sent, line
+
+
+def _narrow(df: DataFrame, columns: list, work, schema: str) -> DataFrame:
+    """work gets the slices of all batches of a partition and gives batches."""
+    return df.select(*columns).mapInArrow(lambda batches: work(pieces(batches)), schema)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    both = Counter(), Counter()
+    for batch in batches:
+        for y, t in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+            both[y].update(set(chain.from_iterable(map(term_names, set(words_of(t))))))
     names = list({**both[0], **both[1]})
-    return {"term": names, "pos": pa.array([both[1][x] for x in names], pa.int64()), "neg": pa.array([both[0][x] for x in names], pa.int64())}
+    for at in range(0, len(names), 1 << 16):
+        some = names[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_pydict({"term": some, "pos": pa.array([both[1][x] for x in some], pa.int64()), "neg": pa.array([both[0][x] for x in some], pa.int64())})
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows that come sorted by slice, the sums of the counts; one slice is held at a time."""
+    at, held = None, None
+
+    def give():
+        return pa.RecordBatch.from_pydict({"slice": pa.array([at], pa.int32()), "n": pa.array([held.tobytes()], pa.binary())})
+
+    for batch in batches:
+        for s, raw in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+            if s != at:
+                if at is not None:
+                    yield give()
+                at, held = s, np.zeros(len(raw) // 8, np.int64)
+            held += np.frombuffer(raw, np.int64)
+    if at is not None:
+        yield give()
+
+
+def document_frequencies(docs: DataFrame, vocabulary: dict[str, int], text: str = "text") -> tuple[int, np.ndarray]:
+    """Rows of docs, and of how many each term is a part. A task sends one number per term, whatever its number of rows."""
+    size = len(vocabulary) + 1
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, n = Terms(sent.value), np.zeros(-(-size // SLICE) * SLICE, np.int64)
+        for batch in batches:
+            n[size - 1] += batch.num_rows
+            for part in pieces([batch], TOGETHER):
+                n += np.bincount(terms.count(part[0].to_pylist())[0], minlength=len(n))
+        for s, part in enumerate(n.reshape(-1, SLICE)):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "n": pa.array([part.tobytes()], pa.binary())})
+
+    parts = _narrow(docs, [F.col(text).alias("text")], count, "slice int, n binary")
+    total = np.zeros(-(-size // SLICE) * SLICE, np.int64)
+    for r in parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(_added, "slice int, n binary").collect():  # 8 bytes a term
+        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["n"], np.int64)
+    sent.destroy()
+    return int(total[size - 1]), total[: size - 1]
+
+
+def _sample(there: DataFrame) -> DataFrame:
+    """At most so many of each class, the first by a hash of the id. there: id, y."""
+    part = lambda y, n: there.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
+    return part(1, MOST_TOXIC).unionByName(part(0, MOST_CLEAN))
+
+
+def ties(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """FLOOR, and beyond it what a term's chi-squared against the label says: 0 up to CHI2, towards 1 above."""
+    n = float(n0 + n1)
+    spread = (pos + neg) * (n - pos - neg) * n0 * n1
+    chi2 = n * (pos * (n0 - neg) - neg * (n1 - pos)) ** 2 / np.where(spread > 0, spread, 1.0)
+    return FLOOR + np.maximum(0.0, 1 - CHI2 / np.maximum(chi2, 1e-9))
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Fitted:
+    """labels: rows of (key, label) to learn from."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    one = labels.select(F.col(key).alias("id"), F.col(label).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y"))
+    there = cut(one.join(rows.select("id"), "id", "left_semi"), "tox-labels")
+    whole = {r["y"]: r["n"] for r in there.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    neg, pos = whole.get(0, 0), whole.get(1, 0)
+    base = pos / max(1, pos + neg)
+    own = F.broadcast(_sample(there))  # MOST_TOXIC + MOST_CLEAN rows at most
+    held = F.pmod(F.xxhash64("id", F.lit("held")), F.lit(HELD)) == 0
+    examples = cut(rows.join(own, "id").groupBy("id", "y").agg(F.min("text").alias("text")).withColumn("held", held), "tox-examples")
+    sizes = {(r["y"], r["held"]): r["n"] for r in examples.groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = sizes.get((0, False), 0), sizes.get((1, False), 0)
+    known = examples.where("not held")
+    if not n0 or not n1:
+        empty = Index([], np.zeros(0), np.zeros(1), np.zeros(0), np.zeros(0), np.zeros(0))
+        return Fitted(spark.sparkContext.broadcast(Model({}, empty, (1.0, 1.0), base)), (0.0, 1.0))
+    found = _narrow(known, ["y", "text"], _frequencies, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).orderBy("term").toArrow()
+    vocabulary = dict(zip(found["term"].to_pylist(), range(found.num_rows)))
+    n, df = document_frequencies(rows, vocabulary)
+    gain = (np.log((n + 1) / (df + 1)) + 1) * ties(found["pos"].to_numpy().astype(np.float64), found["neg"].to_numpy().astype(np.float64), n1, n0)
+    del found
+    sent = spark.sparkContext.broadcast(vocabulary)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(sent.value)
+        for batch in batches:
+            got = terms.vectors(batch[2].to_pylist())
+            raw = lambda i: pa.array([g[i].astype(np.int32).tobytes() for g in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], raw(0), raw(1)], ["id", "y", "t", "n"])
+
+    kind = dict(rows.dtypes)["id"]
+    got = _narrow(known, ["id", "y", "text"], vectors, f"id {kind}, y int, t binary, n binary").orderBy("id").toArrow()
+    sent.destroy()
+    terms, counts = (np.concatenate([np.frombuffer(b.as_buffer(), np.int32) for b in got[c]]) for c in ("t", "n"))
+    sizes_of = np.array([len(b.as_buffer()) // 4 for b in got["t"]], np.int64)
+    index = Index(got["id"].to_pylist(), got["y"].to_numpy(), np.concatenate([[0], np.cumsum(sizes_of)]), terms, counts, gain)
+    took = {y: sum(v for (a, _), v in sizes.items() if a == y) for y in (0, 1)}
+    share = neg / took[0], pos / took[1]
+    weight = share[0] / max(share), share[1] / max(share)
+    model = spark.sparkContext.broadcast(Model(vocabulary, index, weight, base))
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"y": batch[0], "vote": pa.array([v for v, *_ in model.value.judge(batch[1].to_pylist())], pa.float64())})
+
+    cast = _narrow(examples.where("held"), ["y", "text"], votes, "y int, vote double").orderBy("vote", "y").collect()  # one in HELD examples
+    v, y = np.array([r["vote"] for r in cast]), np.array([r["y"] for r in cast], np.float64)
+    return Fitted(model, platt(np.log(v / (1 - v)), y, np.where(y > 0, weight[1], weight[0])))
+
+
+def score(docs: DataFrame, fitted: Fitted, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score, neighbours (ids of the nearest examples), cosines."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, line, kind = fitted.sent, fitted.line, dict(docs.select(F.col(key)).dtypes)[key]
 
-    def work(batch: pa.RecordBatch) -> dict:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        terms = _terms(m.vocabulary)
-        got = [m.judge(terms.count(t)) for t in batch[1].to_pylist()]
-        return {key: batch[0], "score": [g[0] for g in got], "neighbours": pa.array([g[1] for g in got], pa.list_(pa.int64())), "cosines": pa.array([g[2] for g in got], pa.list_(pa.float64()))}
+        for batch in batches:
+            got = m.judge(batch[1].to_pylist())
+            ids = [[m.index.ids[i] for i in near.tolist()] for _, near, _ in got]
+            arrays = [batch[0], pa.array(m.scores([v for v, *_ in got], line), pa.float64()), pa.array(ids, pa.list_(batch[0].type)), pa.array([c.tolist() for *_, c in got], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, [key, "score", "neighbours", "cosines"])
 
-    return arrow_pass(docs, [key, text], work, f"{key} {dict(docs.dtypes)[key]}, score double, neighbours array<long>, cosines array<double>")
+    return _narrow(docs, [F.col(key), F.col(text).alias("text")], work, f"`{key}` {kind}, score double, neighbours array<{kind}>, cosines array<double>")
 
 
-def keep_clean(docs: DataFrame, model: Model, text: str = "text", at: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, fitted: Fitted, text: str = "text", at: float = 0.5) -> DataFrame:
     """The rows whose score is under at, with all their columns; a narrow pass."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text)
+    sent, line, place = fitted.sent, fitted.line, docs.columns.index(text)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
         for batch in pieces(batches):
-            m = sent.value
-            terms = _terms(m.vocabulary)
-            yield batch.filter(pa.array([m.judge(terms.count(t))[0] < at for t in batch[place].to_pylist()], pa.bool_()))
+            scores = m.scores([v for v, *_ in m.judge(batch[place].to_pylist())], line)
+            yield batch.filter(pa.array([s < at for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
