@@ -1,13 +1,13 @@
 """Token-ID output compressed by Re-Pair grammars, one per shard.
 
-A shard is a run of documents in ascending order of their ids. Its ids form one sequence, in which frequent pairs are
-replaced by nonterminals, round after round. Within a round every symbol is either one that may begin a pair or one that
-may end one (by a hash that changes with the round), so no two occurrences overlap and a round is a few vector
-operations. A shard keeps its rules, the length that each nonterminal expands to and the documents' places, so any
-document is read without expanding the others.
-
-Defined results: a null or empty text has only the end id; equal ids keep the order of their texts; repeated rows are
-kept, each with a place of its own; rows with a null id come first; an empty table gives no shards and no rows.
+A shard is a run of documents in ascending order of their ids. Its ids form one sequence, in which pairs that occur often
+are replaced by nonterminals, round after round, until no pair occurs `LEAST` times. A round is a few vector operations:
+pairs are ranked by frequency, and where two overlap, the more frequent one is replaced. A shard keeps its rules, the
+length that each nonterminal expands to and the documents' places, so any document is read without expanding the others.
+
+Defined results: a null or empty text has only the end id; equal ids keep the order of their texts' hashes; repeated rows
+are kept, each with a place of its own; rows with a null id come first; a very long text is one document of one shard; an
+empty table gives no shards and no rows; other columns are ignored. Ids are integers.
 """
 
 from __future__ import annotations
@@ -22,53 +22,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import arrow_pass, cut
+from tilewright.llm.common import arrow_pass, cut, small_join
 
 MAGIC = b"TWRP1\0\0\0"
-#: Ids of a shard at which it is closed, rounds, least occurrences of a pair, and rules of a round at most.
-SHARD, ROUNDS, LEAST, RULES = 1 << 20, 4, 24, 8192
+#: Ids of a shard at which it is closed, least occurrences of a pair, and characters of a part of the documents.
+SHARD, LEAST, PART = 1 << 20, 24, 1 << 24
 END, MEMO = 2, 400_000
 #: The letters and numbers among the characters that texts are cut up at here (up to U+024F).
 LETTERS, NUMBERS = r"A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"0-9\u00B2\u00B3\u00B9\u00BC-\u00BE"
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST, most: int = RULES) -> tuple[int, np.ndarray, np.ndarray]:
-    """first nonterminal, rules (n, 2), sequence. Nonterminal k stands for the pair of rule k."""
+def _pairs(seq: np.ndarray, known: int, least: int, live: np.ndarray) -> np.ndarray:
+    """The rank of the pair that begins at each place among those that occur least times or more: 1 for the rarest, 0 for
+    none. Equal ids in a row are paired from the first one on, so occurrences of one pair never overlap.
+
+    live: places whose pair can occur so often. A round only makes pairs rarer, but for those with a
+    nonterminal that it put in.
+    """
+    n, bits = len(seq) - 1, int(known - 1).bit_length()
+    rank = np.zeros(n + 2, np.int64)  # one place before the first, one behind the last
+    code = seq[:-1].astype(np.uint64) << np.uint64(bits) | seq[1:]
+    live |= seq[:-1] == seq[1:]  # what was inside of a row of equal ids may now begin one
+    again = np.flatnonzero(code[1:] == code[:-1]) + 1  # the pair before begins with the same three equal ids
+    if len(again):
+        run = np.concatenate([[0], np.cumsum(np.diff(again) != 1)])
+        first = again[np.searchsorted(run, run)]
+        live[again] = (again - first) % 2 == 1
+    use = np.flatnonzero(live)
+    width = int(n).bit_length()
+    if 2 * bits + width <= 64:  # code and place in one number, so one sort of numbers does
+        both = np.sort(code[use] << np.uint64(width) | use.astype(np.uint64))
+        at, code = (both & np.uint64((1 << width) - 1)).astype(np.int64), both >> np.uint64(width)
+    else:
+        order = np.argsort(code[use], kind="stable")
+        at, code = use[order], code[use][order]
+    edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    times = np.diff(np.append(edge, len(code)))
+    often = np.flatnonzero(times >= least)
+    ranks = np.zeros(len(edge), np.int64)
+    ranks[often[np.argsort(times[often], kind="stable")]] = np.arange(1, len(often) + 1)
+    rank[at + 1] = np.repeat(ranks, times)
+    return rank
+
+
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray]:
+    """first nonterminal, rules (n, 2), sequence. Nonterminal k stands for the pair of rule k.
+
+    In a round every pair that occurs least times is ranked by its frequency, and an occurrence is replaced where its
+    pair ranks higher than the pairs that overlap it. The most frequent pair is thus replaced wherever it occurs, so each
+    round makes a rule, and the rounds end when no pair occurs least times.
+    """
     seq = ids.astype(np.uint32)
     first = int(seq.max(initial=0)) + 1
-    rules: list[np.ndarray] = []
-    known = first
-    for r in range(rounds):
-        if len(seq) < 2 * least:
+    symbols: dict[tuple[int, int], int] = {}  # a pair that comes up again gets the nonterminal that it had
+    live = np.ones(max(0, len(seq) - 1), bool)
+    while len(seq) >= 2 * least:
+        rank = _pairs(seq, first + len(symbols), least, live)
+        here = rank[1:-1]
+        at = np.flatnonzero((here > rank[:-2]) & (here > rank[2:]))
+        if not len(at):
             break
-        side = (seq * np.uint32(2654435761) >> np.uint32(7 + 3 * r)) & np.uint32(1)
-        at = np.flatnonzero((side[:-1] == 0) & (side[1:] == 1))
-        pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        bits = int(known - 1).bit_length()
-        code = (seq[at] << np.uint32(bits)) | seq[at + 1] if bits <= 16 else pair
-        order = np.sort(code)
-        edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
-        n = np.diff(np.append(edge, len(order)))
-        often = np.flatnonzero(n >= least)
-        if not len(often):
-            continue
-        if len(often) > most:
-            often = np.sort(often[np.argsort(-n[often], kind="stable")[:most]])
-        chosen = order[edge[often]]
-        place = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
-        hit = chosen[place] == code
-        where = at[hit]
-        a = seq[where]
-        b = seq[where + 1]
-        new = np.empty((len(chosen), 2), np.uint32)
-        new[place[hit], 0], new[place[hit], 1] = a, b
-        rules.append(new)
-        seq[where] = known + place[hit]
-        keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
-        seq = seq[keep]
-        known += len(chosen)
-    return first, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq
+        pair = here[at]
+        times = np.bincount(pair)
+        number = np.cumsum(times >= least) - 1  # pairs that are replaced too seldom wait for a later round
+        at = at[times[pair] >= least]
+        pair = number[here[at]]
+        new = np.empty((int(number[-1]) + 1, 2), np.uint32)
+        new[pair, 0], new[pair, 1] = seq[at], seq[at + 1]
+        for rule in map(tuple, new.tolist()):
+            symbols.setdefault(rule, first + len(symbols))
+        put = np.fromiter((symbols[rule] for rule in map(tuple, new.tolist())), np.uint32, len(new))
+        seq[at] = put[pair]
+        keep, touched = np.ones(len(seq), bool), np.zeros(first + len(symbols), bool)
+        keep[at + 1], touched[put] = False, True
+        seq, often = seq[keep], (rank[1:] > 0)[keep]
+        fresh = touched[seq]
+        live = often[:-1] | fresh[:-1] | fresh[1:]
+    rules = np.array(list(symbols), np.uint32).reshape(-1, 2)
+    return first, rules, seq
 
 
 def expand(seq: np.ndarray, first: int, rules: np.ndarray) -> np.ndarray:
@@ -225,15 +256,21 @@ def store(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
         if held:
             yield close()
 
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("text"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    parts = -(-(rows.select(F.sum(F.length("text"))).first()[0] or 0) // PART)
+    ordered = rows.repartitionByRange(max(1, parts), "key").sortWithinPartitions("key", F.xxhash64("text"))
     return cut(ordered.mapInArrow(run, "part int, shard int, keys array<long>, n long, blob binary"), "id-shards")
 
 
 def read(shards: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, start, n_tokens, ids_crc32 of every document, from the stored files."""
-    order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    begins = shards.select("part", "shard", "n").select(F.col("part").alias("_p"), F.col("shard").alias("_s"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("begin"))  # a row per shard
-    placed = shards.select("part", "shard", "keys", "blob").join(begins, (F.col("part") == F.col("_p")) & (F.col("shard") == F.col("_s")))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = shards.select("part", "shard", "n")
+    totals = sizes.groupBy("part").agg(F.sum("n").alias("n")).select(F.col("part").alias("_p"), before(Window.orderBy("part")).alias("base"))  # a row per part
+    own = sizes.select("part", "shard", before(Window.partitionBy("part").orderBy("shard")).alias("inside"))
+    begins = own.join(totals, F.col("part") == F.col("_p")).select(F.col("part").alias("_p"), F.col("shard").alias("_s"), (F.col("base") + F.col("inside")).alias("begin"))
+    # the few numbers of the shards travel to the blobs, not the other way round, as long as they are few
+    placed = small_join(shards.select("part", "shard", "keys", "blob"), cut(begins, "id-begins"), (F.col("part") == F.col("_p")) & (F.col("shard") == F.col("_s")), "inner")
 
     def work(batch: pa.RecordBatch) -> dict:
         keys, start, n, crc = [], [], [], []
