@@ -6,7 +6,8 @@ import pytest
 
 from tilewright.llm import mixing as M
 
-DOCS = "doc_id long, text string, source string, target string, key string"
+DOCS = "doc_id long, text string, source string, target string, key string, mark int, _key string, _mark string, _k int, _n int, copies int, copy int, row int, nth int, size int, node int"
+REST = ("t", "k", 1, "mine", "too", 2, 3, 4, 5, 6, 7, 8, 9)
 
 
 def slow_targets(sizes: dict, weights=(5, 2, 1), most=3.0):
@@ -32,7 +33,7 @@ def test_targets(spark, sizes):
 
 def corpus(spark, n=3000):
     rng = np.random.default_rng(2)
-    rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), [None, "a", "b", "c", "a", "a"][i % 6], "t", "k") for i in range(n)]
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), [None, "a", "b", "c", "a", "a"][i % 6], *REST) for i in range(n)]
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -52,7 +53,7 @@ def test_mix(spark):
         assert 0 <= r.copies <= 3 and r.copies in (int(r.target / r.source_size), int(r.target / r.source_size) + 1)
     assert dict(size) == {r.source: r.source_size for r in a.values()}
     assert target == pytest.approx(slow_targets(size))
-    assert all(abs(taken[s] - target[s]) <= 60 for s in target)
+    assert {s: round(abs(taken[s] - target[s]), 2) for s in target if abs(taken[s] - target[s]) > 20} == {}  # sizes go up to 59, and a run has few documents here
     df2 = M.mix(df)
     assert df2.columns == df.columns
     counts = {r.doc_id: r["count"] for r in df2.groupBy("doc_id").count().collect()}
@@ -76,13 +77,53 @@ def test_expected_copies_are_kept():
 
 def test_size_is_the_contracts_pattern(spark):
     texts = ["a b", None, "", " \t\n", "x\x1cy\x85z q r\x0bs"]
-    df = spark.createDataFrame([(i, t, "s", "", "") for i, t in enumerate(texts)], DOCS)
+    df = spark.createDataFrame([(i, t, "s", *REST) for i, t in enumerate(texts)], DOCS)
     got = {r.key: r.size for r in M.decide(df).collect()}
     assert got == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
 
 
+def test_words_are_kept_and_little_is_left():
+    rng = np.random.default_rng(5)
+    for seed, sizes in enumerate([rng.integers(0, 60, 500), rng.geometric(0.004, 300), np.array([20_000] * 3 + [5] * 400), np.array([20_000, 9, 3]), np.array([7]), np.array([0, 0, 0])]):
+        p0 = float(rng.uniform(0.1, 0.9))
+        rows, done = [[i, int(s), p0] for i, s in enumerate(sizes)], []
+        held = M._meet(rows, iter(np.random.default_rng(seed).random, None), done)
+        every = done + ([held] if held else [])
+        assert sorted(r[0] for r in every) == list(range(len(sizes))) and all(r[-1] in (0.0, 1.0) for r in done)
+        assert abs(sum(r[1] * r[-1] for r in every) - p0 * sizes.sum()) < 1e-5
+        if len(sizes) > 100 and held:
+            assert held[1] <= np.median(sizes)
+
+
+def test_targets_are_met(spark):
+    """Every source within 1 % of its target, or within the size of its smallest document."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    least = defaultdict(lambda: 1 << 60)
+    taken, target = defaultdict(int), {}
+    for r in M.decide(docs).collect():
+        taken[r.source] += r.size * r.copies
+        target[r.source] = r.target
+        least[r.source] = min(least[r.source], max(r.size, 1))
+    assert all(abs(taken[s] - target[s]) <= max(0.01 * target[s], least[s]) for s in target)
+
+
 def test_odd_rows(spark):
-    df = spark.createDataFrame([(1, "a b", "s", "", ""), (1, "a b", "s", "", ""), (None, "c", None, "", ""), (2, None, "t", "", "")], DOCS)
-    assert M.decide(df).count() == 4
+    df = spark.createDataFrame([(i, t, s, *REST) for i, t, s in [(1, "a b", "s"), (1, "a b", "s"), (1, "a b", "z"), (None, "c", None), (2, None, "t"), (3, "w " * 100_000, "s")]], DOCS)
+    assert M.decide(df).count() == 6
     assert M.mix(df).columns == df.columns and M.mix(df).count() >= 2
+    assert {tuple(r)[3:] for r in M.mix(df).collect()} == {REST}
     assert M.decide(df.limit(0)).count() == 0 and M.mix(df.limit(0)).count() == 0
+
+
+def test_equal_rows_of_two_sources_keep_their_own_copies(spark):
+    rows = [(1, "a b", s, f"t{i}", *REST[1:]) for i, s in enumerate(["s"] * 5 + ["z"] * 40)]
+    df = spark.createDataFrame(rows, DOCS)
+    own = defaultdict(int)
+    for r in M.decide(df).collect():
+        own[r.source] += r.copies
+    a, b = (sorted(tuple(r) for r in M.mix(d).collect()) for d in (df, df.repartition(5)))
+    assert a == b
+    got = defaultdict(int)
+    for r in a:
+        got[r[2]] += 1
+    assert got == {s: n for s, n in own.items() if n}

@@ -1,17 +1,19 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document of a source has the same ratio r of copies, so floor(r) copies are sure and one more is taken with
-probability r - floor(r). Two documents with a fractional probability meet; mass, counted in words, moves from one to the
-other in a random direction until one probability is 0 or 1. Each step keeps the expected copies of both and the expected
-words of the pair, so a run of documents leaves at most one fractional document. Runs are cut by a hash of doc_id, so a
-source that holds most of the rows is spread over many tasks; what they leave meets in a tree of fixed fan-in, and the
-one document that each source has left at the root is rounded by its probability. A source's taken words hence differ
-from its target by less than the size of one document.
+probability r - floor(r). Documents with a fractional probability meet, the largest with the next smaller ones; mass,
+counted in words, moves between them in a random direction until the largest has a probability of 0 or 1. Each step keeps
+everyone's expected copies and the words of those that met, so a run of documents leaves at most one fractional document,
+and that a small one. Runs are cut by a hash of doc_id, so a source that holds most of the rows is spread over many
+tasks; what they leave meets in a tree of fixed fan-in, and the one document that each source has left at the root is
+rounded by its probability. A source's taken words hence differ from its target by less than the size of one document,
+as a rule of one of its smallest.
 
 Defined results: a null text or one without words has size 0 and takes 0 words (its copies are still decided); null is a
-source of its own, last in order; an empty table gives an empty result; repeated rows are separate units, and which of
-several equal rows gets the larger number of copies is arbitrary, as they are alike. Other columns pass through only in
-`mix`.
+source of its own, last in order; an empty table gives an empty result; repeated rows are separate units with copies of
+their own; a very long text is a unit like any other, and what its rounding moves is made up for by smaller ones where
+there are enough. `mix` passes all columns through, whatever their names, and keeps rows apart by id, source and text;
+`decide` ignores columns that it isn't told of.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from tilewright.llm.common import WORD, cut, small_join
 WEIGHTS = (5, 2, 1)
 #: Documents of one run, runs that meet in a node of the tree, and copies at most.
 RUN, FAN_IN, MOST = 4096, 32, 3.0
+#: Rows of a run that a task holds at once; a run is longer only where thousands of rows are equal.
+CHUNK = 1 << 17
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -55,46 +59,86 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> D
     return left.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def _meet(rows: list, draws: Iterator[float], done: list) -> tuple | None:
-    """Carries one fractional document through the rows; the others are decided and put in done. A row: [.., size, p]."""
-    held = None
-    for row in rows:
-        if not 0.0 < row[-1] < 1.0:
-            done.append(row)
-            continue
-        if held is None:
-            held = row
+def _meet(rows: list, draws: Iterator[float], done: list) -> list | None:
+    """Pivotal steps among the rows; the decided ones are put in done, the one that stays fractional is given back.
+
+    A row: [.., size, p]. The two largest move words between them until one of them is decided. Where the largest is over
+    twice the next one's size, many small ones would be decided before it, and it would be left over; so it is decided at
+    once, by its own probability, and the words that this adds or takes are moved to as many of the next ones as have
+    room for either outcome, each in proportion to its room. Probabilities stay within 0 and 1, all expectations are
+    kept, and what is left over in the end is small.
+    """
+    rest = []
+    for x in rows:
+        if 0.0 < x[-1] < 1.0 and not x[-2]:
+            x[-1] = float(next(draws) < x[-1])  # without words: nothing to make up for
+        (rest if 0.0 < x[-1] < 1.0 else done).append(x)
+    rest.sort(key=lambda x: -x[-2])  # stable: equal sizes keep their order
+    words = [x[-2] for x in rest]
+    room = sum(s * (1 - x[-1]) for s, x in zip(words, rest))  # words that the rows from `at` on can still take
+    stock = sum(s * x[-1] for s, x in zip(words, rest))  # and give
+    at, n = 0, len(rest)
+
+    def settled(x: list) -> bool:
+        if x[-1] < 1e-9 or x[-1] > 1 - 1e-9:
+            x[-1] = float(round(x[-1]))
+        return not 0.0 < x[-1] < 1.0
+
+    while at < n:
+        a, s = rest[at], words[at]
+        p = a[-1]
+        room, stock = room - s * (1 - p), stock - s * p  # of those behind a
+        if settled(a):
+            done.append(a)
+            at += 1
             continue
-        a, b = held, row
-        sa, sb = max(a[-2], 1), max(b[-2], 1)
-        up = min((1.0 - a[-1]) * sa, b[-1] * sb)  # words that can move from b to a
-        down = min(a[-1] * sa, (1.0 - b[-1]) * sb)
-        move = up if next(draws) * (up + down) < down else -down
-        a[-1], b[-1] = a[-1] + move / sa, b[-1] - move / sb
-        for x in (a, b):
-            if x[-1] < 1e-9 or x[-1] > 1 - 1e-9:
-                x[-1] = float(round(x[-1]))
-        if 0.0 < a[-1] < 1.0:
-            held = a
-            done.append(b)
-        else:
+        if at == n - 1:
+            return a
+        if 2 * words[at + 1] < s and room * (1 - 1e-9) > p * s and stock * (1 - 1e-9) > (1 - p) * s:
+            up, down, end = 0.0, 0.0, at + 1
+            while end < n and (up < p * s or down < (1 - p) * s):
+                up, down, end = up + (1 - rest[end][-1]) * words[end], down + rest[end][-1] * words[end], end + 1
+            a[-1] = float(next(draws) < p)
+            move = (p - a[-1]) * s
+            for x in rest[at + 1 : end]:
+                x[-1] = min(max(x[-1] + (move / up * (1 - x[-1]) if move > 0 else move / down * x[-1]), 0.0), 1.0)
+            room, stock = room - move, stock + move
             done.append(a)
-            held = b if 0.0 < b[-1] < 1.0 else None
-            if held is None:
-                done.append(b)
-    return held
+            at += 1
+            continue
+        b, t = rest[at + 1], words[at + 1]
+        q = b[-1]
+        room, stock = room - t * (1 - q), stock - t * q
+        more, less = min((1 - p) * s, q * t), min(p * s, (1 - q) * t)
+        move = more if next(draws) * (more + less) < less else -less
+        a[-1], b[-1] = p + move / s, q - move / t
+        out, on, size = (a, b, t) if settled(a) and not settled(b) else (b, a, s)
+        out[-1] = float(round(out[-1]))
+        done.append(out)
+        at += 1
+        rest[at], words[at] = on, size
+        room, stock = room + size * (1 - on[-1]), stock + size * on[-1]
+    return None
 
 
 def _round(spark_rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
-    """Rounds each run of equal (source, node): rows come sorted by source, node and falling size (so what is left over is small); batches are carried over."""
+    """Rounds each run of equal (source, node): rows come sorted by source, node and falling size. A run is held as a
+    whole, or CHUNK rows of it at a time where equal rows make it longer; what is left over goes on with the next."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, draws = None, None, None
+        at, held, draws = None, [], None
 
-        def close(held) -> list:
-            if held is not None and last:
-                held[-1] = float(next(draws) < held[-1])
-            return [] if held is None else [held]
+        def close(final: bool) -> list:
+            done: list = []
+            left = _meet(held, draws, done)
+            held.clear()
+            if left is not None and not final:
+                held.append(left)
+            elif left is not None:
+                if last:
+                    left[-1] = float(next(draws) < left[-1])
+                done.append(left)
+            return done
 
         for frame in frames:
             done: list = []
@@ -102,15 +146,16 @@ def _round(spark_rows: DataFrame, seed: int, level: int, last: bool) -> DataFram
                 source = None if pd.isna(source) else source
                 if at != (source, node):
                     if at is not None:
-                        done += close(held)
-                    at, held = (source, node), None
+                        done += close(True)
+                    at = source, node
                     rng = np.random.default_rng([seed, level, zlib.crc32(repr(source).encode()), int(node) & 0xFFFFFFFF])
                     draws = iter(rng.random, None)
-                rows = [[*x[:2], *x[3:8], x[2], x[8]] for x in part.itertuples(index=False, name=None)]
-                held = _meet(([held] if held is not None else []) + rows, draws, done)
+                held += [[*x[:2], *x[3:8], x[2], x[8]] for x in part.itertuples(index=False, name=None)]
+                if len(held) >= CHUNK:
+                    done += close(False)
             yield pd.DataFrame([[*x[:2], x[-2], *x[2:-2], x[-1]] for x in done], columns=frame.columns)
         if at is not None:
-            yield pd.DataFrame([[*x[:2], x[-2], *x[2:-2], x[-1]] for x in close(held)], columns=frame.columns)
+            yield pd.DataFrame([[*x[:2], x[-2], *x[2:-2], x[-1]] for x in close(True)], columns=frame.columns)
 
     rows = spark_rows.repartition("source", "node").sortWithinPartitions(F.col("source").asc_nulls_last(), "node", F.desc("size"), "key", "mark")
     return rows.mapInPandas(run, rows.schema)
@@ -143,18 +188,23 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it. Equal rows of one key are served in any order."""
-    mark = F.xxhash64(text)
-    by = Window.partitionBy("key", "mark").orderBy(F.desc("copies"))
-    taken = decide(docs, key, text, source, **how).select("key", "mark", "copies", F.row_number().over(by).alias("nth"))
-    twice = taken.where("nth > 1").limit(1).count() > 0
-    rows = docs.withColumn("_key", F.col(key)).withColumn("_mark", mark)
-    if twice:  # repeated rows: the nth of them takes the nth number of copies
-        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_mark").orderBy(F.lit(1))))
-    right = taken.where("copies > 0").withColumnsRenamed({"key": "_k", "mark": "_m", "nth": "_n", "copies": "_copies"})
-    on = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m"))
+    """The documents themselves, with all their columns, each as often as the mix takes it.
+
+    A row is known by its key, source and text. Of rows that share all three, the first in the order of their other
+    columns takes the larger number of copies, so reruns agree.
+    """
+    taken = decide(docs, key, text, source, **how).select("key", "mark", "source", "copies")
+    by = ["key", "mark", "source"]
+    twice = taken.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    # the documents travel as one struct, so no name of theirs can meet one of ours
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(source).cast("string").alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    nth = F.lit(1)
     if twice:
-        on = on & (F.col("_nth") == F.col("_n"))
-    names = docs.columns
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.to_json("row")))
+        taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("copies"))))
+    else:
+        taken = taken.withColumn("nth", F.lit(1))
+    rows, right = rows.withColumn("nth", nth).alias("l"), taken.where("copies > 0").hint("merge").alias("r")
+    on = F.col("l.key").eqNullSafe(F.col("r.key")) & (F.col("l.mark") == F.col("r.mark")) & F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.nth") == F.col("r.nth"))
     # both sides are dealt by key at every size: neither has a bound, so neither is sent to all tasks
-    return rows.join(right.hint("merge"), on).select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select(*names)
+    return rows.join(right, on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
