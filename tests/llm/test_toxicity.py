@@ -62,7 +62,7 @@ def test_calibration_does_not_diverge(gap):
     rng = np.random.default_rng(3)
     y = (rng.random(400) < 0.1).astype(float)
     x = np.where(y > 0, gap, -gap) + (rng.standard_normal(400) if gap < 50 else 0)
-    a, b = T.platt(x, y, np.ones(400))
+    a, b = T.logistic(x[:, None], y, np.ones(400), [0.0, 1.0])
     loss = lambda a, b: np.logaddexp(0, a + b * x).sum() - (np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)) * (a + b * x)).sum() + 0.5 * (a * a + (b - 1) ** 2)
     grid = min((loss(a + i, b + j), abs(i) + abs(j)) for i in np.linspace(-1, 1, 21) for j in np.linspace(-0.5, 0.5, 21))
     assert 0 <= b < 3 and abs(a) < 6 and grid[1] < 1e-9
@@ -125,7 +125,7 @@ def test_whole_score_by_a_plain_version(model):
         return min(max((sum(x for x, y in w if y) + T.PRIOR_VOTE * 0.2) / (sum(x for x, _ in w) + T.PRIOR_VOTE), 1e-4), 1 - 1e-4)
 
     odds = lambda v: math.log(v / (1 - v))
-    line = T.platt(np.array([odds(vote(of[i])) for i in held]), np.array([float(i % 5 == 0) for i in held]), np.ones(len(held)))
+    line = T.logistic(np.array([[odds(vote(of[i]))] for i in held]), np.array([float(i % 5 == 0) for i in held]), np.ones(len(held)), [0.0, 1.0])
     assert np.allclose(line, m.line, atol=1e-6)
     got = {r.doc_id: r.score for r in T.score(docs, m).collect()}
     for i in range(300, 400):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +29,13 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE) -> Iterator[pa.
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where that is unset and all
+    tasks run in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tilewright-"))
     return f"file://{_own_dir[0]}"
@@ -66,6 +71,33 @@ def small_join(big: DataFrame, small: DataFrame, on, how: str = "left", limit: i
     return big.join(F.broadcast(small) if count_at_most(small, limit) else small, on, how)
 
 
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: list[float], ridge: float = 1.0, steps: int = 100) -> np.ndarray:
+    """Intercept and slopes of a logistic regression on the columns of x, drawn to start; damped Newton steps.
+
+    Targets are smoothed by one case of either class, and a step is halved until the penalised likelihood doesn't fall, so
+    the fit can't diverge however well x parts the classes. y: 0 or 1; w: weights of the rows.
+    """
+    n1, n0 = float(w[y > 0].sum()), float(w[y <= 0].sum())
+    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    X, at = np.column_stack([np.ones(len(y)), x]), np.array(start, np.float64)
+
+    def loss(beta: np.ndarray) -> float:
+        z = X @ beta
+        return float((w * (np.logaddexp(0, z) - target * z)).sum() + 0.5 * ridge * ((beta - at) ** 2).sum())
+
+    beta, now = at.copy(), loss(at)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(X @ beta, -500, 500)))
+        grad = X.T @ (w * (target - p)) - ridge * (beta - at)
+        if np.abs(grad).max() < 1e-8:
+            break
+        step = np.linalg.solve((X * (w * p * (1 - p))[:, None]).T @ X + ridge * np.eye(len(at)), grad)
+        while (new := loss(beta + step)) > now and np.abs(step).max() > 1e-12:
+            step = step / 2
+        beta, now = beta + step, min(new, now)
+    return beta
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a whole text as UTF-8; null: none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import cut, pieces
+from tilewright.llm.common import cut, logistic, pieces
 
 MOST_TOXIC, MOST_CLEAN = 4000, 8000
 #: Neighbours, examples of a block, weight of the base rate among votes, and one in so many examples for calibration.
@@ -45,6 +45,8 @@ K, BLOCK, PRIOR_VOTE, HELD = 15, 64, 0.25, 5
 CHI2, FLOOR = 20.0, 0.02
 #: Terms that at least one in so many examples have are dense, the most frequent ones at most; blocks scored at first.
 DENSE_SHARE, DENSE_MOST, FIRST = 16, 2048, 4
+#: Directions onto which examples are projected to tell which are alike.
+SKETCH = 64
 #: Texts scored together, terms whose counts travel together, words that the memo keeps.
 TOGETHER, SLICE, MEMO = 128, 4096, 250_000
 #: Beyond what single precision can be wrong by.
@@ -142,11 +144,11 @@ class Index:
 
     def __init__(self, ids: list, labels: np.ndarray, offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray, gain: np.ndarray):
         """Example i has terms[offsets[i] : offsets[i + 1]] (ascending), counts alike; gain: idf times tie, per term."""
-        self.raw = ids, labels.astype(np.float64), offsets.astype(np.int64), terms.astype(np.int32), counts.astype(np.int32), gain.astype(np.float64)
-        self.n, self.built = len(ids), False
+        self.raw = ids, np.asarray(labels, np.float64), np.asarray(offsets, np.int64), np.asarray(terms, np.int32), np.asarray(counts, np.int32), np.asarray(gain, np.float64)
+        self.n, self.built, self.sent = len(ids), False, False
 
     def __getstate__(self):
-        return {"raw": self.raw, "n": self.n, "built": False}
+        return {"raw": self.raw, "n": self.n, "built": False, "sent": True}
 
     def build(self) -> None:
         if self.built:
@@ -165,15 +167,17 @@ class Index:
         column = self.dense[terms]
         full = np.zeros((n, len(often)), np.float32)
         full[who[column >= 0], column[column >= 0]] = weight[column >= 0]
-        order = _bisect(full, BLOCK)
+        sketch = np.random.default_rng(1).standard_normal((len(often), SKETCH)).astype(np.float32)
+        order = _bisect(full @ sketch, BLOCK)  # distances between rows are about those between their projections
         # by block: ids, labels, and each example's own terms for the scores in double precision
         self.ids, self.labels = [ids[i] for i in order], labels[order]
-        at = _ranges(offsets[:-1][order], size[order])
+        at = _ranges(offsets[:-1][order], size[order]).astype(np.int32)
         self.begin = np.concatenate([[0], np.cumsum(size[order])])
         self.terms, self.weight = terms[at], weight[at]
         self.blocks = max(1, -(-n // BLOCK))
         wide = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
         wide[:n] = full[order]
+        del full, who, weight, column
         self.rows = np.ascontiguousarray(wide.reshape(self.blocks, BLOCK, -1).transpose(0, 2, 1))  # block, dense term, example
         self.top = np.ascontiguousarray(self.rows.max(2).T)
         rare = self.dense[self.terms] < 0
@@ -185,6 +189,8 @@ class Index:
         rank = sorted(range(n), key=lambda i: (str(type(self.ids[i])), self.ids[i]))
         self.rank = np.empty(n, np.int64)
         self.rank[rank] = np.arange(n)
+        if self.sent:  # a task needs what it was built from no more
+            self.raw = None
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each (terms, counts): positions and cosines of the k nearest with a cosine over 0, best first."""
@@ -251,36 +257,6 @@ class Index:
         return near[order], np.round(cosine[order], 12)
 
 
-def platt(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: tuple[float, float] = (0.0, 1.0), ridge: float = 1.0, steps: int = 100) -> tuple[float, float]:
-    """Intercept and slope of a logistic regression on x, drawn to start; damped Newton steps on smoothed targets.
-
-    A step is halved until the penalised likelihood doesn't fall, so the fit can't diverge however well x parts the classes.
-    """
-    n1, n0 = float(w[y > 0].sum()), float(w[y <= 0].sum())
-    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    X, at = np.stack([np.ones_like(x), x], 1), np.array(start)
-
-    def loss(beta: np.ndarray) -> float:
-        z = X @ beta
-        return float((w * (np.logaddexp(0, z) - target * z)).sum() + 0.5 * ridge * ((beta - at) ** 2).sum())
-
-    beta, now = at.copy(), loss(at)
-    for _ in range(steps):
-        z = X @ beta
-        p = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), 1 - 1 / (1 + np.exp(-np.abs(z))))
-        grad = X.T @ (w * (target - p)) - ridge * (beta - at)
-        step = np.linalg.solve((X * (w * p * (1 - p))[:, None]).T @ X + ridge * np.eye(2), grad)
-        if np.abs(grad).max() < 1e-8:
-            break
-        while True:
-            new = loss(beta + step)
-            if new <= now or np.abs(step).max() < 1e-12:
-                break
-            step = step / 2
-        beta, now = beta + step, min(new, now)
-    return float(beta[0]), float(beta[1])
-
-
 class Model:
     def __init__(self, vocabulary: dict[str, int], index: Index, weight: tuple[float, float], base: float):
         """weight: of a clean and of a toxic example, for the parts of each class that the sample holds."""
@@ -444,7 +420,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     cast = _narrow(examples.where("held"), ["y", "text"], votes, "y int, vote double").orderBy("vote", "y").collect()  # one in HELD examples
     v, y = np.array([r["vote"] for r in cast]), np.array([r["y"] for r in cast], np.float64)
-    return Fitted(model, platt(np.log(v / (1 - v)), y, np.where(y > 0, weight[1], weight[0])))
+    line = logistic(np.log(v / (1 - v))[:, None], y, np.where(y > 0, weight[1], weight[0]), [0.0, 1.0])
+    return Fitted(model, (float(line[0]), float(line[1])))
 
 
 def score(docs: DataFrame, fitted: Fitted, key: str = "doc_id", text: str = "text") -> DataFrame:
