@@ -70,6 +70,20 @@ def test_links_of_a_large_run_are_few(spark):
     assert len(S._forest(np.arange(600), p, 3)) == 599
 
 
+def test_a_long_run_is_split_without_loss():
+    rng = np.random.default_rng(4)
+    for spread in (2, 9, 33):
+        at = rng.choice(64, spread, replace=False)
+        p = sum(rng.integers(0, 2, (500, spread)).astype(np.uint64)[:, i] << np.uint64(b) for i, b in enumerate(at))
+        pairs = S._long_forest(np.arange(500), p[:, None], 3)
+        group = {i: i for i in range(500)}
+        for a, b in pairs:
+            assert (int(p[a]) ^ int(p[b])).bit_count() <= 3 or spread <= 9
+            x, y = sorted((group[a], group[b]))
+            group = {i: x if g == y else g for i, g in group.items()}
+        assert group == slow_components({i: int(x) for i, x in enumerate(p)}, 3)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 0, "x"), (2, "", 0, "x"), (3, " \n", 0, "x"), (4, "one", 0, "x"), (4, "one", 0, "x"), (None, "One", 0, "x"), (None, "alone here", 0, "x"), (9, "w " * 50_000, 0, "x")]
     got = S.contract(spark.createDataFrame(rows, DOCS)).collect()
@@ -96,6 +110,20 @@ def test_keep_one(spark):
     assert S.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_goes_by_rows(spark):
+    """Null ids, equal ids with unequal texts, repeated rows, empty texts, and names that the stage might use itself."""
+    names = "doc_id long, text string, _id int, _first int, component int, node int, _n int, id string, mark int, row string, none int, first int"
+    rest = (1, 2, 3, 4, 5, "i", 6, "r", 7, 8)
+    rows = [(None, "one text of its own here"), (None, "quite another text without id"), (5, "first under five a b c"), (5, "second under five d e f"), (7, "one text of its own here"), (8, ""), (9, None), (9, None), (3, "long " * 40_000)]
+    df = spark.createDataFrame([(*r, *rest) for r in rows] + [(5, "first under five a b c", 0, *rest[1:])], names)
+    got = sorted(((r.doc_id, r.text and r.text[:5], r._id) for r in S.keep_one(df).collect()), key=str)
+    assert got == sorted([(7, "one t", 1), (None, "quite", 1), (5, "first", 0), (5, "secon", 1), (8, "", 1), (3, "long ", 1)], key=str)
+    assert S.keep_one(df).columns == df.columns and S.keep_one(df.limit(0)).count() == 0
+    assert sorted(map(tuple, S.keep_one(df.repartition(3)).collect()), key=str) == sorted(map(tuple, S.keep_one(df).collect()), key=str)
+    texts = spark.createDataFrame([("b", "x y z"), ("a", "x y z"), ("c", "u v w")], "doc_id string, text string")
+    assert sorted(r.doc_id for r in S.keep_one(texts).collect()) == ["a", "c"]
+
+
 def edited_texts(rng, n=60):
     """Texts of 60 to 400 short or long words, and each with a passage appended, dropped or words swapped."""
     word = lambda most: "".join(map(chr, rng.integers(97, 123, int(rng.integers(2, most)))))

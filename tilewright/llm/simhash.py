@@ -11,9 +11,12 @@ Jaccard similarity; runs and components are the same.
 
 Equal fingerprints are one node from the start, named by their smallest id, so exact copies never meet in a run.
 
-Defined results: a null text counts as empty; texts without words have fingerprint zero and are linked like any other;
-repeated rows get the same component; rows with a null id get a component only from the others of their fingerprint (null
-if there are none); an empty table gives an empty result; other columns are ignored.
+Defined results: a null text counts as empty; texts without words have fingerprint zero and are linked like any other (to
+`keep_one` they are copies of one another); repeated rows get the same component; rows with a null id get a component only
+from the others of their fingerprint (null if there are none), while `keep_one` goes by rows, not by ids: texts that
+differ are told apart under one id or none; a very long text has one fingerprint like any other; an empty table gives an
+empty result; `keep_one` passes all columns through whatever their names, the others ignore them. Ids are integers for
+`contract` and of any type for `keep_one`.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ NODES = "component"
 #: Bands of min-wise hashes, and how many hashes must agree in one. A pair of similarity s shares a band with a
 #: probability of 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8, 0.9999 at 0.85.
 BANDS, ROWS = 16, 5
+#: Members of a run from which it is split further before they are compared.
+LONG = 256
 #: Bytes of a shingle's hash, by which sets are compared.
 GRAM = 6
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
@@ -116,20 +121,20 @@ def bands(grams: np.ndarray, step: int = 1 << 13) -> list[int]:
 
 
 def copy_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """key, keys (one for each band), check (a digest of the distinct shingles), node (its first 64 bits), grams (the
-    shingles' hashes themselves) of every row."""
+    """id, mark (a hash of the text), keys (one for each band), node (64 bits of a digest of the distinct shingles), grams
+    (the shingles' hashes themselves) of every row."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        keys, check, grams = [], [], []
-        for t in batch[1].to_pylist():
+        keys, node, grams = [], [], []
+        for t in batch[2].to_pylist():
             g = grams_of(t, width)
             keys.append(bands(g))
             grams.append(g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM].tobytes())
-            check.append(xxhash.xxh3_128_digest(grams[-1], SEED))
-        node = pa.array([int.from_bytes(c[:8], "big", signed=True) for c in check], pa.int64())
-        return {key: batch[0], "keys": pa.array(keys, pa.list_(pa.int64())), "check": pa.array(check, pa.binary()), "node": node, "grams": pa.array(grams, pa.binary())}
+            node.append(_signed(xxhash.xxh3_64_intdigest(grams[-1], SEED)))
+        return {"id": batch[0], "mark": batch[1], "keys": pa.array(keys, pa.list_(pa.int64())), "node": pa.array(node, pa.int64()), "grams": pa.array(grams, pa.binary())}
 
-    return arrow_pass(docs, [key, text], work, f"{key} {dict(docs.dtypes)[key]}, keys array<long>, check binary, node long, grams binary")
+    kind = dict(docs.select(F.col(key).alias("id")).dtypes)["id"]
+    return arrow_pass(docs, [F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")], work, f"id {kind}, mark long, keys array<long>, node long, grams binary")
 
 
 def variants(nodes: DataFrame) -> DataFrame:
@@ -141,6 +146,24 @@ def variants(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _long_forest(nodes: np.ndarray, prints: np.ndarray, radius: int) -> set[tuple[int, int]]:
+    """As _forest, for a run of many: prints within the radius agree in one of radius + 1 parts of the bits in which the
+    run's members differ at all, so each part's equal values are runs of their own, and only those are compared."""
+    bits = np.unpackbits(np.ascontiguousarray(prints.astype(">u8")).view(np.uint8), axis=1)
+    vary = np.flatnonzero(bits.min(0) != bits.max(0))
+    out: set[tuple[int, int]] = set()
+    if len(vary) <= radius:  # all are within it
+        return {(int(nodes.min()), int(x)) for x in nodes if x != nodes.min()}
+    for own_bits in np.array_split(vary, radius + 1):
+        _, part = np.unique(np.packbits(bits[:, own_bits], axis=1), axis=0, return_inverse=True)
+        part = part.reshape(-1)
+        order = np.argsort(part, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(own) > 1:
+                out.update(_forest(nodes[own], prints[own], radius))
+    return out
+
+
 def _forest(nodes: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that connect a run: whoever is reached leaves the rest that later members are compared with."""
     order = np.argsort(nodes, kind="stable")
@@ -211,9 +234,11 @@ def copy_links(nodes: DataFrame, prints: DataFrame, at: float) -> DataFrame:
 
     slots = nodes.select(F.explode("keys").alias("slot"), "node")
     met = cut(slots.repartition("slot").sortWithinPartitions("slot").mapInArrow(_several, "slot long, node long"), "simhash-met")
-    need = nodes.join(met.select("node").distinct().hint("merge"), "node", "left_semi").select(F.col("node").alias("_m"), F.col("_id").alias("_k"))
-    # exact copies have the same grams, so of each node's rows the one with the smallest id gives them
-    known = prints.select(F.col("node").alias("_n"), "_id", "grams").join(need.hint("merge"), (F.col("_n") == F.col("_m")) & F.col("_id").eqNullSafe(F.col("_k"))).select("_n", "grams")
+    need = nodes.join(met.select("node").distinct().hint("merge"), "node", "left_semi").select(F.col("node").alias("_m"), "first")
+    # exact copies have the same grams, so of each node's rows the first gives them; rows that repeat it repeat them
+    own = F.struct(F.isnull("id").alias("none"), "id", "mark")
+    known = prints.select(F.col("node").alias("_n"), own.alias("own"), "grams").join(need.hint("merge"), (F.col("_n") == F.col("_m")) & F.col("own").eqNullSafe(F.col("first")))
+    known = known.groupBy("_n").agg(F.min("grams").alias("grams"))
     return met.join(known.hint("merge"), F.col("node") == F.col("_n")).select("slot", "node", "grams").repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -230,7 +255,7 @@ def links(nodes: DataFrame, radius: int, sparse: bool = False) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple | None = None
+        kept: list[tuple] = []  # the rows of the last slot so far
 
         def find(slot, node, check) -> pa.RecordBatch:
             edge = np.flatnonzero(np.diff(slot)) + 1
@@ -242,23 +267,22 @@ def links(nodes: DataFrame, radius: int, sparse: bool = False) -> DataFrame:
                     if node[a] != node[a + 1] and int(np.bitwise_count(check[a] ^ check[a + 1]).sum()) <= radius:
                         seen.add((int(min(node[a], node[a + 1])), int(max(node[a], node[a + 1]))))
                 else:
-                    seen.update(_forest(node[a:b], check[a:b], radius))
+                    seen.update((_forest if b - a <= LONG else _long_forest)(node[a:b], check[a:b], radius))
             return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in seen], pa.int64()), "b": pa.array([x for _, x in seen], pa.int64())})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = batch[2]
-            flat = np.frombuffer(b"".join(raw.to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
-            now = (batch[0].to_numpy(), batch[1].to_numpy(), flat)
-            if kept is not None:
-                now = tuple(np.concatenate(x) for x in zip(kept, now))
+            flat = np.frombuffer(b"".join(batch[2].to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
+            now = batch[0].to_numpy(), batch[1].to_numpy(), flat
             start = int(np.searchsorted(now[0], now[0][-1]))
-            kept = tuple(x[start:] for x in now)
-            if start:
-                yield find(*(x[:start] for x in now))
-        if kept is not None:
-            yield find(*kept)
+            if start or (kept and kept[-1][0][-1] != now[0][0]):  # the slots before the last one are complete
+                whole = [*kept, tuple(x[:start] for x in now)]
+                yield find(*(np.concatenate(x) for x in zip(*whole)))
+                kept = []
+            kept.append(tuple(x[start:] for x in now))
+        if kept:
+            yield find(*(np.concatenate(x) for x in zip(*kept)))
 
     if not sparse:
         return variants(nodes).select("slot", "node", "check").repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "a long, b long").distinct()
@@ -301,6 +325,8 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == last:
             break
         last = state
+    else:
+        raise RuntimeError(f"components aren't complete after {most_rounds} rounds")
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias(NODES))
 
 
@@ -319,18 +345,29 @@ def contract(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, at: float = 0.8) -> DataFrame:
-    """The rows of docs without those that are copies of a row with a smaller id; of repeated rows one stays.
+    """One row of each group of copies, with all its columns: the one with the smallest id (null last), of equal ids the
+    one with the smaller hash of its text, of rows that repeat both the first in the order of their other columns.
 
     Copies have a Jaccard similarity of at or more over their distinct word shingles, or are linked by such. Candidates
     share one of BANDS bands: of pairs at 0.8 all but 0.2 % do, of pairs at 0.85 all but 0.01 %.
     """
-    prints = cut(copy_fingerprints(docs, key, text, width).withColumn("_id", F.col(key)), "simhash-prints")
-    nodes = cut(prints.groupBy("node").agg(F.min("_id").alias("_id"), F.first("keys").alias("keys")), "simhash-nodes")
+    prints = cut(copy_fingerprints(docs, key, text, width), "simhash-prints")
+    own = F.struct(F.isnull("id").alias("none"), "id", "mark")
+    nodes = cut(prints.groupBy("node").agg(F.min(own).alias("first"), F.first("keys").alias("keys")), "simhash-nodes")
     found = components(copy_links(nodes, prints, at)).withColumnRenamed("node", "_n").hint("merge")
-    named = nodes.select("node", "_id").join(found, F.col("node") == F.col("_n"), "left").select("_id", F.coalesce(NODES, "node").alias(NODES))
-    first = cut(named.groupBy(NODES).agg(F.min("_id").alias("_first")).select("_first"), "simhash-first")
+    named = nodes.select("node", "first").join(found, F.col("node") == F.col("_n"), "left").select("first", F.coalesce(NODES, "node").alias(NODES))
+    first = cut(named.groupBy(NODES).agg(F.min("first").alias("first")).select("first.id", "first.mark"), "simhash-first")
+    twice = cut(prints.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("id", "mark"), "simhash-twice")
+    # the documents travel as one struct, so no name of theirs can meet one of ours
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def kept(rows: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        a, b = rows.alias("l"), right.hint("merge").alias("r")
+        return a.join(b, F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.mark") == F.col("r.mark")), how)
+
     # the kept ids grow with the input, so they are dealt by key at every size and never sent to all tasks
-    kept = docs.join(first.distinct().hint("merge"), F.col(key).eqNullSafe(F.col("_first")), "left_semi")
-    if prints.count() == prints.select(key).distinct().count():
-        return kept
-    return kept.dropDuplicates([key])  # repeated rows
+    out = kept(rows, first, "left_semi")
+    if twice.limit(1).count():
+        again = kept(out, twice, "left_semi").groupBy("id", "mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = kept(out, twice, "left_anti").select("row").union(again.select("row"))
+    return out.select("row.*")
