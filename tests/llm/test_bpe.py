@@ -6,6 +6,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tilewright.llm import bpe
 from tilewright.llm.queries import WORD_BPE, tokenizer_file
@@ -93,3 +94,17 @@ def test_every_character_equals_the_library(both):
     some = [f"a{chr(c)}b :{chr(c)}" for c in range(0x80, 0x110000, 1) if not 0xD800 <= c <= 0xDFFF and (c < 0x3000 or c % 37 == 0 or any(a - 2 <= c <= a + 1 or b - 1 <= c <= b + 2 for a, b in bpe.NEWER))]
     for text, e in zip(some, library.encode_batch(some, add_special_tokens=False)):
         assert own.encode(text) == e.ids, repr(text)
+
+
+def test_every_word_goes_through_the_transducer(monkeypatch):
+    """Short and long words alike; ids of a long text come block by block and are those of the whole."""
+    tok, seen = bpe.Tokenizer(tokenizer_file(WORD_BPE)), []
+    real = bpe.transduce
+    monkeypatch.setattr(bpe, "transduce", lambda *a: seen.append(1) or real(*a))
+    text = "a bc " + "abcdefgh" * 2000 + " end"
+    assert tok.encode(text) == Tokenizer.from_file(tokenizer_file(WORD_BPE)).encode(text, add_special_tokens=False).ids
+    assert len(seen) == 4
+    long = "some words here, again and again; " * 9000
+    blocks = list(tok.blocks(long))
+    assert len(blocks) > 3 and max(map(len, blocks)) < bpe.CHUNK
+    assert [i for b in blocks for i in b] == Tokenizer.from_file(tokenizer_file(WORD_BPE)).encode(long, add_special_tokens=False).ids

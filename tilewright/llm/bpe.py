@@ -4,8 +4,9 @@ A merge list fixes how far to the right of a token one has to look before no lat
 The encoder holds that many symbols, and one window of them, whatever the length of the text. The decoder is a state
 machine from ids to text that holds at most the bytes of one unfinished character.
 
-Defined results: a null text counts as empty; an empty text has no ids, and decodes to the empty text; repeated rows
-give equal rows; columns other than the named ones are ignored.
+Defined results: a null text counts as empty; an empty text has no ids, and decodes to the empty text; a very long text is
+encoded and decoded a chunk at a time; repeated rows give equal rows; an empty table gives an empty result; columns other
+than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -77,7 +79,7 @@ class Merges:
             self.parts.setdefault(c, (a, b))
             self.length.setdefault(c, self.length.get(a, 1) + self.length.get(b, 1))
         self.order, self.made = {p: k for p, (k, _) in self.rank.items()}, {k: c for k, c in self.rank.values()}
-        self.lookahead = self._lookahead()
+        self.lookahead, self.longest = self._lookahead(), max([1, *self.length.values()])
 
     def _right_edge(self, symbol: int) -> Iterator[int]:
         """The symbol and whatever ends where it ends while it is being built."""
@@ -144,7 +146,7 @@ def transduce(symbols: Iterable[int], merges: Merges, window: int = WINDOW) -> I
     """The ids of a stream of symbols, each as soon as it is stable; holds window + lookahead symbols and one token."""
     held: list[int] = []
     ahead, size = merges.lookahead, window + merges.lookahead
-    most = max([1, *merges.length.values()])
+    most = merges.longest
     for s in symbols:
         held.append(s)
         if len(held) >= size + most:
@@ -189,8 +191,7 @@ class Tokenizer:
 
     def _ids(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "replace")
-        stream = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
-        ids = tuple(self.merges.merge(stream) if len(stream) <= WINDOW else transduce(stream, self.merges))
+        ids = tuple(transduce(chain(map(self.inner.__getitem__, raw[:-1]), (self.last[raw[-1]],)), self.merges))
         if len(self.memo) < MEMO:  # the first words are the frequent ones
             if len(word) <= 64:
                 self.memo[word] = ids
@@ -210,10 +211,10 @@ class Tokenizer:
             at = cut
         yield text[at:] if at else text
 
-    def _plain(self, text: str) -> list[int]:
-        out: list[int] = []
+    def _plain(self, text: str) -> Iterator[list[int]]:
         memo, ids = self.memo, self._ids
         for part in self._chunks(text):
+            out: list[int] = []
             words = self.words
             if not part.isascii() and not _latin(part):
                 if not is_normalized("NFC", part):
@@ -223,19 +224,22 @@ class Tokenizer:
                     part, words = part.translate(_SMALL), self.careful
             for word in words.findall(part.lower()):
                 out += memo.get(word) or ids(word)
-        return out
+            yield out
 
-    def encode(self, text: str | None) -> list[int]:
+    def blocks(self, text: str | None) -> Iterator[list[int]]:
+        """The ids of a text as they come, those of about CHUNK characters at a time."""
         if not text:
-            return []
-        if self.split is None or "<" not in text:
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.split.finditer(text):
-            out += self._plain(text[at : m.start()])
-            out.append(self.added[m[0]])
-            at = m.end()
-        return out + self._plain(text[at:])
+            return
+        at = 0
+        if self.split is not None and "<" in text:
+            for m in self.split.finditer(text):
+                yield from self._plain(text[at : m.start()])
+                yield [self.added[m[0]]]
+                at = m.end()
+        yield from self._plain(text[at:] if at else text)
+
+    def encode(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(self.blocks(text)))
 
     def decoder(self) -> Decoder:
         return Decoder(self.pieces, b" ")
@@ -304,21 +308,25 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", bl
     return arrow_pass(df, [key, text], work, f"{key} {dict(df.dtypes)[key]}, ids array<int>, decoded string")
 
 
-def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", block: int = 4096) -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256: as encode(), digested where it is made."""
+def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256: as encode(), but ids are decoded and digested as they come, so that a
+    task holds the ids of about CHUNK characters, however long a text is."""
 
     def work(batch: pa.RecordBatch) -> dict:
         tok = open_tokenizer(path)
         back, sign = tok.decoder(), tok.signs
         n, ids_sha, text_sha = [], [], []
         for t in batch[1].to_pylist():
-            ids, sha = tok.encode(t), hashlib.sha256()
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(" ".join(map(sign.__getitem__, ids)).encode()).hexdigest())
-            for i in range(0, len(ids), block):
-                sha.update(back.feed(ids[i : i + block]).encode())
-            sha.update(back.finish().encode())
-            text_sha.append(sha.hexdigest())
+            size, ids_of, text_of = 0, hashlib.sha256(), hashlib.sha256()
+            for ids in tok.blocks(t):
+                if ids:
+                    ids_of.update((" " if size else "").encode() + " ".join(map(sign.__getitem__, ids)).encode())
+                    text_of.update(back.feed(ids).encode())
+                    size += len(ids)
+            text_of.update(back.finish().encode())
+            n.append(size)
+            ids_sha.append(ids_of.hexdigest())
+            text_sha.append(text_of.hexdigest())
         return {key: batch[0], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": text_sha}
 
     return arrow_pass(df, [key, text], work, f"{key} {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
