@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -117,3 +118,32 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, None, None, "t"), (2, "u", "<article>x</article>", "t"), (2, "u", "<article>x</article>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text) for r in H.extract(df).collect()) == [(1, ""), (2, "x"), (2, "x")]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_hosts_left_out():
+    """An eighth of the hosts at a time, judged by a fit that has not seen them."""
+    fold, right = np.random.default_rng(0).permutation(len(U.LABELLED)) % 8, []
+    for f in range(8):
+        w = U.plain_fit(tuple(r for r, k in zip(U.LABELLED, fold) if k != f))
+        right += [(sum(w[b] for b in U.plain_buckets(h, p)) + w[-1] > 0) == bool(y) for (h, p, y), k in zip(U.LABELLED, fold) if k == f]
+    assert np.mean(right) >= 0.9
+    w = U.plain_fit()
+    for host in ("ads-track.example.org", "www.adult-x.example.net", "spam-farm.example.org", "casino-win.example.net"):
+        assert sum(w[b] for b in U.plain_buckets(host, "/fr/4711.html")) + w[-1] > 0
+
+
+def test_pages_that_never_close_are_scanned_once():
+    for part in ('<a "x ', "<a href='x ", "<p", "<!-- ", "<div><p></span>", "</p", "<div>", "<b a=b=c ", "<button>", '<i x="1" ', "< ", "<!a", "</ "):
+        t = []
+        for n in (20_000, 80_000):
+            begin = time.process_time()
+            H.tokens(part * n)
+            t.append(time.process_time() - begin)
+        assert t[1] < 12 * max(t[0], 0.02), part
+
+
+def test_scanner():
+    words = lambda page: [t for what, _, t, _ in H.tokens(page) if what == "#"]
+    assert words('a<b class="x>y" id=\'>\' data-q=a="z">c</b>d') == ["a", "c", "d"]
+    assert words("1 < 2 <!-- x > --> 3 <?php x ?> 4 <!DOCTYPE html> 5 </> 6") == ["1 ", "<", " 2 ", " 3 ", " 4 ", " 5 ", " 6"]
+    assert words("a <p title='x") == ["a "] and words("a <script> b < c </script > d") == ["a ", " d"]

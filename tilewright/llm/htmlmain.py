@@ -5,7 +5,8 @@ what a token is and where it stands (inside which kind of element). One linear s
 with the largest sum; elements inside it whose words score negative (adverts, asides, comments) are left out of its text.
 
 Defined results: a null or empty page, or one without a positive run, has the empty text; of equal runs the first is
-taken; repeated rows give equal rows; an empty table an empty result; columns other than the named ones are ignored.
+taken; a comment, tag or raw element that is never closed takes the rest of its page; a very long page is scanned once;
+repeated rows give equal rows; an empty table an empty result; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ MARKS = (
 )
 #: Ends the kind of what an article holds besides its text: left out, but no border of the article.
 INSIDE = "+"
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_NAME, _BARE, _BLANK = re.compile(r"[A-Za-z][^\s/>]*"), re.compile(r"[^\s>]*"), re.compile(r"\s*")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -59,26 +60,78 @@ def kind_of(tag: str, attributes: str) -> str | None:
     return ELEMENTS.get(tag)
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose attributes begin at: its ">" outside of quoted values, or the page's end.
+
+    It only moves on: quotes count after "=" alone, and what has been looked at is never looked at again.
+    """
+    end = page.find(">", at)
+    while end >= 0:
+        equals = page.find("=", at, end)
+        if equals < 0:
+            return end
+        at = _BLANK.match(page, equals + 1).end()
+        if page[at : at + 1] in ("'", '"'):
+            at = page.find(page[at], at + 1) + 1
+            if not at:
+                break
+        else:
+            at = _BARE.match(page, at).end()
+        if end < at:
+            end = page.find(">", at)
+    return len(page)
+
+
 def tokens(page: str) -> list[tuple[str, str, str, int]]:
-    """(what, kind of surroundings, text, block) of each tag ("<p>" or "</p>", inline "<i>") and each piece of text ("#")."""
+    """(what, kind of surroundings, text, block) of each tag ("<p>" or "</p>", inline "<i>") and each piece of text ("#").
+
+    One scan, linear in the page whatever is unclosed in it: an unclosed comment, tag or raw element takes the rest.
+    """
     out: list[tuple[str, str, str, int]] = []
     stack: list[tuple[str, str]] = []  # open elements that matter: name, kind of what is inside
+    opened: Counter = Counter()  # of each name, how many are open
     kind, block, at, size = "", 0, 0, len(page)
     low: str | None = None
+
+    def enter(tag: str, inside: str) -> None:
+        stack.append((tag, inside))
+        opened[tag] += 1
+
+    def leave(tag: str) -> str:
+        """Closes elements up to the last open one of that name; the kind that is then around."""
+        while stack:
+            name = stack.pop()[0]
+            opened[name] -= 1
+            if name == tag:
+                break
+        return stack[-1][1] if stack else ""
+
     while at < size:
-        m = _TOKEN.match(page, at)
-        if m is None:
-            at += 1
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
+            out.append(("#", kind, page[at:end], block))
+            at = end
             continue
-        at = m.end()
-        if m[4]:
-            out.append(("#", kind, m[4], block))
+        closing = page.startswith("/", at + 1)
+        name = _NAME.match(page, at + 1 + closing)
+        if name is None:
+            if page.startswith("!--", at + 1):
+                end = page.find("-->", at + 4)
+                at = size if end < 0 else end + 3
+            elif closing or page[at + 1 : at + 2] in ("!", "?"):
+                end = page.find(">", at)
+                at = size if end < 0 else end + 1
+            else:  # a sign of its own
+                out.append(("#", kind, "<", block))
+                at += 1
             continue
-        if not m[2]:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
+        tag, end = name[0].lower(), _tag_end(page, name.end())
+        attributes, at = page[name.end() : end], end + 1
+        if end == size:
+            break
         if not closing and tag in RAW:
-            if m[3].endswith("/"):
+            if attributes.endswith("/"):
                 continue
             low = page.lower() if low is None else low
             end = low.find(f"</{tag}", at)
@@ -95,20 +148,16 @@ def tokens(page: str) -> list[tuple[str, str, str, int]]:
                 out.append(("#", kind, " ", block))
             continue
         if closing:
-            if any(x[0] == tag for x in reversed(stack)):
-                while stack and stack.pop()[0] != tag:
-                    pass
-            kind = stack[-1][1] if stack else ""
+            if opened[tag]:
+                kind = leave(tag)
             out.append((f"</{tag}>" if tag in BLOCK else "</i>", kind, "", block))
             block += tag in BLOCK
             continue
-        if tag in ENDS_P and stack and any(x[0] == "p" for x in stack[-3:]):
-            while stack and stack.pop()[0] != "p":
-                pass
-            kind = stack[-1][1] if stack else ""
+        if tag in ENDS_P and any(x[0] == "p" for x in stack[-3:]):
+            kind = leave("p")
         if tag in BLOCK:
             block += 1
-            inside = kind_of(tag, m[3])
+            inside = kind_of(tag, attributes)
             if inside == "header" and kind == "article":
                 inside = "article"  # an article's own header
             own = inside or kind
@@ -116,19 +165,14 @@ def tokens(page: str) -> list[tuple[str, str, str, int]]:
                 own = kind  # nothing inside a menu or a comment is the article
             elif kind == "article" and own != "article":
                 own += INSIDE
-            out.append((f"<{tag}>", own if own != kind else kind, "", block))
-            stack.append((tag, own))
+            out.append((f"<{tag}>", own, "", block))
             kind = own
         else:
             out.append(("<a>" if tag == "a" else "<i>", kind, "", block))
-            if m[3] and tag in ("span", "a", "ins", "label", "small", "dialog"):
-                inside = kind_of(tag, m[3])
-                if inside and inside != "article" and not kind.endswith(INSIDE):
-                    inside += INSIDE if kind == "article" else ""
-                    stack.append((tag, inside))
-                    kind = inside
-                    continue
-            stack.append((tag, kind))
+            inside = kind_of(tag, attributes) if attributes and tag in ("span", "a", "ins", "label", "small", "dialog") else None
+            if inside and inside != "article" and not kind.endswith(INSIDE):
+                kind = inside + (INSIDE if kind == "article" else "")
+        enter(tag, kind)
     return out
 
 
