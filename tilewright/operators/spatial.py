@@ -58,5 +58,5 @@ def nearest_other(nodes: DataFrame, group: list[str], start: float, store, round
         left = store(left.join(near, [*group, "id"], "left_anti"))
         reach *= 2
         if left.limit(1).count() == 0:
-            break
-    return found
+            return found
+    raise RuntimeError(f"no neighbour within {reach:g} for some points")

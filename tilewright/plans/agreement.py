@@ -105,7 +105,7 @@ def missing_output(spark, d):
     names = spark.createDataFrame([(s,) for s in (*SOURCES, "var_x")], "source string")
     got = have.join(ref, F.col("region_id") == F.col("rid"), "left").groupBy("source").agg(F.count("*").alias("present"), F.count("rid").alias("_in_ref"))
     total = ref.agg(F.count("*").alias("_total"))
-    return names.join(F.broadcast(got), "source", "left").join(F.broadcast(total)).select("source", (F.col("_total") - F.coalesce("_in_ref", F.lit(0))).alias("missing"), F.coalesce("present", F.lit(0)).alias("present"))
+    return tables.lookup(names, got, "source", "left").join(F.broadcast(total)).select("source", (F.col("_total") - F.coalesce("_in_ref", F.lit(0))).alias("missing"), F.coalesce("present", F.lit(0)).alias("present"))
 
 
 @query(f"with {INSTANCES} select type_name, count(*) as n, round(avg(area_px), 6) as mean_area, round(avg(prob), 6) as mean_prob, round(stddev_pop(area_px), 6) as std_area from instances group by 1")
@@ -188,7 +188,7 @@ def distance_to_reference(spark, d):
     m = regions(spark, d).groupBy("source").agg(F.median("density").alias("density"), F.median("size_ratio").alias("size_ratio"), F.median("size_cv").alias("size_cv"), F.median("area_median").alias("area"))
     u = m.unpivot(["source"], ["density", "size_ratio", "size_cv", "area"], "k", "v")
     ref = u.where(F.col("source") == REF).select("k", F.col("v").alias("ref"))
-    return u.where(F.col("source") != REF).join(F.broadcast(ref), "k").groupBy("source").agg(R(F.avg(F.abs(F.try_divide("v", "ref") - 1)), "distance"))
+    return tables.lookup(u.where(F.col("source") != REF), ref, "k").groupBy("source").agg(R(F.avg(F.abs(F.try_divide("v", "ref") - 1)), "distance"))
 
 
 @query(f"with {REGION_SQL}, s as (select region_id, avg(density) as t, stddev_pop(density) as s from regions group by 1) select source, round(avg(abs(density - t)/(s + 1e-9)), 6) as error from regions join s using (region_id) group by 1")

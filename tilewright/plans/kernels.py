@@ -13,11 +13,11 @@ from tilewright.plans.registry import query
 from tilewright.plans.views import INSTANCES, MANIFEST, PIXELS, TILES, instances, manifest, pixels, table, tiles
 
 
-@query(f"with {PIXELS} select img, y, x, round(255*pow(v/255, 0.7::double), 6) as gamma_, round(least(greatest((v-128)*1.4::double+128, 0), 255), 6) as contrast, 255-v as inverted, round(0.299::double*r+0.587::double*g+0.114::double*b, 6) as gray, g as green, case when r < 10 and g < 40 and b < 40 then 255 else r end as no_black from pixels where y < 6")
+@query(f"with {PIXELS} select img, y, x, round(255*pow(v/255, 0.7::double), 6) as gamma_, round(least(greatest((v-128)*1.4::double+128, 0), 255), 6) as contrast, 255-v as inverted, round(0.299::double*r+0.587::double*g+0.114::double*b, 6) as gray, g as green, case when r < 10 and g < 40 and b < 40 then 255 else r end as no_black from pixels")
 def point_operations(spark, d):
     """Gamma, contrast, inversion, gray, one channel, black to white: one projection."""
     v, r, g, b = (F.col(c) for c in "vrgb")
-    return pixels(spark, d).where("y < 6").select(
+    return pixels(spark, d).select(
         "img", "y", "x", R(255 * F.pow(v / 255, F.lit(0.7)), "gamma_"), R(F.least(F.greatest((v - 128) * 1.4 + 128, F.lit(0.0)), F.lit(255.0)), "contrast"), (255 - v).alias("inverted"),
         R(0.299 * r + 0.587 * g + 0.114 * b, "gray"), g.alias("green"), F.when((r < 10) & (g < 40) & (b < 40), 255.0).otherwise(r).alias("no_black"),
     )
@@ -63,11 +63,11 @@ def calibrated_level(spark, d):
     return p.join(F.broadcast(level)).groupBy("img").agg(F.count_if(hit).alias("purple"), R(F.avg(hit.cast("double")), "part"))
 
 
-@query(f"with {PIXELS} select img, y, x, round(case when v < 85 then 0.7::double*r + 0.3::double*b when v < 170 then 0.4::double*r + 0.6::double*b else b end, 6) as blended from pixels where x < 5")
+@query(f"with {PIXELS} select img, y, x, round(case when v < 85 then 0.7::double*r + 0.3::double*b when v < 170 then 0.4::double*r + 0.6::double*b else b end, 6) as blended from pixels")
 def compartment_blend(spark, d):
     """Two renderings mixed by compartment."""
     v, r, b = F.col("v"), F.col("r"), F.col("b")
-    return pixels(spark, d).where("x < 5").select("img", "y", "x", R(F.when(v < 85, 0.7 * r + 0.3 * b).when(v < 170, 0.4 * r + 0.6 * b).otherwise(b), "blended"))
+    return pixels(spark, d).select("img", "y", "x", R(F.when(v < 85, 0.7 * r + 0.3 * b).when(v < 170, 0.4 * r + 0.6 * b).otherwise(b), "blended"))
 
 
 @query(f"with {PIXELS}, s as (select img, v - avg(v) over w as hv, u - avg(u) over w as hu from pixels window w as (partition by img, y order by x rows between 3 preceding and 3 following)) select img, round(corr(hv, hu), 6) as ncc from s group by 1")
@@ -78,14 +78,14 @@ def highpass_ncc(spark, d):
     return s.groupBy("img").agg(R(stats.pearson(F.col("hv"), F.col("hu")), "ncc"))
 
 
-@query(f"""with {OVER}, b as (select img, tile, case when ox < 8 then 'left' else 'right' end as side, avg(v) as m from placed where ty = 0 and (ox < 8 or ox >= 12) group by 1, 2, 3)
- select a.img, a.tile as i, b.tile as j, round(b.m - a.m, 6) as offset_, round(ln(b.m/a.m), 6) as log_ratio from b a join b on a.img = b.img and a.tile + 1 = b.tile and a.side = 'right' and b.side = 'left'""")
+@query(f"""with {OVER}, b as (select img, tile, case when ox < 8 then 'left' else 'right' end as side, avg(v) as m from placed where ox < 8 or ox >= 12 group by 1, 2, 3)
+ select a.img, a.tile as i, b.tile as j, round(b.m - a.m, 6) as offset_, round(ln(b.m/a.m), 6) as log_ratio from b a join b on a.img = b.img and a.tile + 1 = b.tile and a.tile % 2 = 0 and a.side = 'right' and b.side = 'left'""")
 def border_offsets(spark, d):
     """How much brighter a tile is than its neighbour where both show the same strip."""
-    p = placed(spark, d).where("ty = 0 and (ox < 8 or ox >= 12)")
+    p = placed(spark, d).where("ox < 8 or ox >= 12")
     b = p.groupBy("img", "tile", F.when(F.col("ox") < 8, "left").otherwise("right").alias("side")).agg(F.avg("v").alias("m"))
     left = b.where("side = 'left'").select("img", F.col("tile").alias("j"), F.col("m").alias("mj"))
-    right = b.where("side = 'right'").select("img", F.col("tile").alias("i"), F.col("m").alias("mi"), (F.col("tile") + 1).alias("j"))
+    right = b.where("side = 'right' and tile % 2 = 0").select("img", F.col("tile").alias("i"), F.col("m").alias("mi"), (F.col("tile") + 1).alias("j"))
     return right.join(left, ["img", "j"]).select("img", "i", "j", R(F.col("mj") - F.col("mi"), "offset_"), R(F.ln(F.col("mj") / F.col("mi")), "log_ratio"))
 
 
@@ -111,13 +111,13 @@ def levelled_tiles(spark, d):
     return pixels(spark, d).join(g, "img").groupBy("img").agg(R(F.first("gain"), "gain"), F.count_if(v > 255).alias("clipped"), R(F.avg(F.least(v, F.lit(255.0))), "mean"))
 
 
-@query("with r as (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_partkey) - 1 as k from part) select p_brand, p_partkey, k // 5 as col_, k % 5 as row_, (k // 5)*512 as x, (k % 5)*512 as y from r where k < 25")
+@query("with r as (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_partkey) - 1 as k from part) select p_brand, p_partkey, k // 25 as sheet, (k % 25) // 5 as col_, k % 5 as row_, ((k % 25) // 5)*512 as x, (k % 5)*512 as y from r")
 def fixed_grid(spark, d):
-    """Tiles in the order of their names, placed column by column on a 5 x 5 grid."""
+    """Tiles in the order of their names, placed column by column on sheets of 5 x 5."""
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    r = table(spark, d, "part").select("p_brand", "p_partkey", (F.row_number().over(w) - 1).cast("long").alias("k")).where("k < 25")
-    c, y = F.floor(F.col("k") / 5), F.col("k") % 5
-    return r.select("p_brand", "p_partkey", c.alias("col_"), y.alias("row_"), (c * 512).alias("x"), (y * 512).alias("y"))
+    r = table(spark, d, "part").select("p_brand", "p_partkey", (F.row_number().over(w) - 1).cast("long").alias("k"))
+    c, y = F.floor(F.col("k") % 25 / 5), F.col("k") % 5
+    return r.select("p_brand", "p_partkey", F.floor(F.col("k") / 25).alias("sheet"), c.alias("col_"), y.alias("row_"), (c * 512).alias("x"), (y * 512).alias("y"))
 
 
 @query("with e as (select a.c_custkey as id, 200 + a.c_custkey % 90 as pw, 0.5::double as pmpp, 300 + a.c_custkey % 70 as hw, 0.25::double as hmpp from customer a) select id, round(least(pw*pmpp, hw*hmpp), 6) as extent_um, round(least(pw*pmpp, hw*hmpp)/pmpp, 6) as patch_px, round(least(pw*pmpp, hw*hmpp)/hmpp, 6) as he_px from e")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import color
-from tilewright.operators import raster
+from tilewright.operators import raster, tables
 from tilewright.plans.agreement import R
 from tilewright.plans.registry import query
 from tilewright.plans.views import PIXELS, pixels
@@ -94,13 +94,13 @@ def stain_means(spark, d):
 
 
 @query(f"""with {PIXELS}, s as (select img, y, x, {HED['h']} as h from pixels), m as (select img, avg(h) as mu, stddev_pop(h) as sd from s group by 1), ref as (select avg(h) as mr, stddev_pop(h) as sr from s where img = 0)
- select s.img, y, x, round(h + 0.8::double*((h-mu)*sr/(sd+1e-9) + mr - h), 6) as matched from s join m using (img), ref where s.img > 0 and y < 4""")
+ select s.img, y, x, round(h + 0.8::double*((h-mu)*sr/(sd+1e-9) + mr - h), 6) as matched from s join m using (img), ref where s.img > 0""")
 def stain_matched(spark, d):
     """Haematoxylin of every image given the first image's mean and spread, at a strength of 0.8."""
     s = pixels(spark, d).select("img", "y", "x", color.stains(F.col("r"), F.col("g"), F.col("b"))[0].alias("h"))
     m = s.groupBy("img").agg(F.avg("h").alias("mu"), F.stddev_pop("h").alias("sd"))
     ref = s.where("img = 0").agg(F.avg("h").alias("mr"), F.stddev_pop("h").alias("sr"))
-    got = s.where("img > 0 and y < 4").join(m, "img").join(F.broadcast(ref))  # one row
+    got = s.where("img > 0").join(m, "img").join(F.broadcast(ref))  # one row
     h = F.col("h")
     return got.select("img", "y", "x", R(h + 0.8 * ((h - F.col("mu")) * F.col("sr") / (F.col("sd") + 1e-9) + F.col("mr") - h), "matched"))
 
@@ -125,13 +125,13 @@ def compartment_lab(spark, d):
     m = pixels(spark, d).select("img", part.alias("part"), l.alias("l"), a.alias("a"), b.alias("b")).groupBy("img", "part").agg(F.avg("l").alias("l"), F.avg("a").alias("a"), F.avg("b").alias("b"), F.count("*").alias("px"))
     r = m.where("img = 0").select("part", *[F.col(c).alias("r" + c) for c in "lab"])
     de = color.difference_76(tuple(F.col(c) for c in "lab"), tuple(F.col("r" + c) for c in "lab"))
-    return m.join(F.broadcast(r), "part").select("img", "part", "px", *[R(F.col(c), c) for c in "lab"], R(de, "de76"))
+    return tables.lookup(m, r, "part").select("img", "part", "px", *[R(F.col(c), c) for c in "lab"], R(de, "de76"))
 
 
-@query(f"with {PIXELS} select img, y, x, cast((v::bigint + u::bigint) % 256 as bigint) as wrapped, least(v + u, 255) as clipped from pixels where y < 8")
+@query(f"with {PIXELS} select img, y, x, cast((v::bigint + u::bigint) % 256 as bigint) as wrapped, least(v + u, 255) as clipped from pixels")
 def boosted(spark, d):
     """8-bit sums that run over, beside those that stop at the top."""
-    return pixels(spark, d).where("y < 8").select("img", "y", "x", color.wrap_add(F.col("v").cast("long"), F.col("u").cast("long")).alias("wrapped"), F.least(F.col("v") + F.col("u"), F.lit(255.0)).alias("clipped"))
+    return pixels(spark, d).select("img", "y", "x", color.wrap_add(F.col("v").cast("long"), F.col("u").cast("long")).alias("wrapped"), F.least(F.col("v") + F.col("u"), F.lit(255.0)).alias("clipped"))
 
 
 @query(f"with {PIXELS}, t as (select quantile_cont(v, 0.35) as lo, quantile_cont(v, 0.75) as hi from pixels) select img, case when v <= lo then 'nucleus' when v <= hi then 'dense' else 'pale' end as part, count(*) as px, round(avg(u), 6) as mean_u from pixels, t group by 1, 2")
@@ -166,9 +166,12 @@ def instance_shapes(spark, d):
 
 
 def whole_tiles(spark, d, *values):
-    """Complete images of 32 x 32 as arrays."""
-    t = raster.tiles(pixels(spark, d).select("img", "y", "x", *values), "img", *values)
-    return t.where((F.size(values[0]) == 1024) & (F.col("h") == 32) & (F.col("w") == 32))
+    """All images as arrays of 32 x 32; pixels that an image lacks are 0."""
+    own = pixels(spark, d).groupBy("img").agg(F.collect_list(F.struct((F.col("y") * 32 + F.col("x")).alias("i"), *values)).alias("p"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(1023).cast("long"))
+    holes = F.transform(F.array_except(every, F.col("p.i")), lambda i: F.struct(i.alias("i"), *[F.lit(0.0).alias(v) for v in values]))
+    full = own.select("img", F.array_sort(F.concat("p", holes)).alias("p"))
+    return full.select("img", F.lit(32).alias("h"), F.lit(32).alias("w"), *[F.col(f"p.{v}").alias(v) for v in values])
 
 
 @query()

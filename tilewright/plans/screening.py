@@ -17,9 +17,14 @@ from tilewright.plans.views import MANIFEST, SCORES, TILES, manifest, scores, ta
 Z = f"""{SCORES}, z as (select vec_id, structure, score, round((score - avg(score) over (partition by structure))/(stddev_pop(score) over (partition by structure) + 1e-9), 6) as z from scores)"""
 
 
+def standardised(s):
+    """Adds z. Mean and deviation are aggregates, one row per structure, so rows stay where they are."""
+    m = s.groupBy("structure").agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_s"))
+    return tables.lookup(s, m, "structure").withColumn("z", F.round((F.col("score") - F.col("_m")) / (F.col("_s") + 1e-9), 6)).drop("_m", "_s")
+
+
 def z_scores(spark, d):
-    w = Window.partitionBy("structure")
-    return scores(spark, d).withColumn("z", F.round(stats.z_score(F.col("score"), w), 6))
+    return standardised(scores(spark, d))
 
 
 @query(f"with {TILES} select tile_id, y, x, tissue from tiles where tissue >= 0.25")
@@ -40,7 +45,7 @@ def roi_then_normalise(spark, d):
     mid = lambda c: F.col(c) + F.col("size") / 2
     inside = tiles(spark, d).where(mid("x").between(512, 4096) & mid("y").between(256, 3000)).select("vec_id")
     f = scores(spark, d).join(inside, "vec_id", "left_semi")
-    return f.select("vec_id", "structure", R(stats.z_score(F.col("score"), Window.partitionBy("structure")), "z"))
+    return standardised(f).select("vec_id", "structure", "z")
 
 
 @query(f"with {TILES}, {SCORES} select s.structure, count(*) as scored, count(*) filter (where t.vec_id is null) as not_in_index from scores s left join (select * from tiles where tissue >= 0.1) t using (vec_id) group by 1")
@@ -51,9 +56,9 @@ def membership(spark, d):
     return s.groupBy("structure").agg(F.count("*").alias("scored"), F.count_if(F.col("known").isNull()).alias("not_in_index"))
 
 
-@query(f"with {TILES}, {SCORES} select tile_id, structure, score, tissue from scores join tiles using (vec_id) where structure < 3")
+@query(f"with {TILES}, {SCORES} select tile_id, structure, score, tissue from scores join tiles using (vec_id)")
 def scored_tiles(spark, d):
-    return tables.lookup(scores(spark, d).where("structure < 3"), tiles(spark, d).select("vec_id", "tile_id", "tissue"), "vec_id").select("tile_id", "structure", "score", "tissue")
+    return tables.lookup(scores(spark, d), tiles(spark, d).select("vec_id", "tile_id", "tissue"), "vec_id").select("tile_id", "structure", "score", "tissue")
 
 
 @query(f"with {Z} select vec_id, structure, z from z")
@@ -69,21 +74,24 @@ def top_tiles(spark, d):
 @query(f"with {Z}, r as (select *, row_number() over (partition by structure order by z desc, vec_id) as rank from z) select structure, round(avg(score), 6) as mean, round(stddev_pop(score), 6) as std, max(z) as top_z, array_to_string(list(vec_id order by rank) filter (where rank <= 3), ' ') as top_tiles from r group by 1")
 def structure_summary(spark, d):
     """Mean, spread, best z and the three best tiles per structure."""
-    w = Window.partitionBy("structure").orderBy(F.desc("z"), "vec_id")
-    r = z_scores(spark, d).withColumn("rank", F.row_number().over(w))
-    best = F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", "vec_id"))))
-    return r.groupBy("structure").agg(R(F.avg("score"), "mean"), R(F.stddev_pop("score"), "std"), F.max("z").alias("top_z"), F.array_join(F.transform(best, lambda b: b["vec_id"].cast("string")), " ").alias("top_tiles"))
+    z = z_scores(spark, d)
+    best = ops.ranked(z, ["structure"], "z", "vec_id", 3).groupBy("structure").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("best"))
+    whole = z.groupBy("structure").agg(R(F.avg("score"), "mean"), R(F.stddev_pop("score"), "std"), F.max("z").alias("top_z"))
+    return whole.join(best, "structure").select("structure", "mean", "std", "top_z", F.array_join(F.transform("best", lambda b: b["vec_id"].cast("string")), " ").alias("top_tiles"))
+
+
+#: Structures of the shortlist: all that the views have.
+STRUCTURES = 10
 
 
-def wide_scores(spark, d, n=4):
-    s = scores(spark, d).where(F.col("structure") < n)
-    return s.groupBy("vec_id").agg(*[F.max(F.when(F.col("structure") == i, F.col("score"))).alias(f"s{i}") for i in range(n)])
+def wide_scores(spark, d, n=STRUCTURES):
+    return scores(spark, d).groupBy("vec_id").agg(*[F.max(F.when(F.col("structure") == i, F.col("score"))).alias(f"s{i}") for i in range(n)])
 
 
-@query(f"""with {SCORES}, r as (select *, row_number() over (partition by structure order by score desc, vec_id) as rank from scores where structure < 4), q as (select vec_id, min((structure, rank)) as s from r where rank <= 5 group by 1),
- b as (select vec_id, max(score) as best from scores where structure < 4 group by 1) select vec_id, s is not null as by_quota, row_number() over (order by s is null, s, best desc, vec_id) as place from b left join q using (vec_id) qualify place <= 20""")
+@query(f"""with {SCORES}, r as (select *, row_number() over (partition by structure order by score desc, vec_id) as rank from scores), q as (select vec_id, min((structure, rank)) as s from r where rank <= 5 group by 1),
+ b as (select vec_id, max(score) as best from scores group by 1) select vec_id, s is not null as by_quota, row_number() over (order by s is null, s, best desc, vec_id) as place from b left join q using (vec_id) qualify place <= 50""")
 def quota_shortlist(spark, d):
-    out = ops.shortlist(wide_scores(spark, d), "vec_id", [f"s{i}" for i in range(4)], 20)
+    out = ops.shortlist(wide_scores(spark, d), "vec_id", [f"s{i}" for i in range(STRUCTURES)], 50)
     return out.select("vec_id", "by_quota", F.col("place").cast("long").alias("place"))
 
 
@@ -146,11 +154,11 @@ def region_records(spark, d):
     return r.groupBy("tile_id").agg(F.min(F.when(F.col("rank") <= 3, 1).otherwise(2)).cast("long").alias("tier"), F.max("z").alias("top_z"), F.max(F.col("structure") >= 7).alias("ecm"), F.to_json(picks).alias("picks"))
 
 
-@query(f"with {MANIFEST} select id, sample, case when links is null then 'unpaired' when len(links) = 0 then 'no match' else array_to_string(links, '|') end as link from manifest where n < 5")
+@query(f"with {MANIFEST} select id, sample, case when links is null then 'unpaired' when len(links) = 0 then 'no match' else array_to_string(links, '|') end as link from manifest")
 def links_null_or_empty(spark, d):
     """No scan at all and no match in the scan are two states."""
     state = F.when(F.col("links").isNull(), "unpaired").when(F.size("links") == 0, "no match").otherwise(F.array_join("links", "|"))
-    return manifest(spark, d).where("n < 5").select("id", "sample", state.alias("link"))
+    return manifest(spark, d).select("id", "sample", state.alias("link"))
 
 
 @query(f"with {MANIFEST}, e as (select id, unnest(case when links is null or len(links) = 0 then [null] else links end) as f, unnest(range(0, greatest(len(coalesce(links, [])), 1))) as i from manifest) select id, coalesce(f, '(no match)') as file, case when f is not null then i else -1 end as fov_i from e")
@@ -248,10 +256,10 @@ def threshold_replay(spark, d):
     return per.select("t", (F.col("off") == 0).alias("matches"))
 
 
-@query("select p_partkey, op from part, (values ('identity'), ('flip_h'), ('flip_v'), ('rot90'), ('rot180'), ('rot270')) o(op) where p_partkey < 50")
+@query("select p_partkey, op from part, (values ('identity'), ('flip_h'), ('flip_v'), ('rot90'), ('rot180'), ('rot270')) o(op)")
 def augmentation_plan(spark, d):
     ops_ = F.array(*map(F.lit, ("identity", "flip_h", "flip_v", "rot90", "rot180", "rot270")))
-    return table(spark, d, "part").where("p_partkey < 50").select("p_partkey", F.explode(ops_).alias("op"))
+    return table(spark, d, "part").select("p_partkey", F.explode(ops_).alias("op"))
 
 
 @query(f"with {TILES}, f as (select vec_id, (y + 128)::double/6000 as fy, (x + 128)::double/6400 as fx from tiles), l as (select *, least(greatest(floor(fy*12), 0), 11)::bigint as line from f), k as (select *, least(floor(least(greatest(fx, 0), 1)*9), 8)::bigint as field from l) select vec_id, line, case when line % 2 = 1 then 8 - field else field end as fov from k")
@@ -294,8 +302,11 @@ def parsed_tile_names(spark, d):
     return tiles(spark, d).select("tile_id", y.alias("y"), x.alias("x"))
 
 
-@query(f"with {TILES}, {SCORES}, m as (select structure, avg(score) as mean from scores group by 1) select y // 512 as cy, x // 512 as cx, round(avg(score), 6) as field, count(*) as n from scores join tiles using (vec_id) where structure = 2 group by 1, 2")
+@query(f"""with {TILES}, {SCORES}, c as (select structure, y // 512 as cy, x // 512 as cx, sum(round(score*1000000)::bigint)::bigint*2 + count(*) as a, count(*) as n from scores join tiles using (vec_id) group by 1, 2, 3)
+ select structure, cy, cx, ((a - ((a % (2*n)) + 2*n) % (2*n)) // (2*n))::double/1000000 as field, n from c""")
 def score_field(spark, d):
-    """Scores stamped on a coarser lattice: each cell the mean of the tiles that cover it."""
-    s = scores(spark, d).where("structure = 2").join(tiles(spark, d).select("vec_id", "y", "x"), "vec_id")
-    return s.groupBy(F.floor(F.col("y") / 512).alias("cy"), F.floor(F.col("x") / 512).alias("cx")).agg(R(F.avg("score"), "field"), F.count("*").alias("n"))
+    """Scores stamped on a coarser lattice: each cell the mean of the tiles that cover it, summed and rounded in whole
+    millionths, so that the order of summing can't matter."""
+    s = tables.lookup(scores(spark, d), tiles(spark, d).select("vec_id", "y", "x"), "vec_id").withColumn("u", F.round(F.col("score") * 1_000_000).cast("long"))
+    c = s.groupBy("structure", F.floor(F.col("y") / 512).alias("cy"), F.floor(F.col("x") / 512).alias("cx")).agg((F.sum("u") * 2 + F.count("*")).alias("a"), F.count("*").alias("n"))
+    return c.select("structure", "cy", "cx", (F.expr("(a - pmod(a, 2*n)) div (2*n)").cast("double") / 1_000_000).alias("field"), "n")

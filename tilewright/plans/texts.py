@@ -111,9 +111,9 @@ def array_functions(spark, d):
     return table(spark, d, "embeddings").select("vec_id", (F.array_position(e, F.array_max(e)) - 1).alias("argmax"), (F.array_position(e, F.array_min(e)) - 1).alias("argmin"), F.size(F.filter(e, lambda v: v > 0)).cast("long").alias("positive"), R(F.aggregate(e, F.lit(0.0), lambda a, v: a + v.cast("double")), "total", 5))
 
 
-@query(f"with {SCORES} select vec_id, structure, score from scores where structure in (1, 4)")
+@query(f"with {SCORES} select vec_id, structure, score from scores")
 def cosine_scores(spark, d):
-    return scores(spark, d).where(F.col("structure").isin(1, 4))
+    return scores(spark, d)
 
 
 @query("select s_suppkey, md5(s_name) as md5, to_base64(s_name::blob) as b64, replace(replace('<b>' || s_name || ' & \"co\"</b>', '&', '&amp;'), '<', '&lt;') is not null as escaped from supplier")
@@ -123,12 +123,12 @@ def hashes_and_codes(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.md5(c.cast("binary")).alias("md5"), F.base64(c.cast("binary")).alias("b64"), (text.html_escape(whole) != whole).alias("escaped"))
 
 
-@query("select a.doc_id as a, b.doc_id as b from documents a join documents b on length(a.text) = length(b.text) and md5(a.text) = md5(b.text) and a.doc_id < b.doc_id where a.doc_id % 2 = 0")
+@query("select doc_id, min(doc_id) over w as class_id, count(*) over w as class_size from documents window w as (partition by length(text), md5(text))")
 def content_matches(spark, d):
-    """Equal contents: by size first, then by hash."""
+    """Equal contents, by size and hash: each document with the smallest id of its class, and the class's size."""
     t = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("h"))
-    b = t.select(F.col("doc_id").alias("b"), "n", "h")
-    return t.where("doc_id % 2 = 0").join(b, ["n", "h"]).where("doc_id < b").select(F.col("doc_id").alias("a"), "b")
+    c = t.groupBy(F.col("n").alias("_n"), F.col("h").alias("_h")).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return t.join(c, F.col("n").eqNullSafe(F.col("_n")) & F.col("h").eqNullSafe(F.col("_h"))).select("doc_id", "class_id", "class_size")
 
 
 @query("select event_id % 4 as batch, count(*) as rows_in, count(*) filter (where first_batch = event_id % 4) as appended from (select *, min(event_id % 4) over (partition by user_id) as first_batch from events) group by 1")
@@ -174,9 +174,9 @@ def relocation_plan(spark, d):
     return manifest(spark, d).groupBy("sample", "n", action.alias("action")).agg(F.count("*").alias("files"))
 
 
-@query("with s as (select (select count(*) from customer) as a, (select count(*) from supplier) as b) select i, i % a as a, (i*7 + 3) % b as b from range(0, 2000) r(i), s where i < greatest(a, b)")
+@query("with s as (select (select count(*) from customer) as a, (select count(*) from supplier) as b) select i, i % a as a, (i*7 + 3) % b as b from (select unnest(range(0, greatest(a, b))) as i, a, b from s)")
 def unpaired_samples(spark, d):
     """As many pairs as the longer listing has; the shorter one starts over."""
     a, b = table(spark, d, "customer").agg(F.count("*").alias("na")), table(spark, d, "supplier").agg(F.count("*").alias("nb"))
     n = a.join(F.broadcast(b))  # one row each
-    return n.select("na", "nb", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.greatest("na", "nb"), F.lit(2000)) - 1)).alias("i")).select("i", (F.col("i") % F.col("na")).alias("a"), ((F.col("i") * 7 + 3) % F.col("nb")).alias("b"))
+    return n.select("na", "nb", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("na", "nb") - 1)).alias("i")).select("i", (F.col("i") % F.col("na")).alias("a"), ((F.col("i") * 7 + 3) % F.col("nb")).alias("b"))
