@@ -177,6 +177,35 @@ def test_kernels():
     assert h * w == 15 and not bad[y : y + h, x : x + w].any()
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_clean_rectangle_equals_all_placements(seed):
+    rng = np.random.default_rng(seed)
+    bad, tissue, tile = rng.random((9, 11)) < rng.uniform(0, 0.2), rng.random((9, 11)) < 0.5, int(rng.integers(1, 4))
+    every = [
+        (-ny * nx, abs(ny - nx), ny, -int(tissue[y : y + ny * tile, x : x + nx * tile].sum()), y, x, nx)
+        for ny in range(1, 9 // tile + 1) for nx in range(1, 11 // tile + 1) for y in range(9 - ny * tile + 1) for x in range(11 - nx * tile + 1)
+        if not bad[y : y + ny * tile, x : x + nx * tile].any()
+    ]
+    want = (lambda b: (b[4], b[5], b[2], b[6]))(min(every)) if every else (0, 0, 0, 0)
+    assert raster.clean_rectangle(bad, tile, tissue) == want
+
+
+@pytest.mark.parametrize("anchor,prior", [(1.0, 0.0), (10.0, 0.0), (0.0, 0.02)])
+def test_placement_equals_least_squares(anchor, prior):
+    from tilewright.operators import solve
+
+    rng = np.random.default_rng(3)
+    n, m = 40, 90
+    i, j = np.arange(m) % (n - 1), np.arange(m) % (n - 1) + 1
+    i[n:] = rng.integers(0, n, m - n)
+    keep = i != j
+    i, j = i[keep], j[keep]
+    shift, w = rng.normal(0, 100, len(i)), rng.uniform(0.5, 2, len(i))
+    rows = [w[k] * (np.eye(n)[j[k]] - np.eye(n)[i[k]]) for k in range(len(i))] + [anchor * np.eye(n)[0]] + list(prior * np.eye(n))
+    want = np.linalg.lstsq(np.array(rows), np.concatenate([w * shift, np.zeros(n + 1)]), rcond=None)[0]
+    assert np.allclose(solve._anchored(n, i, j, shift, w, anchor, prior), want, atol=1e-6)
+
+
 def test_names(spark):
     fov, x, y = text.placed_name(F.col("v"))
     got = frame(spark, [("a_x12_y7",), ("zz",)], "v string").select(fov, x, y).collect()

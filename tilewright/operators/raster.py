@@ -168,19 +168,43 @@ def tile_shift(df: DataFrame, img: str, a: str, b: str) -> DataFrame:
     return _per_tile(df, img, [a, b], lambda p, q: [best_shift(p, q)], "dy long, dx long, ncc double")
 
 
-def clean_rectangle(bad: np.ndarray) -> tuple[int, int, int, int]:
-    """y, x, height, width of the largest rectangle without a bad cell; the squarer, then the first, among equals."""
-    h, w = bad.shape
-    s = np.pad(bad.astype(np.int64), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-    for ny, nx in sorted(((i, j) for i in range(1, h + 1) for j in range(1, w + 1)), key=lambda t: (-t[0] * t[1], abs(t[0] - t[1]), t)):
-        hit = np.argwhere(s[ny:, nx:] - s[:-ny, nx:] - s[ny:, :-nx] + s[:-ny, :-nx] == 0)
-        if len(hit):
-            return int(hit[0][0]), int(hit[0][1]), ny, nx
-    return 0, 0, 0, 0
-
-
-def tile_rectangle(df: DataFrame, img: str, value: str, below: float) -> DataFrame:
-    return _per_tile(df, img, [value], lambda a: [clean_rectangle(a < below)], "y long, x long, ny long, nx long")
+def _runs(ok: np.ndarray, axis: int) -> np.ndarray:
+    """How many cells in a row are set from each one on, along an axis."""
+    ok = np.moveaxis(ok, axis, 0)
+    out = np.zeros((len(ok) + 1, *ok.shape[1:]), np.int64)
+    for k in range(len(ok) - 1, -1, -1):
+        out[k] = np.where(ok[k], out[k + 1] + 1, 0)
+    return np.moveaxis(out[:-1], 0, axis)
+
+
+def clean_rectangle(bad: np.ndarray, tile: int = 1, tissue: np.ndarray | None = None) -> tuple[int, int, int, int]:
+    """y, x of the largest rectangle of whole tiles without a bad cell, and its height and width in tiles.
+
+    Of equal areas the squarer is taken, then the lower one; of its places the one with the most tissue, then the first.
+    One scan for each height: where columns are clean that far down, the longest run of such columns is the width.
+    """
+    down, best, runs = _runs(~bad, 0), (0, 0, 0, 0), None
+    for ny in range(1, bad.shape[0] // tile + 1):
+        across = _runs(down >= ny * tile, 1)
+        nx = int(across.max(initial=0)) // tile
+        if not nx:
+            break
+        if (rank := (ny * nx, -abs(ny - nx))) > best[:2]:
+            best, runs = (*rank, ny, nx), across
+    if runs is None:
+        return 0, 0, 0, 0
+    ny, nx = best[2:]
+    h, w = ny * tile, nx * tile
+    fits = runs[: bad.shape[0] - h + 1, : bad.shape[1] - w + 1] >= w
+    total = np.pad((np.zeros_like(bad) if tissue is None else tissue).astype(np.int64), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+    inside = total[h:, w:] - total[:-h, w:] - total[h:, :-w] + total[:-h, :-w]
+    y, x = np.unravel_index(int(np.argmax(np.where(fits, inside, -1))), fits.shape)
+    return int(y), int(x), ny, nx
+
+
+def tile_rectangle(df: DataFrame, img: str, value: str, below: float, tissue: str, most: float, tile: int) -> DataFrame:
+    """Cells of a value under below are bad; tissue is what another value has under most."""
+    return _per_tile(df, img, [value, tissue], lambda a, t: [clean_rectangle(a < below, tile, t < most)], "y long, x long, ny long, nx long")
 
 
 def _box(a: np.ndarray, r: int, how) -> np.ndarray:
