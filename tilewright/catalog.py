@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tilewright.plans import agreement, kernels, rasters, screening, spatial, texts
+from tilewright.plans import agreement, files, kernels, rasters, screening, spatial, texts
 from tilewright.plans.registry import QUERIES, SQL
 
-__all__ = ["agreement", "kernels", "oracle_sql", "queries", "rasters", "screening", "spatial", "texts"]
+__all__ = ["agreement", "files", "kernels", "oracle_sql", "queries", "rasters", "screening", "spatial", "texts"]
 
 
 def queries() -> dict:

@@ -18,15 +18,20 @@ from tilewright.plans.views import INSTANCES, MANIFEST, TILES, instances, manife
 _own: list[str] = []
 
 
-def stored(df):
-    """df written once to the folder that the session's spark.checkpoint.dir names, and read back. Only where that is unset
-    and all tasks run in this process, the folder is one of our own."""
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not re.fullmatch(r"local(\[.*\])?", df.sparkSession.sparkContext.master):
+def shared(spark) -> str:
+    """A new path in the folder that the session's spark.checkpoint.dir names. Only where that is unset and all tasks run in
+    this process, the folder is one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named and not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="tilewright-"))
-    path = f"{(named or _own[0]).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    return f"{(named or _own[0]).rstrip('/')}/stored-{uuid.uuid4().hex}"
+
+
+def stored(df):
+    """df written once to the shared folder, and read back."""
+    path = shared(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
