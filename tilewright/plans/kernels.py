@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import stats
 from tilewright.operators import raster
 from tilewright.plans.agreement import R
-from tilewright.plans.rasters import OVER, placed, whole_tiles
+from tilewright.plans.rasters import FULL, OVER, placed, whole_tiles
 from tilewright.plans.registry import query
 from tilewright.plans.views import INSTANCES, MANIFEST, PIXELS, TILES, instances, manifest, pixels, table, tiles
 
@@ -162,13 +162,20 @@ def half_size(spark, d):
     return raster.coarse(pixels(spark, d), "img", "v", 2).select("img", F.col("cy").alias("y"), F.col("cx").alias("x"), F.col("mean").alias("v"))
 
 
-@query()
+def _near(source: str, how: str) -> str:
+    return f"(select a.img, a.y, a.x, {how}(b.b) as b from {source} a join {source} b on a.img = b.img and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by 1, 2, 3)"
+
+
+@query(f"""with {FULL}, m as (select img, y, x, (v >= 128)::bigint as b from whole), d as {_near("m", "max")}, e as {_near("d", "min")}, w as {_near("e", "max")}
+ select m.img, sum(m.b)::bigint as before, sum(e.b)::bigint as closed, sum(w.b)::bigint as widened from m join e using (img, y, x) join w using (img, y, x) group by 1""")
 def mask_after_closing(spark, d):
     """Covered pixels of a mask before and after it is closed and widened by one pixel."""
     return raster.tile_closing(whole_tiles(spark, d, "v"), "img", "v", 128.0, 1)
 
 
-@query()
+@query(f"""with {FULL}, t as (select img, y - 10 as ty, x - 10 as tx, u - avg(u) over (partition by img) as s from whole where y between 10 and 21 and x between 10 and 21),
+ p as (select w.img, w.y - t.ty as y, w.x - t.tx as x, sum(w.v*t.s) as vs, sum(w.v) as v, sum(w.v*w.v) as vv, sum(t.s*t.s) as ss from whole w join t on t.img = w.img where w.y - t.ty between 0 and 20 and w.x - t.tx between 0 and 20 group by 1, 2, 3),
+ r as (select img, y, x, round(vs/sqrt(greatest((vv - v*v/144)*ss, 1e-12)), 9) as ncc from p) select img, y, x, round(ncc, 6) as ncc from r qualify row_number() over (partition by img order by ncc desc, y, x) = 1""")
 def template_places(spark, d):
     """Where the middle of one channel fits best in the other."""
     return raster.tile_template(whole_tiles(spark, d, "v", "u"), "img", "v", "u", 12).withColumn("ncc", F.round("ncc", 6))

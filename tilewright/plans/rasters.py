@@ -165,6 +165,11 @@ def instance_shapes(spark, d):
     return o.groupBy("img", "inst").agg(F.count("*").alias("area_px"), R(F.avg("y"), "cy"), R(F.avg("x"), "cx"), (F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"))
 
 
+#: The same images in SQL: every pixel of 32 x 32, 0 where an image lacks it.
+FULL = f"""{PIXELS}, imgs as (select distinct img from pixels), whole as (select i.img, a.y, b.x, coalesce(p.v, 0) as v, coalesce(p.u, 0) as u
+ from imgs i cross join range(0, 32) a(y) cross join range(0, 32) b(x) left join pixels p on p.img = i.img and p.y = a.y and p.x = b.x)"""
+
+
 def whole_tiles(spark, d, *values):
     """All images as arrays of 32 x 32; pixels that an image lacks are 0."""
     own = pixels(spark, d).groupBy("img").agg(F.collect_list(F.struct((F.col("y") * 32 + F.col("x")).alias("i"), *values)).alias("p"))
@@ -185,17 +190,26 @@ def artifact_blobs(spark, d):
     return raster.tile_blobs(whole_tiles(spark, d, "v"), "img", "v", 180.0, 6)
 
 
-@query()
+@query(f"""with {FULL}, m as (select img, avg(v) as m from whole group by 1), z as (select img, y, x, v - m as z from whole join m using (img)),
+ s as (select a.img, sum(a.z*a.z) as a0, sum(a.z*b.z) as ay, sum(a.z*c.z) as ax from z a join z b on b.img = a.img and b.y = (a.y + 8) % 32 and b.x = a.x join z c on c.img = a.img and c.y = a.y and c.x = (a.x + 8) % 32 group by 1)
+ select img, round(case when a0 > 1e-9 then (ay + ax)/(2*a0) else 0 end, 6) as score from s""")
 def period_artifact(spark, d):
     return raster.tile_period(whole_tiles(spark, d, "v"), "img", "v", 8).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""with {FULL}, s as (select a.img, a.y - b.y as dy, a.x - b.x as dx, count(*) as n, sum(a.v) as sa, sum(b.u) as sb, sum(a.v*b.u) as ab, sum(a.v*a.v) as aa, sum(b.u*b.u) as bb from whole a join whole b on a.img = b.img group by 1, 2, 3 having count(*) >= 256),
+ r as (select img, dy, dx, (ab - sa*sb/n)/sqrt(greatest((aa - sa*sa/n)*(bb - sb*sb/n), 1e-9)) as ncc from s) select img, dy, dx, round(ncc, 6) as ncc from r qualify row_number() over (partition by img order by round(ncc, 9) desc, (dy + 64) % 64, (dx + 64) % 64) = 1""")
 def best_shift(spark, d):
     return raster.tile_shift(whole_tiles(spark, d, "v", "u"), "img", "v", "u").withColumn("ncc", F.round("ncc", 6))
 
 
-@query()
+@query(f"""with {FULL}, b as (select img, y, x, (u < 20)::int as bad, (v < 120)::int as tis from whole), r as (select img, y, x, sum(bad) over w as rb, sum(tis) over w as rt from b window w as (partition by img, y order by x)),
+ s as (select img, y + 1 as y, x + 1 as x, sum(rb) over w as sb, sum(rt) over w as st from r window w as (partition by img, x order by y) union all select img, 0, x, 0, 0 from imgs, range(0, 33) g(x) union all select img, y, 0, 0, 0 from imgs, range(1, 33) g(y)),
+ c as (select img, ny, nx, y, x from imgs, range(1, 9) a(ny), range(1, 9) e(nx), range(0, 32) f(y), range(0, 32) g(x) where y <= 32 - 4*ny and x <= 32 - 4*nx),
+ q as (select c.*, d.sb - e.sb - f.sb + g.sb as bad, d.st - e.st - f.st + g.st as tis from c join s d on d.img = c.img and d.y = c.y + 4*ny and d.x = c.x + 4*nx join s e on e.img = c.img and e.y = c.y and e.x = c.x + 4*nx
+  join s f on f.img = c.img and f.y = c.y + 4*ny and f.x = c.x join s g on g.img = c.img and g.y = c.y and g.x = c.x),
+ k as (select *, row_number() over (partition by img order by ny*nx desc, abs(ny - nx), ny, tis desc, y, x) as n from q where bad = 0)
+ select imgs.img, coalesce(y, 0) as y, coalesce(x, 0) as x, coalesce(ny, 0) as ny, coalesce(nx, 0) as nx from imgs left join k on k.img = imgs.img and k.n = 1""")
 def clean_rectangle(spark, d):
     """The largest border-free rectangle of whole tiles of four pixels, with the most tissue among equals."""
     return raster.tile_rectangle(whole_tiles(spark, d, "u", "v"), "img", "u", 20.0, "v", 120.0, 4)
