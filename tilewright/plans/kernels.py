@@ -181,7 +181,8 @@ def template_places(spark, d):
     return raster.tile_template(whole_tiles(spark, d, "v", "u"), "img", "v", "u", 12).withColumn("ncc", F.round("ncc", 6))
 
 
-@query()
+@query(f"""with {FULL}, b as (select a.img, a.y, a.x, avg(w.v) - any_value(a.v) as depth from whole a cross join range(-5, 6) i(i) cross join range(-5, 6) j(j) join whole w on w.img = a.img and w.y = greatest(least(a.y + i.i, 31), 0) and w.x = greatest(least(a.x + j.j, 31), 0) group by 1, 2, 3)
+ select img, round(coalesce(quantile_cont(depth, 0.75) filter (where depth > 0), 0), 6) as depth, count(*) filter (where depth > 0) as n from b group by 1""")
 def hole_depths(spark, d):
     """How much darker than their surroundings the darkest parts are: the 75th percentile of the difference."""
     return raster.tile_holes(whole_tiles(spark, d, "v"), "img", "v", 5).withColumn("depth", F.round("depth", 6))

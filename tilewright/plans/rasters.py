@@ -184,7 +184,9 @@ def structural_similarity(spark, d):
     return raster.tile_ssim(whole_tiles(spark, d, "v", "u"), "img", "v", "u").withColumn("ssim", F.round("ssim", 6))
 
 
-@query()
+@query(f"""with recursive {FULL}, n as (select img, y*32 + x as id, y, x from whole where v >= 180), e as (select a.img, a.id as a, b.id as b from n a join n b on a.img = b.img and abs(a.y - b.y) + abs(a.x - b.x) = 1),
+ reach(img, id, r) as (select img, id, id from n union select e.img, e.b, reach.r from reach join e on e.img = reach.img and e.a = reach.id), c as (select img, id, min(r) as c from reach group by 1, 2),
+ g as (select img, c, count(*) as area, avg(y) as cy, avg(x) as cx from c join n using (img, id) group by 1, 2), k as (select *, row_number() over (partition by img order by c) as blob from g) select img, blob, area, cy, cx from k where area >= 6""")
 def artifact_blobs(spark, d):
     """Connected bright parts of at least six pixels."""
     return raster.tile_blobs(whole_tiles(spark, d, "v"), "img", "v", 180.0, 6)
