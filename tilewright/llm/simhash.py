@@ -234,11 +234,8 @@ def copy_links(nodes: DataFrame, prints: DataFrame, at: float) -> DataFrame:
 
     slots = nodes.select(F.explode("keys").alias("slot"), "node")
     met = cut(slots.repartition("slot").sortWithinPartitions("slot").mapInArrow(_several, "slot long, node long"), "simhash-met")
-    need = nodes.join(met.select("node").distinct().hint("merge"), "node", "left_semi").select(F.col("node").alias("_m"), "first")
-    # exact copies have the same grams, so of each node's rows the first gives them; rows that repeat it repeat them
-    own = F.struct(F.isnull("id").alias("none"), "id", "mark")
-    known = prints.select(F.col("node").alias("_n"), own.alias("own"), "grams").join(need.hint("merge"), (F.col("_n") == F.col("_m")) & F.col("own").eqNullSafe(F.col("first")))
-    known = known.groupBy("_n").agg(F.min("grams").alias("grams"))
+    # exact copies have the same grams: one row of each node is left before anything is dealt
+    known = prints.groupBy("node").agg(F.first("grams").alias("grams")).join(met.select("node").distinct().hint("merge"), "node", "left_semi").withColumnRenamed("node", "_n")
     return met.join(known.hint("merge"), F.col("node") == F.col("_n")).select("slot", "node", "grams").repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "a long, b long").distinct()
 
 
