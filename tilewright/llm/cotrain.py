@@ -1,6 +1,6 @@
 """Quality by co-training: a classifier of text content and one of page metadata teach each other.
 
-The text view knows a document by its words (hashed) and by shares of symbols, capitals, repeats and the like; the
+The text view knows a document by its words (as they are written, hashed) and by shares of symbols, capitals, repeats and the like; the
 metadata view knows only what comes with the text: source, language and stated length. Both are naive Bayes models, so
 what they learn from any number of documents is a table of counts. In each round a narrow pass over the stored features
 adds, for either view, the labelled documents and those unlabelled ones of which the *other* view is confident; the passes
@@ -55,8 +55,8 @@ def text_bins(text: str | None, m: dict) -> list[int]:
 
 def buckets(text: str | None) -> np.ndarray:
     """The buckets of a text's distinct words, in ascending order."""
-    words = set(words_of(text.lower() if text else text))
-    return np.unique(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS).astype("<u2")
+    words = set(words_of(text))
+    return np.unique(np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(BUCKETS)).astype("<u2")
 
 
 def meta_bins(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:

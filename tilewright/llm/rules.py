@@ -33,8 +33,8 @@ RULES = (
     ("variety", "n_distinct * 100 >= least(n_words, 400) * 25", "n_distinct * 100 < least(n_words, 400) * 10"),
 )
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct")
-_NO_SYMBOLS = str.maketrans("", "", SYMBOLS)
-_SPACES = str.maketrans("", "", " \t\n\x0b\x0c\r")
+_SPACES, _OTHERS = " \t\n\x0b\x0c\r", "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_UPPER = bytes(range(65, 91))
 WINDOW = 5
 #: Words of a block in which distinct ones are counted, as the variety rule has it, so a text's length doesn't matter.
 BLOCK = 400
@@ -88,11 +88,23 @@ def least_distinct(words: list[bytes], block: int = BLOCK) -> int:
     return min((len(set(words[i : i + block])) for i in [*range(0, n - block, block), max(0, n - block)]), default=0)
 
 
+def capitals(text: str) -> int:
+    """Characters that have a small form of their own; none where that has another length."""
+    if text.isascii():
+        raw = text.encode()
+        return len(raw) - len(raw.translate(None, _UPPER))
+    low = text.lower()
+    if len(low) != len(text):
+        return 0
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (text, low))
+    return int(np.count_nonzero(a != b))
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     """The measures of a whole text, in the order of MEASURES."""
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
-    bare = text.translate(_SPACES) if not text.isascii() else "".join(text.split(" ")) if text.isalpha() else text.translate(_SPACES)
+    n_chars = len(text) - sum(map(text.count, _SPACES))
     seen: set[str] = set()
     dup = lines = 0
     for line in text.split("\n"):
@@ -103,10 +115,8 @@ def measure(text: str | None) -> tuple[int, ...]:
             else:
                 seen.add(line)
     symbols = sum(map(text.count, SYMBOLS))
-    low = text.lower()
-    upper = sum(a != b for a, b in zip(text, low)) if len(low) == len(text) and low != text else 0
-    letters = len(bare) - sum(map(bare.count, "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
-    return len(words), len(bare), symbols, dup, repeat_words(words), lines, upper, letters, least_distinct(words)
+    letters = n_chars - sum(map(text.count, _OTHERS))
+    return len(words), n_chars, symbols, dup, repeat_words(words), lines, capitals(text), letters, least_distinct(words)
 
 
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
