@@ -243,6 +243,17 @@ def test_turns_and_even_picks(spark):
     assert sorted(r.i for r in screening.even_picks(df.where("g = 'A'"), ["g"], [F.col("i")], 3).collect()) == [1, 3, 4]
 
 
+def test_last_write_of_large_ids(spark, tmp_path):
+    """From a million on, the last id need not have the largest n: each is an aggregate of its own, as in the SQL."""
+    from tilewright import catalog
+
+    ids = [39, 79, 200_000_000, 5_000_001, 1_000_039, 999_960]
+    frame(spark, [(i, k % 2, "F", "1-URGENT", 1.0) for k, i in enumerate(ids)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    frame(spark, [(0, "BUILDING"), (1, "MACHINERY")], "c_custkey long, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.core: (r.id, r.n) for r in catalog.queries()["last_write"](spark, str(tmp_path)).collect()}
+    assert got == {0: (200_000_000, 39), 1: (79, 39)}
+
+
 def test_tables(spark):
     old = frame(spark, [(1, "a"), (2, "b")], "k int, v string")
     new = frame(spark, [(2, "c", 5)], "k int, v string, w int")

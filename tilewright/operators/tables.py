@@ -19,10 +19,11 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def last_write(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """One row per key: the one that was written last. An aggregate, so it combines before the shuffle."""
+def last_write(df: DataFrame, keys: list[str], seq: str, **more: Column) -> DataFrame:
+    """One row per key: the one that was written last, and more aggregates of the key's rows under their names. An
+    aggregate, so it combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_r")).select(*keys, "_r.*")
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_r"), *[v.alias(k) for k, v in more.items()]).select(*keys, "_r.*", *more)
 
 
 def unseen(new: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
