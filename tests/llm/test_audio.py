@@ -105,5 +105,22 @@ def test_all_three_formats(spark):
     assert got[90][1:] == got[91][1:] == got[92][1:] and got[3].feature.startswith(f"n={pcm[3].samples};")
 
 
+def test_the_query_stores_its_pcm(spark, monkeypatch):
+    """Decoded, resampled and written as a table of its own, from which the features are taken."""
+    tables, cut = {}, A.cut
+    monkeypatch.setattr(A, "cut", lambda df, name, *codec: tables.setdefault(name, cut(df, name, *codec)))
+    texts = [None, "", *(f"text {i} " * i for i in range(20))]
+    got = {r.doc_id: r for r in A.media_digest(A.store_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert set(tables) == {"media", "pcm"}
+    stored = {r.doc_id: r for r in tables["pcm"].collect()}
+    for r in tables["media"].collect():
+        samples, rate = A.expand(bytes(r.media))
+        sound = np.frombuffer(stored[r.doc_id].pcm, "<i2")
+        assert sound.tolist() == A.double_rate(samples).tolist() and stored[r.doc_id].rate == 2 * rate
+        x = sound.astype(float)
+        want = f"n={len(x)};rms={int(np.sqrt((x * x).mean()))};mean={int(x.sum() // len(x))};peak={int(abs(x).max())};turns={sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))}"
+        assert got[r.doc_id].feature == want
+
+
 def test_no_rows(spark):
     assert A.media_digest(A.store_text(spark.createDataFrame([], "doc_id long, text string"))).count() == 0

@@ -5,7 +5,7 @@ length, are decoded side by side: numpy steps through the nibbles of all blocks
 
 Texts are stored as media tables: a text's bytes are the samples of a telephony file (mu-law or A-law, or the nibbles of
 IMA ADPCM blocks behind a header each), of which of the three its own checksum decides. `decode_column` turns a media table
-into one of resampled PCM.
+into one of resampled PCM; `media_digest` writes such a table as well, reads it back and takes the features from it.
 
 Defined results: a null payload or text counts as empty, an empty one is padded to one unit; equal bytes give equal
 results, so do repeated rows; a very long text is one file; a file that can't be read has an error and no samples; an
@@ -176,18 +176,23 @@ def _expanded(files: list[bytes]) -> list[tuple[np.ndarray, int] | str]:
     return out
 
 
-def decode_column(df: DataFrame, key: str, media: str) -> DataFrame:
-    """key, samples, rate, pcm, error: each file as 16-bit little-endian PCM at twice its rate; what can't be read has an error."""
+def _decoded(files: list[bytes | None]) -> dict:
+    """samples, rate, pcm, error of each file: 16-bit little-endian PCM at twice its rate, or what is wrong with it."""
+    got = _expanded([f or b"" for f in files])
+    pcm = [None if isinstance(g, str) else double_rate(g[0]) for g in got]
+    return {
+        "samples": pa.array([None if p is None else len(p) for p in pcm], pa.int64()), "rate": pa.array([None if isinstance(g, str) else 2 * g[1] for g in got], pa.int32()),
+        "pcm": pa.array([None if p is None else p.astype("<i2").tobytes() for p in pcm], pa.binary()), "error": pa.array([g if isinstance(g, str) else None for g in got], pa.string()),
+    }
 
-    def work(batch: pa.RecordBatch) -> dict:
-        got = _expanded([f or b"" for f in batch[1].to_pylist()])
-        pcm = [None if isinstance(g, str) else double_rate(g[0]) for g in got]
-        return {
-            key: batch[0], "samples": pa.array([None if p is None else len(p) for p in pcm], pa.int64()), "rate": pa.array([None if isinstance(g, str) else 2 * g[1] for g in got], pa.int32()),
-            "pcm": pa.array([None if p is None else p.astype("<i2").tobytes() for p in pcm], pa.binary()), "error": pa.array([g if isinstance(g, str) else None for g in got], pa.string()),
-        }
 
-    return arrow_pass(df, [key, media], work, f"{key} {dict(df.dtypes)[key]}, samples long, rate int, pcm binary, error string")
+#: The columns of _decoded.
+DECODED = "samples long, rate int, pcm binary, error string"
+
+
+def decode_column(df: DataFrame, key: str, media: str) -> DataFrame:
+    """key, samples, rate, pcm, error: each file as 16-bit little-endian PCM at twice its rate; what can't be read has an error."""
+    return arrow_pass(df, [key, media], lambda batch: {key: batch[0], **_decoded(batch[1].to_pylist())}, f"{key} {dict(df.dtypes)[key]}, {DECODED}")
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -224,15 +229,16 @@ def store_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return cut(arrow_pass(df, [key, text], work, f"{key} {dict(df.dtypes)[key]}, n_bytes long, media binary"), "media")
 
 
-def features(samples: np.ndarray) -> str:
-    """Samples at twice the rate, root mean square, mean, peak and sign changes of the resampled sound."""
-    pcm = double_rate(samples).astype(np.int64)
+def features(pcm: np.ndarray) -> str:
+    """Samples, root mean square, mean, peak and sign changes of resampled sound."""
+    pcm = pcm.astype(np.int64)
     rms = int(np.sqrt((pcm * pcm).sum() / len(pcm))) if len(pcm) else 0
     return f"n={len(pcm)};rms={rms};mean={int(pcm.sum()) // max(1, len(pcm))};peak={int(np.abs(pcm).max(initial=0))};turns={int(np.count_nonzero(np.diff(pcm >= 0)))}"
 
 
-def media_digest(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Of stored files (key, n_bytes, media): sizes, hashes and the feature string."""
+def store_pcm(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of stored files (key, n_bytes, media): sizes and hashes, and the decoded and resampled sound as decode_column gives
+    it; the table is written and read back."""
 
     def work(batch: pa.RecordBatch) -> dict:
         size, sha, tail, media, media_sha = [], [], [], [], []
@@ -244,8 +250,22 @@ def media_digest(df: DataFrame, key: str = "doc_id") -> DataFrame:
             tail.append(zlib.crc32(back[-UNIT:]))
             media.append(len(file))
             media_sha.append(hashlib.sha256(file).hexdigest())
-        feature = [features(samples) for samples, _ in _expanded(files)]
         i64 = lambda x: pa.array(x, pa.int64())
-        return {key: batch[0], "n_bytes": batch[1], "payload_bytes": i64(size), "payload_sha256": sha, "tail_crc32": i64(tail), "media_bytes": i64(media), "media_sha256": media_sha, "feature": feature}
+        return {key: batch[0], "n_bytes": batch[1], "payload_bytes": i64(size), "payload_sha256": sha, "tail_crc32": i64(tail), "media_bytes": i64(media), "media_sha256": media_sha, **_decoded(files)}
+
+    return cut(arrow_pass(df, [key, "n_bytes", "media"], work, f"{key} {dict(df.dtypes)[key]}, {DIGEST}, {DECODED}"), "pcm", "zstd")
+
+
+#: The columns of media_digest between the key and the feature.
+DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def media_digest(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of stored files (key, n_bytes, media): sizes, hashes and the feature string, which is that of the stored PCM."""
+    names = [c.split()[0] for c in DIGEST.split(", ")]
+
+    def work(batch: pa.RecordBatch) -> dict:
+        feature = [features(np.frombuffer(p.as_buffer(), "<i2")) for p in batch[len(names) + 1]]
+        return dict(zip([key, *names], batch.columns)) | {"feature": feature}
 
-    return arrow_pass(df, [key, "n_bytes", "media"], work, f"{key} {dict(df.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow_pass(store_pcm(df, key), [key, *names, "pcm"], work, f"{key} {dict(df.dtypes)[key]}, {DIGEST}, feature string")

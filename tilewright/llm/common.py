@@ -41,13 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once as a table in the shared folder and read back.
+def cut(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """The rows of df, written once as a table in the shared folder and read back. codec: Parquet's, if not the session's.
 
     The plan above starts from files, so a lost executor costs no more than the tasks that ran on it.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
