@@ -21,7 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of exact and near copies (five-word shingles, 0.8) the one with the smallest id."""
+    """Keeps of each group of exact and near copies the one with the smallest id: SimHash over five-word shingles, deletion
+    variants of its segments as an index, and an exact Jaccard similarity of 0.8."""
     return simhash.keep_one(docs)
 
 

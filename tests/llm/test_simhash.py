@@ -155,6 +155,51 @@ def test_copies_equal_a_full_scan(spark):
     assert {r.doc_id for r in S.keep_one(df).collect()} == want
 
 
+def test_copies_are_found_by_deletion_variants(spark):
+    """Fingerprints are bitwise majorities; a key is a segment without one of its least certain bits; pairs that share one
+    are candidates if their checks are near, as in a full scan; nearly all pairs at 0.8 share one."""
+    rng = np.random.default_rng(12)
+    keys, prints, near, n = {}, {}, 0, 400
+    for i in range(n):
+        size = int(rng.choice([9, 40, 200]))
+        base = rng.integers(0, 1 << 48, size, np.uint64)
+        more = rng.integers(0, 1 << 48, size, np.uint64)
+        same = -(-8 * size // 9)  # of either, so that the similarity is 0.8
+        for k, grams in enumerate((base, np.concatenate([base, more[: size // 4]]) if i % 2 else np.concatenate([base[:same], more[same:]]))):
+            sums = [sum(1 if int(S.spread(grams[j : j + 1], lane + 1)[0]) >> b & 1 else -1 for j in range(len(grams))) for lane in range(S.LANES) for b in range(64)] if i < 8 else S.margins(grams).tolist()
+            assert S.margins(grams).tolist() == sums
+            whole, weak = S.wide_print(grams)
+            bits = [s > 0 for s in sums]
+            assert [int.from_bytes(whole, "little") >> b & 1 for b in range(64 * S.LANES)] == bits
+            want = set()
+            for s in range(S.SEGMENTS):
+                at = range(s * S.WIDTH, (s + 1) * S.WIDTH)
+                for out in sorted(at, key=lambda b: (abs(2 * sums[b] - 1), b))[: S.WEAK]:
+                    want.add((s, out - at[0], sum(bits[b] << b - at[0] for b in at if b != out)))
+            got = S.deletion_keys(np.frombuffer(whole, "<u8").reshape(1, -1), np.frombuffer(weak, np.uint8))[0].tolist()
+            assert sorted((x >> S.WIDTH + 5, x >> S.WIDTH & 31, x & (1 << S.WIDTH) - 1) for x in got) == sorted(want)
+            keys[2 * i + k], prints[2 * i + k] = set(got), (whole, weak)
+        near += bool(keys[2 * i] & keys[2 * i + 1])
+    assert near >= 0.99 * n
+    check = {i: int.from_bytes(p[: 8 * S.CHECK], "little") for i, (p, _) in prints.items()}
+    want = {(a, b) for a in keys for b in keys if a < b and keys[a] & keys[b] and (check[a] ^ check[b]).bit_count() <= S.FAR}
+    df = spark.createDataFrame([(i, bytearray(p), bytearray(w)) for i, (p, w) in prints.items()] + [(-1, bytearray(), bytearray())], "node long, print binary, weak binary")
+    assert {(r.a, r.b) for r in S.candidates(df).collect()} == want and len(want) >= 0.99 * n
+
+
+def test_a_run_beyond_the_short_ones_is_one_group():
+    rng = np.random.default_rng(6)
+    own = rng.integers(0, 1 << 63, (3, S.CHECK)).astype(np.uint64)
+    check = own[np.arange(3 * S.SHORT) % 3]
+    pairs = S._near(np.concatenate([np.zeros(len(check)), [1, 1, 1]]).astype(np.int32), np.arange(len(check) + 3), np.concatenate([check, own[[0, 1, 0]]]))
+    group = {i: i for i in range(len(check) + 3)}
+    for a, b in pairs.tolist():
+        x, y = sorted((group[a], group[b]))
+        group = {i: x if g == y else g for i, g in group.items()}
+    assert [group[i] for i in range(len(check))] == [i % 3 for i in range(len(check))]
+    assert len(pairs) == len(check) - 3 + 1 and [len(check), len(check) + 2] in pairs.tolist()
+
+
 def test_several():
     import pyarrow as pa
 

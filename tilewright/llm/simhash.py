@@ -6,8 +6,10 @@ such a key. The keys are joined by sorting: each run of equal keys is held toget
 whole fingerprints agree in all but the radius. Only links that connect a run are made (one fewer than its members at
 most), so a group of copies costs its size, not its square. Components come from alternating star contraction.
 
-Copies with edits (`keep_one`) are found by bands of min-wise hashes over word shingles instead, and verified by the exact
-Jaccard similarity; runs and components are the same.
+Copies with edits (`keep_one`) differ in about 15 % of the bits, so their fingerprints are wider: `SEGMENTS` segments over
+the distinct five-word shingles. Two copies mostly differ, if at all, in bits that few shingles decide, so a segment is
+indexed with each of its `WEAK` least certain bits struck out, not with every bit. Whoever shares a key and differs in few
+enough bits is a candidate; the components of the candidates are compared by the exact Jaccard similarity of their shingles.
 
 Equal fingerprints are one node from the start, named by their smallest id, so exact copies never meet in a run.
 
@@ -29,19 +31,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import arrow_pass, cut
+from tilewright.llm.common import arrow_pass, cut, pieces
 
 SEED = 42
 #: Name of the column of `components`.
 NODES = "component"
-#: Bands of min-wise hashes, and how many hashes must agree in one. A pair of similarity s shares a band with a
-#: probability of 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8, 0.9999 at 0.85.
-BANDS, ROWS = 16, 5
+#: Of the wide fingerprint: bits of a segment, segments, bits struck out of a segment (one at a time), 64-bit words.
+WIDTH, SEGMENTS, WEAK, LANES = 18, 56, 4, 16
+#: Its words that travel with each key, and how many of their bits may differ. At a similarity of 0.8 a bit differs with a
+#: probability of 0.15, so 38 of these 256 do, with a deviation of 5.7.
+CHECK, FAR = 4, 60
 #: Members of a run from which it is split further before they are compared.
 LONG = 256
 #: Bytes of a shingle's hash, by which sets are compared.
 GRAM = 6
-_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
+#: Members of a run up to which all are compared with all, side by side with those of the other runs.
+SHORT = 256
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -107,34 +112,49 @@ def grams_of(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(hashes(shingles(text, width)) >> np.uint64(64 - 8 * GRAM))
 
 
-def bands(grams: np.ndarray, step: int = 1 << 13) -> list[int]:
-    """A key for each of BANDS bands: a hash of the band's ROWS smallest values under as many orders. No shingles: none."""
+def margins(h: np.ndarray, step: int = 255 * 8) -> np.ndarray:
+    """Of each of 64 * LANES bits, the hashes that have it set less those that haven't. The majority is where it is over 0."""
+    count = np.zeros(64 * LANES, np.int64)
+    for i in range(0, len(h), step):
+        some = np.stack([spread(h[i : i + step], lane) for lane in range(1, LANES + 1)], 1)
+        bits = np.unpackbits(some.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        for j in range(0, len(bits), 255):
+            count += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+    return 2 * count - len(h)
+
+
+def wide_print(grams: np.ndarray) -> tuple[bytes, bytes]:
+    """The fingerprint of some shingles, and the places of each segment's least certain bits. No shingles: neither."""
     if not len(grams):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    h = spread(grams, 1)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(h), step):
-            least = np.minimum(least, (h[None, i : i + step] * _ORDERS[0][:, None] + _ORDERS[1][:, None]).min(1))
-    whole = least.astype("<u8").tobytes()
-    return [_signed(xxhash.xxh64_intdigest(whole[i * 8 * ROWS : (i + 1) * 8 * ROWS], i)) for i in range(BANDS)]
+        return b"", b""
+    m = margins(grams)
+    sure = np.abs(2 * m - 1)[: SEGMENTS * WIDTH].reshape(SEGMENTS, WIDTH)
+    return np.packbits(m > 0, bitorder="little").tobytes(), np.argsort(sure, 1, kind="stable")[:, :WEAK].astype(np.uint8).tobytes()
+
+
+def deletion_keys(prints: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """SEGMENTS * WEAK keys of each fingerprint: a segment's number, the place struck out, and the other bits."""
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : SEGMENTS * WIDTH].reshape(-1, SEGMENTS, WIDTH)
+    value = (bits.astype(np.int32) << np.arange(WIDTH, dtype=np.int32)).sum(2, dtype=np.int32)
+    place = weak.reshape(-1, SEGMENTS, WEAK).astype(np.int32)
+    segment = np.arange(SEGMENTS, dtype=np.int32)[None, :, None]
+    return ((segment << 5 | place) << WIDTH | value[:, :, None] & ~(np.int32(1) << place)).reshape(len(bits), -1)
 
 
 def copy_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """id, mark (a hash of the text), keys (one for each band), node (64 bits of a digest of the distinct shingles), grams
-    (the shingles' hashes themselves) of every row."""
+    """id, mark (a hash of the text), node (64 bits of a digest of the distinct shingles), print and weak (as wide_print
+    gives them) of every row."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        keys, node, grams = [], [], []
+        node, prints = [], []
         for t in batch[2].to_pylist():
             g = grams_of(t, width)
-            keys.append(bands(g))
-            grams.append(g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM].tobytes())
-            node.append(_signed(xxhash.xxh3_64_intdigest(grams[-1], SEED)))
-        return {"id": batch[0], "mark": batch[1], "keys": pa.array(keys, pa.list_(pa.int64())), "node": pa.array(node, pa.int64()), "grams": pa.array(grams, pa.binary())}
+            prints.append(wide_print(g))
+            node.append(_signed(xxhash.xxh3_64_intdigest(g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM].tobytes(), SEED)))
+        return {"id": batch[0], "mark": batch[1], "node": pa.array(node, pa.int64()), "print": pa.array([p for p, _ in prints], pa.binary()), "weak": pa.array([w for _, w in prints], pa.binary())}
 
     kind = dict(docs.select(F.col(key).alias("id")).dtypes)["id"]
-    return arrow_pass(docs, [F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")], work, f"id {kind}, mark long, keys array<long>, node long, grams binary")
+    return arrow_pass(docs, [F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")], work, f"id {kind}, mark long, node long, print binary, weak binary")
 
 
 def variants(nodes: DataFrame) -> DataFrame:
@@ -211,38 +231,82 @@ def _copies(nodes: list[int], sets: list[np.ndarray], at: float) -> list[tuple[i
     return out
 
 
-def copy_links(nodes: DataFrame, prints: DataFrame, at: float) -> DataFrame:
-    """a, b (a < b): pairs whose closure is that of all pairs of nodes that share a band and whose shingles have a Jaccard
-    similarity of at or more. The shingles are fetched only for nodes that share a key with others."""
+def _near(slot: np.ndarray, node: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Rows (a, b), a < b: pairs whose closure is that of all pairs of a run whose checks differ in FAR bits or fewer."""
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(slot)) + 1, [len(slot)]])
+    size = np.diff(edge)
+    out = [np.array(_forest(node[a : a + n], check[a : a + n], FAR), np.int64).reshape(-1, 2) for a, n in zip(edge[:-1][size > SHORT].tolist(), size[size > SHORT].tolist())]
+    rest = np.repeat(np.where(size > SHORT, 0, edge[1:]), size) - np.arange(len(slot))  # members from here to the end of the run
+    lag, at = 1, np.flatnonzero(rest > 1)
+    while len(at):
+        near = at[np.bitwise_count(check[at] ^ check[at + lag]).sum(1) <= FAR]
+        out.append(np.stack([node[near], node[near + lag]], 1))
+        lag += 1
+        at = at[rest[at] > lag]
+    pairs = np.sort(np.concatenate(out), 1) if out else np.zeros((0, 2), np.int64)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """a, b (a < b): pairs whose closure is that of all pairs of nodes that share a key and whose checks differ in FAR bits
+    or fewer. nodes: node, print, weak."""
+    words = [f"c{i}" for i in range(CHECK)]
+
+    def deal(batch: pa.RecordBatch) -> dict:
+        prints = np.frombuffer(b"".join(batch[1].to_pylist()), "<u8").reshape(-1, LANES)
+        keys = deletion_keys(prints, np.frombuffer(b"".join(batch[2].to_pylist()), np.uint8))
+        again = lambda x: np.repeat(x, keys.shape[1])
+        return {"slot": keys.reshape(-1), "node": again(batch[0].to_numpy()), **{w: again(prints[:, i].astype(np.int64)) for i, w in enumerate(words)}}
+
+    def found(whole: list) -> pa.RecordBatch:
+        pairs = _near(*(np.concatenate(x) for x in zip(*whole)))
+        return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, held = None, {}
-
-        def find() -> list[tuple[int, int]]:
-            return _copies(list(held), [_grams(g) for g in held.values()], at) if len(held) > 1 else []
-
+        kept: list[tuple] = []  # the rows of the last slot so far
         for batch in batches:
-            got: set[tuple[int, int]] = set()
-            for s, n, g in zip(*(batch[i].to_pylist() for i in range(3))):
-                if s != slot:
-                    got.update(find())
-                    slot, held = s, {}
-                held[n] = g
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([x for _, x in got], pa.int64())})
-        got = set(find())
-        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([x for _, x in got], pa.int64())})
+            if not batch.num_rows:
+                continue
+            now = batch[0].to_numpy(), batch[1].to_numpy(), np.stack([batch[2 + i].to_numpy() for i in range(CHECK)], 1).astype(np.uint64)
+            start = int(np.searchsorted(now[0], now[0][-1]))
+            if start or (kept and kept[-1][0][-1] != now[0][0]):  # the slots before the last one are complete
+                yield found([*kept, tuple(x[:start] for x in now)])
+                kept = []
+            kept.append(tuple(x[start:] for x in now))
+        if kept:
+            yield found(kept)
 
-    slots = nodes.select(F.explode("keys").alias("slot"), "node")
-    met = cut(slots.repartition("slot").sortWithinPartitions("slot").mapInArrow(_several, "slot long, node long"), "simhash-met")
-    # exact copies have the same grams: one row of each node is left before anything is dealt
-    known = prints.groupBy("node").agg(F.first("grams").alias("grams")).join(met.select("node").distinct().hint("merge"), "node", "left_semi").withColumnRenamed("node", "_n")
-    return met.join(known.hint("merge"), F.col("node") == F.col("_n")).select("slot", "node", "grams").repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "a long, b long").distinct()
+    dealt = arrow_pass(nodes.where("length(print) > 0"), ["node", "print", "weak"], deal, "slot int, node long, " + ", ".join(f"{w} long" for w in words))
+    return dealt.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "a long, b long").distinct()
 
 
-def _grams(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // GRAM, 8), np.uint8)
-    out[:, :GRAM] = np.frombuffer(raw, np.uint8).reshape(-1, GRAM)
-    return out.view("<u8").reshape(-1)
+def copy_groups(rows: DataFrame, nodes: DataFrame, width: int, at: float) -> DataFrame:
+    """node, component (its smallest node) of the nodes that have copies. A component of candidates is compared by one
+    task, by the exact Jaccard similarity of the shingles. rows: id, mark, text; nodes: node, first, print, weak."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cluster, held = None, {}
+
+        def find() -> pa.RecordBatch:
+            links = _copies(list(held), list(held.values()), at) if len(held) > 1 else []
+            return pa.RecordBatch.from_pydict({"node": pa.array([x for _, x in links], pa.int64()), NODES: pa.array([x for x, _ in links], pa.int64())})
+
+        for batch in pieces(batches):
+            for c, n, t in zip(*(batch[i].to_pylist() for i in range(3))):
+                if c != cluster:
+                    if len(held) > 1:
+                        yield find()
+                    cluster, held = c, {}
+                if n not in held:
+                    held[n] = grams_of(t, width)
+        yield find()
+
+    stars = components(candidates(nodes)).select(F.col("node").alias("_n"), F.col(NODES).alias("cluster"))
+    clusters = stars.union(stars.select("cluster", "cluster").distinct())  # with the smallest node of each
+    # exact copies have the same shingles: the text of one row of each node is fetched
+    want = nodes.select("node", "first").join(clusters.hint("merge"), F.col("node") == F.col("_n")).select(F.col("first.id").alias("_id"), F.col("first.mark").alias("_mark"), "node", "cluster")
+    texts = rows.join(want.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("cluster", "node", "text")
+    return texts.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, f"node long, {NODES} long")
 
 
 def links(nodes: DataFrame, radius: int, sparse: bool = False) -> DataFrame:
@@ -346,12 +410,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     one with the smaller hash of its text, of rows that repeat both the first in the order of their other columns.
 
     Copies have a Jaccard similarity of at or more over their distinct word shingles, or are linked by such. Candidates
-    share one of BANDS bands: of pairs at 0.8 all but 0.2 % do, of pairs at 0.85 all but 0.01 %.
+    share a deletion-variant key of their fingerprints: of pairs at 0.8 all but about 0.1 % do.
     """
     prints = cut(copy_fingerprints(docs, key, text, width), "simhash-prints")
     own = F.struct(F.isnull("id").alias("none"), "id", "mark")
-    nodes = cut(prints.groupBy("node").agg(F.min(own).alias("first"), F.first("keys").alias("keys")), "simhash-nodes")
-    found = components(copy_links(nodes, prints, at)).withColumnRenamed("node", "_n").hint("merge")
+    nodes = cut(prints.groupBy("node").agg(F.min(own).alias("first"), F.first("print").alias("print"), F.first("weak").alias("weak")), "simhash-nodes")
+    texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    found = copy_groups(texts, nodes, width, at).withColumnRenamed("node", "_n").hint("merge")
     named = nodes.select("node", "first").join(found, F.col("node") == F.col("_n"), "left").select("first", F.coalesce(NODES, "node").alias(NODES))
     first = cut(named.groupBy(NODES).agg(F.min("first").alias("first")).select("first.id", "first.mark"), "simhash-first")
     twice = cut(prints.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("id", "mark"), "simhash-twice")
