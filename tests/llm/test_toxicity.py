@@ -171,3 +171,16 @@ def test_held_out_rows_of_the_given_tables(spark):
     held = [(labels[i], r.score) for i, r in got.items() if r.held_out and i in labels]
     clean, toxic = [s for y, s in held if not y], [s for y, s in held if y]
     assert np.mean(clean) < 0.2 < 0.5 < np.mean(toxic) and len({round(s, 6) for _, s in held}) > 20
+
+
+def test_a_task_holds_no_more_than_it_needs():
+    """Words without a term are not remembered, and an index that was sent drops what it was built from."""
+    import pickle
+
+    terms = T.Terms({"known": 0, "known*": 1})
+    assert [v[0].tolist() for v in terms.vectors(["known other known", "knownish", None])] == [[0, 1], [1], []]
+    assert set(terms.memo) == {"known", "knownish"}
+    index = pickle.loads(pickle.dumps(T.Index([3, 4], [0, 1], [0, 2, 3], [0, 1, 1], [2, 1, 4], np.ones(2))))
+    (near, cosine), = index.nearest([(np.array([1]), np.array([1.0]))], 2)
+    assert [index.ids[i] for i in near] == [4, 3] and cosine.tolist() == [1.0, round(1 / 5**0.5, 12)]
+    assert index.raw is None and index.counts.dtype == np.uint16

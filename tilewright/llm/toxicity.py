@@ -25,11 +25,12 @@ other columns pass through `keep_clean` whatever their names, and `score` ignore
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,32 +78,36 @@ def words_of(text: str | None) -> list[str]:
         return _WORD.findall(text.lower())
 
 
-class Terms:
-    """Counts of a vocabulary's terms in whole texts. A word that was met is remembered as one number for its two terms."""
+class Memo(dict):
+    """Of words that were met, one number for a word's two terms: 0 if it has neither, which is not kept."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.size, self.memo = vocabulary, len(vocabulary) + 1, {}
+        self.of, self.size = vocabulary.get, len(vocabulary) + 1
 
-    def _learn(self, word: str) -> int:
-        of = self.vocabulary.get
-        got = (of(word, -1) + 1) * self.size + (of(f"{word[:START]}*", -1) + 1 if len(word) >= START else 0)
-        if len(word) <= 40:
-            self.memo[word] = got
+    def __missing__(self, word: str) -> int:
+        got = (self.of(word, -1) + 1) * self.size + (self.of(word[:START] + "*", -1) + 1 if len(word) >= START else 0)
+        if got and len(word) <= 40:
+            self[word] = got
         return got
 
+
+class Terms:
+    """Counts of a vocabulary's terms in whole texts."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary, self.size, self.memo = vocabulary, len(vocabulary) + 1, Memo(vocabulary)
+
     def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts one after the other: terms in ascending order, their counts, and where each text's begin."""
         if len(self.memo) >= MEMO:
-            self.memo = {}
+            self.memo.clear()
         words = [words_of(t) for t in texts]
         size = np.fromiter(map(len, words), np.int64, len(words))
         flat = list(chain.from_iterable(words))
-        both = np.fromiter(map(self.memo.get, flat, repeat(-1)), np.int64, len(flat))
-        for i in np.flatnonzero(both < 0).tolist():
-            both[i] = self._learn(flat[i])
-        text = np.repeat(np.arange(len(texts)), size)
-        part = np.concatenate([both // self.size, both % self.size])
-        keys = (np.concatenate([text, text]) * self.size + part)[part > 0]
+        both = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat))
+        some = np.flatnonzero(both)
+        text, (whole, start) = np.repeat(np.arange(len(texts)) * self.size, size)[some], np.divmod(both[some], self.size)
+        keys = np.concatenate([(text + whole)[whole > 0], (text + start)[start > 0]])
         keys, n = np.unique(keys, return_counts=True)
         return keys % self.size - 1, n.astype(np.float64), np.searchsorted(keys, np.arange(len(texts) + 1) * self.size)
 
@@ -114,7 +119,9 @@ class Terms:
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers of all ranges (start, start + size), one after the other."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    out = np.repeat(start - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
 
 
 def _bisect(x: np.ndarray, block: int) -> np.ndarray:
@@ -139,6 +146,14 @@ def _bisect(x: np.ndarray, block: int) -> np.ndarray:
     return order
 
 
+def released() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError, TypeError):
+        pass
+
+
 class Index:
     """The examples by block. It is built where it is first used, from the examples' terms alone."""
 
@@ -154,43 +169,57 @@ class Index:
         if self.built:
             return
         ids, labels, offsets, terms, counts, gain = self.raw
+        if self.sent:  # a task needs what it was built from no more
+            self.raw = None
         n, size = self.n, np.diff(offsets)
-        who = np.repeat(np.arange(n), size)
+        who = np.repeat(np.arange(n, dtype=np.int32), size)
         weight = counts * gain[terms]
         norm = np.sqrt(np.bincount(who, weight * weight, n))
-        weight = weight / np.where(norm > 0, norm, 1.0)[who]
+        norm[norm == 0] = 1.0
+        weight /= norm[who]
+        del who
         df = np.bincount(terms, minlength=len(gain))
         often = np.argsort(-df, kind="stable")[:DENSE_MOST]
         often = np.sort(often[df[often] * DENSE_SHARE >= max(n, 1)])
         self.dense = np.full(len(gain), -1, np.int32)
         self.dense[often] = np.arange(len(often))
-        column = self.dense[terms]
-        full = np.zeros((n, len(often)), np.float32)
-        full[who[column >= 0], column[column >= 0]] = weight[column >= 0]
-        sketch = np.random.default_rng(1).standard_normal((len(often), SKETCH)).astype(np.float32)
-        order = _bisect(full @ sketch, BLOCK)  # distances between rows are about those between their projections
+        random = np.random.default_rng(1).standard_normal((len(often), SKETCH)).astype(np.float32)
+
+        def dense(a: int, b: int) -> np.ndarray:
+            """The dense terms' weights of examples a to b."""
+            full, own = np.zeros((b - a, len(often)), np.float32), slice(offsets[a], offsets[b])
+            column = self.dense[terms[own]]
+            full[np.repeat(np.arange(b - a), size[a:b])[column >= 0], column[column >= 0]] = weight[own][column >= 0]
+            return full
+
+        sketch = np.concatenate([dense(a, min(a + 512, n)) @ random for a in range(0, n, 512)])
+        order = _bisect(sketch, BLOCK)  # distances between rows are about those between their projections
         # by block: ids, labels, and each example's own terms for the scores in double precision
         self.ids, self.labels = [ids[i] for i in order], labels[order]
-        at = _ranges(offsets[:-1][order], size[order]).astype(np.int32)
-        self.begin = np.concatenate([[0], np.cumsum(size[order])])
-        self.terms, self.weight = terms[at], weight[at]
+        own = [slice(offsets[i], offsets[i + 1]) for i in order.tolist()]
+        size = size[order]
+        if counts.max(initial=0) <= 0xFFFF:
+            counts = counts.astype(np.uint16)
+        counts, weight, terms = (np.concatenate([some[x] for x in own]) for some in (counts, weight, terms))
+        # weights in double precision are made anew from counts, which are a quarter of their size
+        self.terms, self.counts, self.norm, self.begin = terms, counts, norm[order], np.concatenate([[0], np.cumsum(size)])
+        offsets = self.begin
         self.blocks = max(1, -(-n // BLOCK))
-        wide = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
-        wide[:n] = full[order]
-        del full, who, weight, column
-        self.rows = np.ascontiguousarray(wide.reshape(self.blocks, BLOCK, -1).transpose(0, 2, 1))  # block, dense term, example
+        self.rows = np.zeros((self.blocks, len(often), BLOCK), np.float32)  # block, dense term, example
+        for i, a in enumerate(range(0, n, BLOCK)):
+            self.rows[i, :, : min(BLOCK, n - a)] = dense(a, min(a + BLOCK, n)).T
         self.top = np.ascontiguousarray(self.rows.max(2).T)
-        rare = self.dense[self.terms] < 0
-        t, w = self.terms[rare], np.repeat(np.arange(n, dtype=np.int32), size[order])[rare]
-        by = np.argsort(t, kind="stable")
-        self.who, self.part = w[by], self.weight[rare][by].astype(np.float32)
-        self.start = np.searchsorted(t[by], np.arange(len(gain) + 1))
+        rare = np.flatnonzero(self.dense[terms] < 0).astype(np.int32)
+        rare = rare[np.argsort(terms[rare], kind="stable")]
+        self.who = (np.searchsorted(self.begin, rare, "right") - 1).astype(np.int32)
+        self.part = weight[rare].astype(np.float32)
+        self.start = np.searchsorted(terms[rare], np.arange(len(gain) + 1))
         self.gain, self.scratch, self.built = gain, np.zeros(len(gain)), True
         rank = sorted(range(n), key=lambda i: (str(type(self.ids[i])), self.ids[i]))
         self.rank = np.empty(n, np.int64)
         self.rank[rank] = np.arange(n)
-        if self.sent:  # a task needs what it was built from no more
-            self.raw = None
+        del dense, terms, counts, weight
+        released()
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each (terms, counts): positions and cosines of the k nearest with a cosine over 0, best first."""
@@ -213,8 +242,10 @@ class Index:
             a = self.start[t]
             size = self.start[t + 1] - a
             p = _ranges(a, size)
-            if len(p):
-                score[i] = np.bincount(self.who[p], np.repeat(w.astype(np.float32), size) * self.part[p], wide)
+            if len(p):  # clip: nothing is out of bounds, so nothing need be checked
+                share = self.part.take(p, mode="clip")
+                share *= np.repeat(w.astype(np.float32), size)
+                score[i] = np.bincount(self.who.take(p, mode="clip"), share, wide)
         by_block = score.reshape(m, self.blocks, BLOCK)
         bound = by_block.max(2) + query @ self.top + MARGIN
         done = np.zeros((m, self.blocks), bool)
@@ -249,8 +280,12 @@ class Index:
             return near, np.zeros(0)
         self.scratch[t] = w
         size = self.begin[near + 1] - self.begin[near]
-        at = _ranges(self.begin[near], size)
-        cosine = np.add.reduceat(self.scratch[self.terms[at]] * self.weight[at], np.cumsum(size) - size)
+        own = list(map(slice, self.begin[near].tolist(), self.begin[near + 1].tolist()))
+        terms = np.concatenate(list(map(self.terms.__getitem__, own)))
+        weight = np.concatenate(list(map(self.counts.__getitem__, own))) * self.gain[terms]
+        weight /= np.repeat(self.norm[near], size)
+        weight *= self.scratch[terms]
+        cosine = np.add.reduceat(weight, np.cumsum(size) - size)
         self.scratch[t] = 0.0
         order = np.lexsort((self.rank[near], -np.round(cosine, 12)))[:k]
         order = order[cosine[order] > 1e-12]
