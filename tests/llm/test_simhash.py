@@ -200,6 +200,48 @@ def test_a_run_beyond_the_short_ones_is_one_group():
     assert len(pairs) == len(check) - 3 + 1 and [len(check), len(check) + 2] in pairs.tolist()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_links_of_a_short_run_are_a_forest(seed):
+    """As many links as a group of the run has members but one, all of them with its smallest; the closure of all pairs."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, (6, S.CHECK)).astype(np.uint64)
+    check = base[rng.integers(0, 6, 150)]
+    for i in range(len(check)):  # chains, too: some pairs of a group are farther apart than FAR
+        for bit in rng.integers(0, 64 * S.CHECK, int(rng.integers(0, 50))):
+            check[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    slot, node = np.sort(rng.integers(0, 4, len(check))).astype(np.int32), rng.permutation(len(check))
+    group = {int(x): int(x) for x in node}
+    for i in range(len(check)):
+        for j in range(i):
+            if slot[i] == slot[j] and np.bitwise_count(check[i] ^ check[j]).sum() <= S.FAR:
+                x, y = sorted((group[int(node[i])], group[int(node[j])]))
+                group = {k: x if g == y else g for k, g in group.items()}
+    pairs = S._near(slot, node, check)
+    assert {(int(a), int(b)) for a, b in pairs} == {(g, k) for k, g in group.items() if g != k}
+    whole = S._near(np.zeros(S.SHORT, np.int32), np.arange(S.SHORT), np.repeat(base[:1], S.SHORT, 0))
+    assert len(whole) == S.SHORT - 1  # it was 32,640
+
+
+def test_links_that_follow_from_others_are_left_out(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    pairs = np.sort(rng.integers(0, 1 << 40, 300)[rng.integers(0, 300, (4000, 2))], 1)
+    pairs = pairs[(pairs[:, 0] != pairs[:, 1]) & (pairs[:, 0] % 3 == pairs[:, 1] % 3)]
+    batches = [pa.RecordBatch.from_pydict({"a": pa.array(x[:, 0]), "b": pa.array(x[:, 1])}) for x in np.array_split(pairs, 9)]
+    nodes = np.unique(pairs)
+    for most in (1 << 19, 700, 10):  # the last gives every batch on as a forest of its own
+        monkeypatch.setattr(S, "HELD_PAIRS", most)
+        got = [(a, b) for x in S.forests(iter(batches)) for a, b in zip(x[0].to_pylist(), x[1].to_pylist())]
+        assert len(got) == len(nodes) - 3 if most > 10 else len(got) <= 9 * (len(nodes) - 3)
+        group = {int(x): int(x) for x in nodes}
+        for a, b in got:
+            x, y = sorted((group[a], group[b]))
+            group = {k: x if g == y else g for k, g in group.items()}
+        assert group == {int(x): int(nodes[nodes % 3 == x % 3].min()) for x in nodes}
+    assert not list(S.forests(iter(())))
+
+
 def test_several():
     import pyarrow as pa
 

@@ -47,6 +47,8 @@ LONG = 256
 GRAM = 6
 #: Members of a run up to which all are compared with all, side by side with those of the other runs.
 SHORT = 256
+#: Pairs that a task holds at once to leave out those that follow from others.
+HELD_PAIRS = 1 << 19
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -231,25 +233,80 @@ def _copies(nodes: list[int], sets: list[np.ndarray], at: float) -> list[tuple[i
     return out
 
 
+def _unite(of: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Makes one group of the groups of a[i] and b[i] for each i. of: of each member one of its group that comes no later,
+    by which the group's first is reached."""
+    a, b = _first(of, a), _first(of, b)
+    while (differ := a != b).any():
+        np.minimum.at(of, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        a, b = _first(of, a), _first(of, b)
+
+
+def _first(of: np.ndarray, x: np.ndarray) -> np.ndarray:
+    while ((up := of[x]) != x).any():
+        x = up
+    return x
+
+
+def _stars(pairs: np.ndarray) -> np.ndarray:
+    """Rows (a, b): the smallest node of each component of the pairs with each of its others."""
+    nodes, place = np.unique(pairs, return_inverse=True)
+    place, of = place.reshape(-1, 2), np.arange(len(nodes))
+    for at in range(0, len(place), 1 << 12):  # what is known to be of one group is passed over
+        some = _first(of, place[at : at + (1 << 12)])
+        some = some[some[:, 0] != some[:, 1]]
+        _unite(of, some[:, 0], some[:, 1])
+        of[place[at : at + (1 << 12)]] = _first(of, place[at : at + (1 << 12)])
+    of = _first(of, of)
+    return np.stack([nodes[of], nodes], 1)[of != np.arange(len(nodes))]
+
+
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches of pairs (a, b) as few with the same closure, as far as a task can tell that holds HELD_PAIRS at once."""
+    held, n = [], 0
+
+    def give(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    for batch in batches:
+        held.append(np.stack([batch[0].to_numpy(), batch[1].to_numpy()], 1))
+        n += len(held[-1])
+        if n >= HELD_PAIRS:
+            held = [_stars(np.concatenate(held))]
+            n = len(held[0])
+            if 2 * n >= HELD_PAIRS:
+                yield give(held[0])
+                held, n = [], 0
+    if n:
+        yield give(_stars(np.concatenate(held)))
+
+
 def _near(slot: np.ndarray, node: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """Rows (a, b), a < b: pairs whose closure is that of all pairs of a run whose checks differ in FAR bits or fewer."""
+    """Rows (a, b), a < b: of each run, links whose closure is that of all pairs of it whose checks differ in FAR bits or
+    fewer. Each group of a run gives its smallest node with each of the others, so one link fewer than it has members."""
     edge = np.concatenate([[0], np.flatnonzero(np.diff(slot)) + 1, [len(slot)]])
     size = np.diff(edge)
     out = [np.array(_forest(node[a : a + n], check[a : a + n], FAR), np.int64).reshape(-1, 2) for a, n in zip(edge[:-1][size > SHORT].tolist(), size[size > SHORT].tolist())]
     rest = np.repeat(np.where(size > SHORT, 0, edge[1:]), size) - np.arange(len(slot))  # members from here to the end of the run
-    lag, at = 1, np.flatnonzero(rest > 1)
+    of, lag, at = np.arange(len(slot)), 1, np.flatnonzero(rest > 1)
     while len(at):
-        near = at[np.bitwise_count(check[at] ^ check[at + lag]).sum(1) <= FAR]
-        out.append(np.stack([node[near], node[near + lag]], 1))
+        apart = at[of[at] != of[at + lag]]
+        near = apart[np.bitwise_count(check[apart] ^ check[apart + lag]).sum(1) <= FAR]
+        _unite(of, near, near + lag)
+        of[near], of[near + lag] = _first(of, near), _first(of, near + lag)
         lag += 1
         at = at[rest[at] > lag]
-    pairs = np.sort(np.concatenate(out), 1) if out else np.zeros((0, 2), np.int64)
+    of = _first(of, of)
+    low = node.astype(np.int64)
+    np.minimum.at(low, of, node)
+    out.append(np.stack([low[of], node], 1))
+    pairs = np.concatenate(out)
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """a, b (a < b): pairs whose closure is that of all pairs of nodes that share a key and whose checks differ in FAR bits
-    or fewer. nodes: node, print, weak."""
+    or fewer, about one fewer than each group has nodes. nodes: node, print, weak."""
     words = [f"c{i}" for i in range(CHECK)]
 
     def deal(batch: pa.RecordBatch) -> dict:
@@ -277,7 +334,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
             yield found(kept)
 
     dealt = arrow_pass(nodes.where("length(print) > 0"), ["node", "print", "weak"], deal, "slot int, node long, " + ", ".join(f"{w} long" for w in words))
-    return dealt.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "a long, b long").distinct()
+    pairs = cut(dealt.repartition("slot").sortWithinPartitions("slot").mapInArrow(lambda x: forests(run(x)), "a long, b long").distinct(), "simhash-pairs")
+    # runs overlap, so a group's links differ from task to task: most of them follow from others
+    return pairs.coalesce(-(-pairs.count() // HELD_PAIRS) or 1).mapInArrow(forests, "a long, b long").distinct()
 
 
 def copy_groups(rows: DataFrame, nodes: DataFrame, width: int, at: float) -> DataFrame:
