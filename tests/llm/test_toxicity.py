@@ -184,3 +184,22 @@ def test_a_task_holds_no_more_than_it_needs():
     (near, cosine), = index.nearest([(np.array([1]), np.array([1.0]))], 2)
     assert [index.ids[i] for i in near] == [4, 3] and cosine.tolist() == [1.0, round(1 / 5**0.5, 12)]
     assert index.raw is None and index.counts.dtype == np.uint16
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_postings_of_four_bytes_lose_no_neighbour(seed):
+    """Weights are rounded up to 16 bits for the search alone: however small, they count, and cosines are exact."""
+    rng = np.random.default_rng(seed)
+    v, n = 400, 300
+    some = [np.sort(rng.choice(v, 12, replace=False)) for _ in range(n)]
+    index = T.Index(list(range(n)), np.arange(n) % 2, 12 * np.arange(n + 1), np.concatenate(some), rng.integers(1, 4, 12 * n), 10.0 ** -rng.uniform(0, 5, v))
+    full = dense(index)
+    ask = [(t, np.ones(len(t))) for t in some[:40] + [np.array([i]) for i in range(60)]]
+    for (t, c), (near, cosine) in zip(ask, index.nearest(ask, 15)):
+        q = np.zeros(v)
+        q[t] = c * index.gain[t]
+        every = full @ (q / np.sqrt((q * q).sum()))
+        want = np.lexsort((np.arange(n), -np.round(every, 12)))[:15]
+        want = want[every[want] > 1e-12]
+        assert [index.ids[i] for i in near] == want.tolist() and np.allclose(cosine, every[want], rtol=0, atol=2e-12)
+    assert index.posts.itemsize == 4

@@ -49,7 +49,7 @@ DENSE_SHARE, DENSE_MOST, FIRST = 16, 2048, 4
 #: Directions onto which examples are projected to tell which are alike.
 SKETCH = 64
 #: Texts scored together, terms whose counts travel together, words that the memo keeps.
-TOGETHER, SLICE, MEMO = 128, 4096, 250_000
+TOGETHER, SLICE, MEMO = 256, 4096, 250_000
 #: Beyond what single precision can be wrong by.
 MARGIN = 2e-5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -117,13 +117,6 @@ class Terms:
         return [(t[a:b], n[a:b]) for a, b in zip(begin.tolist(), begin[1:].tolist())]
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges (start, start + size), one after the other."""
-    out = np.repeat(start - (np.cumsum(size) - size), size)
-    out += np.arange(len(out))
-    return out
-
-
 def _bisect(x: np.ndarray, block: int) -> np.ndarray:
     """An order of the rows in which alike ones share a block: halves along the direction of the largest spread."""
     order, parts = np.arange(len(x)), [(0, len(x))]
@@ -211,8 +204,11 @@ class Index:
         self.top = np.ascontiguousarray(self.rows.max(2).T)
         rare = np.flatnonzero(self.dense[terms] < 0).astype(np.int32)
         rare = rare[np.argsort(terms[rare], kind="stable")]
-        self.who = (np.searchsorted(self.begin, rare, "right") - 1).astype(np.int32)
-        self.part = weight[rare].astype(np.float32)
+        # an example's place, and its weight in units (16 bits, rounded up), in one number: a term's postings are one run
+        self.unit = float(weight[rare].max(initial=0.0)) / 0xFFFE or 1.0
+        self.posts = (np.searchsorted(self.begin, rare, "right") - 1).astype(np.uint32 if n <= 1 << 16 else np.int64)
+        self.posts <<= 16
+        self.posts |= np.ceil(weight[rare] / self.unit).astype(np.uint16)
         self.start = np.searchsorted(terms[rare], np.arange(len(gain) + 1))
         self.gain, self.scratch, self.built = gain, np.zeros(len(gain)), True
         rank = sorted(range(n), key=lambda i: (str(type(self.ids[i])), self.ids[i]))
@@ -232,6 +228,7 @@ class Index:
     def _nearest(self, vectors: list, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         m, wide = len(vectors), self.blocks * BLOCK
         query, score, weights = np.zeros((m, self.rows.shape[1]), np.float32), np.zeros((m, wide), np.float32), []
+        margin = np.full(m, MARGIN)
         for i, (t, n) in enumerate(vectors):
             w = n * self.gain[t]
             w = w / (np.sqrt((w * w).sum()) or 1.0)
@@ -239,15 +236,16 @@ class Index:
             place = self.dense[t]
             some = place >= 0
             query[i, place[some]] = w[some]
-            a = self.start[t]
-            size = self.start[t + 1] - a
-            p = _ranges(a, size)
-            if len(p):  # clip: nothing is out of bounds, so nothing need be checked
-                share = self.part.take(p, mode="clip")
-                share *= np.repeat(w.astype(np.float32), size)
-                score[i] = np.bincount(self.who.take(p, mode="clip"), share, wide)
+            rare = np.flatnonzero(~some)
+            a, b = self.start[t[rare]], self.start[t[rare] + 1]
+            if len(rare):
+                both = np.concatenate(list(map(self.posts.__getitem__, map(slice, a.tolist(), b.tolist()))))
+                share = np.repeat(w[rare] * self.unit, b - a)
+                share *= both & 0xFFFF
+                score[i] = np.bincount(both >> 16, share, wide)
+                margin[i] += w[rare].sum() * self.unit  # what rounding to units can add
         by_block = score.reshape(m, self.blocks, BLOCK)
-        bound = by_block.max(2) + query @ self.top + MARGIN
+        bound = by_block.max(2) + query @ self.top + margin[:, None]
         done = np.zeros((m, self.blocks), bool)
         exact = np.zeros((m, wide), np.float32)
         k = min(k, self.n)
@@ -264,13 +262,13 @@ class Index:
         fill(first)
         some = np.take_along_axis(exact.reshape(m, self.blocks, BLOCK), top[:, :, None], 1).reshape(m, -1)
         least = np.partition(some, some.shape[1] - min(k, some.shape[1]), 1)[:, some.shape[1] - min(k, some.shape[1])]
-        fill((bound >= np.maximum(least, MARGIN)[:, None]) & ~done)
+        fill((bound >= np.maximum(least - margin, margin)[:, None]) & ~done)
         out = []
-        for (t, _), w, x, l in zip(vectors, weights, exact, least.tolist()):
-            near = np.flatnonzero(x >= max(l - MARGIN, 1e-12))
+        for (t, _), w, x, l, off in zip(vectors, weights, exact, least.tolist(), (2 * margin).tolist()):
+            near = np.flatnonzero(x >= max(l - off, 1e-12))
             if len(near) > k:  # the k-th best of all is at least that of the first blocks
                 own = x[near]
-                near = near[own >= np.partition(own, len(own) - k)[len(own) - k] - MARGIN]
+                near = near[own >= np.partition(own, len(own) - k)[len(own) - k] - off]
             out.append(self._exactly(t, w, near, k))
         return out
 
@@ -278,14 +276,13 @@ class Index:
         """Cosines with some examples in double precision; the best k, of equal ones the smaller ids."""
         if not len(near):
             return near, np.zeros(0)
-        self.scratch[t] = w
+        self.scratch[t] = w * self.gain[t]
         size = self.begin[near + 1] - self.begin[near]
         own = list(map(slice, self.begin[near].tolist(), self.begin[near + 1].tolist()))
         terms = np.concatenate(list(map(self.terms.__getitem__, own)))
-        weight = np.concatenate(list(map(self.counts.__getitem__, own))) * self.gain[terms]
-        weight /= np.repeat(self.norm[near], size)
-        weight *= self.scratch[terms]
-        cosine = np.add.reduceat(weight, np.cumsum(size) - size)
+        weight = self.scratch.take(terms, mode="clip")  # nothing is out of bounds, so nothing need be checked
+        weight *= np.concatenate(list(map(self.counts.__getitem__, own)))
+        cosine = np.add.reduceat(weight, np.cumsum(size) - size) / self.norm[near]
         self.scratch[t] = 0.0
         order = np.lexsort((self.rank[near], -np.round(cosine, 12)))[:k]
         order = order[cosine[order] > 1e-12]
