@@ -122,5 +122,34 @@ def test_the_query_stores_its_pcm(spark, monkeypatch):
         assert got[r.doc_id].feature == want
 
 
+def test_pcm_is_made_in_turns(spark, monkeypatch):
+    """Every row once, as in one go, and no turn's PCM is there beside another's."""
+    texts = [None, "", *(f"text {i} " * i for i in range(200))]
+    monkeypatch.setattr(A, "FILE", 8)
+    media = A.store_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    whole = sorted(A.media_digest(media).collect())
+    alive, most, cut, drop = set(), [], A.cut, A.drop
+
+    def watched(df, name, *rest):
+        got = cut(df, name, *rest)
+        if name == "pcm":
+            alive.add(got)
+            most.append(len(alive))
+        return got
+
+    def dropped(df):
+        drop(df)
+        alive.remove(df)
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+            df.collect()
+
+    monkeypatch.setattr(A, "cut", watched)
+    monkeypatch.setattr(A, "drop", dropped)
+    monkeypatch.setattr(A, "TURN", 1 << 12)
+    assert sorted(A.media_digest(media).collect()) == whole and len(whole) == 202
+    assert most == [1] * A.TURNS and not alive
+    assert len(A.turns(spark.createDataFrame([(1, 9 << 30)], "doc_id long, n_bytes long"))) == 1  # in no files
+
+
 def test_no_rows(spark):
     assert A.media_digest(A.store_text(spark.createDataFrame([], "doc_id long, text string"))).count() == 0

@@ -5,7 +5,9 @@ length, are decoded side by side: numpy steps through the nibbles of all blocks
 
 Texts are stored as media tables: a text's bytes are the samples of a telephony file (mu-law or A-law, or the nibbles of
 IMA ADPCM blocks behind a header each), of which of the three its own checksum decides. `decode_column` turns a media table
-into one of resampled PCM; `media_digest` writes such a table as well, reads it back and takes the features from it.
+into one of resampled PCM; `media_digest` writes such a table as well, reads it back and takes the features from it. PCM
+takes four to eight bytes for each byte of text, so of a large table this is done in turns, some files of the media table
+at a time: a turn's PCM is deleted when its features are written.
 
 Defined results: a null payload or text counts as empty, an empty one is padded to one unit; equal bytes give equal
 results, so do repeated rows; a very long text is one file; a file that can't be read has an error and no samples; an
@@ -14,21 +16,26 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tilewright.llm.common import arrow_pass, cut
+from tilewright.llm.common import arrow_pass, cut, drop
 
 #: WAVE format tags, and the samples a second of telephony.
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
 RATE, UNIT = 8000, 64
 #: The index changes of IMA ADPCM.
 IMA_INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, dtype=np.int64)
+#: Turns in which PCM is made at most, bytes of text of a turn at least, and rows of a file of the media table.
+TURNS, TURN, FILE = 16, 1 << 24, 2048
 #: Half-band low-pass that fills in the sample between two others (windowed sinc, scaled to a gain of 1).
 _k = np.arange(-3.5, 4)
 HALF = (np.sinc(_k) * np.hamming(8)) / (np.sinc(_k) * np.hamming(8)).sum()
@@ -226,7 +233,7 @@ def store_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         both = [payload(t) for t in batch[1].to_pylist()]
         return {key: batch[0], "n_bytes": pa.array([n for _, n in both], pa.int64()), "media": pa.array([pack(p) for p, _ in both], pa.binary())}
 
-    return cut(arrow_pass(df, [key, text], work, f"{key} {dict(df.dtypes)[key]}, n_bytes long, media binary"), "media")
+    return cut(arrow_pass(df, [key, text], work, f"{key} {dict(df.dtypes)[key]}, n_bytes long, media binary"), "media", "zstd", FILE)
 
 
 def features(pcm: np.ndarray) -> str:
@@ -260,6 +267,23 @@ def store_pcm(df: DataFrame, key: str = "doc_id") -> DataFrame:
 DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
 
+def turns(df: DataFrame) -> list[DataFrame]:
+    """The rows of df (n_bytes and others) in parts of like size, each of some files; in one if they are few or in no files."""
+    try:
+        file = df.metadataColumn("_metadata").getField("file_path")
+        sizes = sorted((r["file"], r["n"] or 0) for r in df.groupBy(file.alias("file")).agg(F.sum("n_bytes").alias("n")).collect())  # a row per file
+    except AnalysisException:
+        return [df]
+    whole = sum(n for _, n in sizes)
+    count, parts, done = max(1, min(TURNS, whole // TURN)), {}, 0
+    if count == 1:
+        return [df]
+    for name, n in sizes:
+        parts.setdefault((done + n // 2) * count // (whole + 1), []).append(name)
+        done += n
+    return [df.where(file.isin(names)) for names in parts.values()]  # Spark opens these files only
+
+
 def media_digest(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Of stored files (key, n_bytes, media): sizes, hashes and the feature string, which is that of the stored PCM."""
     names = [c.split()[0] for c in DIGEST.split(", ")]
@@ -268,4 +292,14 @@ def media_digest(df: DataFrame, key: str = "doc_id") -> DataFrame:
         feature = [features(np.frombuffer(p.as_buffer(), "<i2")) for p in batch[len(names) + 1]]
         return dict(zip([key, *names], batch.columns)) | {"feature": feature}
 
-    return arrow_pass(store_pcm(df, key), [key, *names, "pcm"], work, f"{key} {dict(df.dtypes)[key]}, {DIGEST}, feature string")
+    def digest(pcm: DataFrame) -> DataFrame:
+        return arrow_pass(pcm, [key, *names, "pcm"], work, f"{key} {dict(df.dtypes)[key]}, {DIGEST}, feature string")
+
+    parts, out = turns(df), []
+    if len(parts) == 1:
+        return digest(store_pcm(df, key))
+    for part in parts:
+        pcm = store_pcm(part, key)
+        out.append(cut(digest(pcm), "digest"))
+        drop(pcm)
+    return functools.reduce(DataFrame.union, out)

@@ -41,16 +41,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-def cut(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """The rows of df, written once as a table in the shared folder and read back. codec: Parquet's, if not the session's.
+def cut(df: DataFrame, name: str, codec: str | None = None, rows: int = 0) -> DataFrame:
+    """The rows of df, written once as a table in the shared folder and read back. codec: Parquet's, if not the session's;
+    rows: of a file at most, if not 0.
 
     The plan above starts from files, so a lost executor costs no more than the tasks that ran on it.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    df.write.option("maxRecordsPerFile", rows).parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes a table that cut() wrote and that nobody reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).getParent() for f in df.inputFiles()}:
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def arrow_pass(df: DataFrame, columns: list, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """One narrow pass: work turns each Arrow batch of the columns into the columns of schema."""
 
