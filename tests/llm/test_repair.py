@@ -44,6 +44,23 @@ def test_random_access():
         R.Shard(b"something else")
 
 
+@pytest.mark.parametrize("first", [50, 1 << 20])
+def test_nonterminals_are_opened_once(monkeypatch, first):
+    """However often each occurs in a long sequence; a table of all ids is not made where it would be larger."""
+    rng = np.random.default_rng(2)
+    words = [rng.integers(0, 50, int(n)) for n in rng.integers(1, 30, 60)]
+    ids = np.concatenate([words[i] for i in rng.integers(0, 60, 5000)]).astype(np.uint32)
+    ids[0] = first - 1
+    start, rules, seq = R.compress(ids)
+    asked, opened = [], R._opened
+    monkeypatch.setattr(R, "_opened", lambda seq, *rest: asked.append(len(seq)) or opened(seq, *rest))
+    assert start == first and len(seq) > 4 * len(rules) > 0
+    for width in (None, R.lengths(start, rules)):
+        assert (R.expand(seq, start, rules, width) == ids).all()
+    assert set(asked) == {len(rules) if first == 50 else len(seq)}
+    assert len(R.expand(seq[:0], start, rules)) == 0 and (R.expand(ids, first, rules[:0]) == ids).all()
+
+
 TEXTS = ["", "a", " Hello  world\n\n x", "it's I'LL", "<|endoftext|> x <|endoftext|>", "日本語 é 🎉", "\x1c a\x85b", " \t \n", "1234 ½", "x" * 3000, " word" * 50_000, "a   b    ", "\u00a0 \u00a0a"]
 
 

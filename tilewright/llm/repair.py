@@ -31,6 +31,9 @@ END, MEMO = 2, 400_000
 #: The letters and numbers among the characters that texts are cut up at here (up to U+024F).
 LETTERS, NUMBERS = r"A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"0-9\u00B2\u00B3\u00B9\u00BC-\u00BE"
 
+#: The ASCII characters of texts that are cut up here.
+_PLAIN = b"\t\n\r" + bytes(range(0x20, 0x7F))
+
 
 def _pairs(seq: np.ndarray, known: int, least: int, live: np.ndarray) -> np.ndarray:
     """The rank of the pair that begins at each place among those that occur least times or more: 1 for the rarest, 0 for
@@ -40,26 +43,27 @@ def _pairs(seq: np.ndarray, known: int, least: int, live: np.ndarray) -> np.ndar
     nonterminal that it put in.
     """
     n, bits = len(seq) - 1, int(known - 1).bit_length()
-    rank = np.zeros(n + 2, np.int64)  # one place before the first, one behind the last
-    code = seq[:-1].astype(np.uint64) << np.uint64(bits) | seq[1:]
-    live |= seq[:-1] == seq[1:]  # what was inside of a row of equal ids may now begin one
-    again = np.flatnonzero(code[1:] == code[:-1]) + 1  # the pair before begins with the same three equal ids
+    rank = np.zeros(n + 2, np.int32)  # one place before the first, one behind the last
+    equal = seq[:-1] == seq[1:]
+    live |= equal  # what was inside of a row of equal ids may now begin one
+    again = np.flatnonzero(equal[1:] & equal[:-1]) + 1  # the pair before begins with the same three equal ids
     if len(again):
         run = np.concatenate([[0], np.cumsum(np.diff(again) != 1)])
         first = again[np.searchsorted(run, run)]
         live[again] = (again - first) % 2 == 1
     use = np.flatnonzero(live)
+    code = seq[use].astype(np.uint64) << np.uint64(bits) | seq[use + 1]
     width = int(n).bit_length()
     if 2 * bits + width <= 64:  # code and place in one number, so one sort of numbers does
-        both = np.sort(code[use] << np.uint64(width) | use.astype(np.uint64))
+        both = np.sort(code << np.uint64(width) | use.astype(np.uint64))
         at, code = (both & np.uint64((1 << width) - 1)).astype(np.int64), both >> np.uint64(width)
     else:
-        order = np.argsort(code[use], kind="stable")
-        at, code = use[order], code[use][order]
+        order = np.argsort(code, kind="stable")
+        at, code = use[order], code[order]
     edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     times = np.diff(np.append(edge, len(code)))
     often = np.flatnonzero(times >= least)
-    ranks = np.zeros(len(edge), np.int64)
+    ranks = np.zeros(len(edge), np.int32)
     ranks[often[np.argsort(times[often], kind="stable")]] = np.arange(1, len(often) + 1)
     rank[at + 1] = np.repeat(ranks, times)
     return rank
@@ -89,20 +93,27 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.n
         pair = number[here[at]]
         new = np.empty((int(number[-1]) + 1, 2), np.uint32)
         new[pair, 0], new[pair, 1] = seq[at], seq[at + 1]
+        known = first + len(symbols)
         for rule in map(tuple, new.tolist()):
             symbols.setdefault(rule, first + len(symbols))
         put = np.fromiter((symbols[rule] for rule in map(tuple, new.tolist())), np.uint32, len(new))
         seq[at] = put[pair]
-        keep, touched = np.ones(len(seq), bool), np.zeros(first + len(symbols), bool)
-        keep[at + 1], touched[put] = False, True
+        keep = np.ones(len(seq), bool)
+        keep[at + 1] = False
         seq, often = seq[keep], (rank[1:] > 0)[keep]
-        fresh = touched[seq]
-        live = often[:-1] | fresh[:-1] | fresh[1:]
+        place = at - np.arange(len(at))  # of the nonterminals that this round put in
+        if (put < known).any():  # some are older, and their other places count, too
+            touched = np.zeros(first + len(symbols), bool)
+            touched[put] = True
+            place = np.flatnonzero(touched[seq])
+        live = often[:-1]
+        live[place[place < len(live)]] = True
+        live[place[place > 0] - 1] = True
     rules = np.array(list(symbols), np.uint32).reshape(-1, 2)
     return first, rules, seq
 
 
-def expand(seq: np.ndarray, first: int, rules: np.ndarray) -> np.ndarray:
+def _opened(seq: np.ndarray, first: int, rules: np.ndarray) -> np.ndarray:
     """The ids that the symbols stand for: all nonterminals of a depth are opened at once."""
     seq = seq.astype(np.uint32)
     while len(seq) and int(seq.max()) >= first:
@@ -117,6 +128,21 @@ def expand(seq: np.ndarray, first: int, rules: np.ndarray) -> np.ndarray:
     return seq
 
 
+def expand(seq: np.ndarray, first: int, rules: np.ndarray, width: np.ndarray | None = None) -> np.ndarray:
+    """The ids that the symbols stand for. Of a long sequence each nonterminal is opened once, and its ids are put wherever
+    it occurs. width: the ids of each nonterminal, if they are known."""
+    if len(seq) < 4 * len(rules) or first > max(1 << 17, len(seq)):
+        return _opened(seq, first, rules)
+    width = (lengths(first, rules) if width is None else width).astype(np.int64)
+    ids = np.concatenate([np.arange(first, dtype=np.uint32), _opened(np.arange(first, first + len(rules)), first, rules)])
+    width = np.concatenate([np.ones(first, np.int64), width])
+    start = np.cumsum(width) - width
+    size = width[seq]
+    place = np.repeat(start[seq] - (np.cumsum(size) - size), size)
+    place += np.arange(len(place))
+    return ids[place]
+
+
 def lengths(first: int, rules: np.ndarray) -> np.ndarray:
     """Ids that each nonterminal expands to; a rule refers to earlier ones only."""
     out = np.ones(len(rules), np.uint32)
@@ -163,7 +189,7 @@ class Shard:
         self.places = np.cumsum(size)
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.first, self.rules)
+        return expand(self.seq, self.first, self.rules, self.width)
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document: only the symbols that reach into it are expanded."""
@@ -190,9 +216,15 @@ class Pieces:
         for kind, own in ((r"[^\s\p{L}\p{N}]", f"[^\\s{LETTERS}{NUMBERS}]"), (r"\p{L}", f"[{LETTERS}]"), (r"\p{N}", f"[{NUMBERS}]")):
             pattern = pattern.replace(kind, own)
         self.find = re.compile(pattern).findall
-        self.other = re.compile(r"[^\t\n\r\x20-\x7E\u00A0-\u024F\u2010-\u201F\u2026\u20AC]|<\|").search
+        self.odd = re.compile(r"[^\t\n\r\x20-\x7E\u00A0-\u024F\u2010-\u201F\u2026\u20AC]").search
         self.memo: dict[str, bytes] = {}
 
+    def other(self, text: str) -> bool:
+        """Whether a text is one for the library as a whole."""
+        if "<|" in text:
+            return True
+        return bool(text.encode().translate(None, _PLAIN)) if text.isascii() else self.odd(text) is not None
+
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """The ids of pieces. Words that begin with their space are cut apart again in a row, so one call does for all."""
         got: dict[str, bytes] = {}
@@ -212,18 +244,20 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        whole = [bool(self.other(t)) for t in texts]
+        whole = [self.other(t) for t in texts]
         cut_up = [[] if w else self.find(t) for t, w in zip(texts, whole)]
         memo = self.memo
-        known = self._learn(list(set().union(*cut_up).difference(memo)))
+        found = [list(map(memo.get, pieces)) for pieces in cut_up]
+        lacking = [[i for i, x in enumerate(got) if x is None] for got in found]
+        known = self._learn(list({pieces[i] for pieces, some in zip(cut_up, lacking) for i in some}))
         full = len(memo) >= MEMO  # the first words are the frequent ones; those that come later are not kept
-        memo.update(known)
+        if not full:
+            memo.update(known)
+        for pieces, got, some in zip(cut_up, found, lacking):
+            for i in some:
+                got[i] = known[pieces[i]]
         left = iter(self.library.encode_batch_fast([t for t, w in zip(texts, whole) if w], add_special_tokens=False))
-        out = [np.array(next(left).ids, "<u4").tobytes() if w else b"".join(map(memo.__getitem__, pieces)) for pieces, w in zip(cut_up, whole)]
-        if full:
-            for p in known:
-                del memo[p]
-        return out
+        return [np.array(next(left).ids, "<u4").tobytes() if w else b"".join(got) for got, w in zip(found, whole)]
 
 
 _open: dict[str, Pieces] = {}
