@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tilewright.llm import audio as A
@@ -151,5 +152,26 @@ def test_pcm_is_made_in_turns(spark, monkeypatch):
     assert len(A.turns(spark.createDataFrame([(1, 9 << 30)], "doc_id long, n_bytes long"))) == 1  # in no files
 
 
+def test_tables_have_few_files_and_small_row_groups(spark, monkeypatch):
+    """A file costs the executor two processes, a row group is held in memory: one file a task, and PCM in parts."""
+    files, blocks, cut = {}, [], A.cut
+
+    def watched(df, name, *rest):
+        got = cut(df, name, *rest)
+        names = [f.removeprefix("file://") for f in got.inputFiles()]
+        files[name] = files.get(name, 0) + len(names)
+        if name == "pcm":
+            blocks.extend(pq.ParquetFile(f).num_row_groups for f in names)
+        return got
+
+    monkeypatch.setattr(A, "cut", watched)
+    monkeypatch.setattr(A, "TURN", 1 << 16)
+    monkeypatch.setattr(A, "BLOCK", 1 << 17, raising=False)
+    texts = [(i, f"text {i} {i * 7919 % 10007} " * (i % 9)) for i in range(9000)]
+    got = A.media_digest(A.store_text(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))).select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == list(range(9000))
+    assert files["media"] == files["pcm"] == 3 and files["digest"] <= 3 and min(blocks) > 1
+
+
 def test_no_rows(spark):
     assert A.media_digest(A.store_text(spark.createDataFrame([], "doc_id long, text string"))).count() == 0

@@ -7,7 +7,8 @@ Texts are stored as media tables: a text's bytes are the samples of a telephony
 IMA ADPCM blocks behind a header each), of which of the three its own checksum decides. `decode_column` turns a media table
 into one of resampled PCM; `media_digest` writes such a table as well, reads it back and takes the features from it. PCM
 takes four to eight bytes for each byte of text, so of a large table this is done in turns, some files of the media table
-at a time: a turn's PCM is deleted when its features are written.
+at a time: a turn's PCM is deleted when its features are written. Hadoop's local file system starts two processes for each
+file that is written, and an executor counts twice while it does, so all tables here have few files.
 
 Defined results: a null payload or text counts as empty, an empty one is padded to one unit; equal bytes give equal
 results, so do repeated rows; a very long text is one file; a file that can't be read has an error and no samples; an
@@ -34,8 +35,10 @@ PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
 RATE, UNIT = 8000, 64
 #: The index changes of IMA ADPCM.
 IMA_INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, dtype=np.int64)
-#: Turns in which PCM is made at most, bytes of text of a turn at least, and rows of a file of the media table.
-TURNS, TURN, FILE = 16, 1 << 24, 2048
+#: Turns in which PCM is made at most, bytes of text of a turn at least, and rows of a file of the media table at most.
+TURNS, TURN, FILE = 10, 1 << 24, 1 << 14
+#: Files whose sound a worker holds at once, and bytes of a row group of it: what a task holds until it writes or has read them.
+SOUNDS, BLOCK = 256, 1 << 22
 #: Half-band low-pass that fills in the sample between two others (windowed sinc, scaled to a gain of 1).
 _k = np.arange(-3.5, 4)
 HALF = (np.sinc(_k) * np.hamming(8)) / (np.sinc(_k) * np.hamming(8)).sum()
@@ -260,7 +263,7 @@ def store_pcm(df: DataFrame, key: str = "doc_id") -> DataFrame:
         i64 = lambda x: pa.array(x, pa.int64())
         return {key: batch[0], "n_bytes": batch[1], "payload_bytes": i64(size), "payload_sha256": sha, "tail_crc32": i64(tail), "media_bytes": i64(media), "media_sha256": media_sha, **_decoded(files)}
 
-    return cut(arrow_pass(df, [key, "n_bytes", "media"], work, f"{key} {dict(df.dtypes)[key]}, {DIGEST}, {DECODED}"), "pcm", "zstd")
+    return cut(arrow_pass(df, [key, "n_bytes", "media"], work, f"{key} {dict(df.dtypes)[key]}, {DIGEST}, {DECODED}", SOUNDS), "pcm", "zstd", 0, BLOCK)
 
 
 #: The columns of media_digest between the key and the feature.
@@ -293,13 +296,13 @@ def media_digest(df: DataFrame, key: str = "doc_id") -> DataFrame:
         return dict(zip([key, *names], batch.columns)) | {"feature": feature}
 
     def digest(pcm: DataFrame) -> DataFrame:
-        return arrow_pass(pcm, [key, *names, "pcm"], work, f"{key} {dict(df.dtypes)[key]}, {DIGEST}, feature string")
+        return arrow_pass(pcm, [key, *names, "pcm"], work, f"{key} {dict(df.dtypes)[key]}, {DIGEST}, feature string", SOUNDS)
 
     parts, out = turns(df), []
     if len(parts) == 1:
         return digest(store_pcm(df, key))
     for part in parts:
         pcm = store_pcm(part, key)
-        out.append(cut(digest(pcm), "digest"))
+        out.append(cut(digest(pcm).coalesce(len(pcm.inputFiles())), "digest"))
         drop(pcm)
     return functools.reduce(DataFrame.union, out)

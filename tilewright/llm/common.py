@@ -41,14 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-def cut(df: DataFrame, name: str, codec: str | None = None, rows: int = 0) -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str | None = None, rows: int = 0, block: int = 0) -> DataFrame:
     """The rows of df, written once as a table in the shared folder and read back. codec: Parquet's, if not the session's;
-    rows: of a file at most, if not 0.
+    rows: of a file at most, if not 0; block: bytes of a row group, if not Parquet's own.
 
     The plan above starts from files, so a lost executor costs no more than the tasks that ran on it.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", rows).parquet(path, compression=codec)
+    writer = df.write.option("maxRecordsPerFile", rows)
+    (writer.option("parquet.block.size", block) if block else writer).parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,11 +60,11 @@ def drop(df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
-def arrow_pass(df: DataFrame, columns: list, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """One narrow pass: work turns each Arrow batch of the columns into the columns of schema."""
+def arrow_pass(df: DataFrame, columns: list, work: Callable[[pa.RecordBatch], dict], schema: str, rows: int = PIECE) -> DataFrame:
+    """One narrow pass: work turns each Arrow batch of the columns, of so many rows at most, into the columns of schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, rows):
             yield pa.RecordBatch.from_pydict(work(batch))
 
     return df.select(*columns).mapInArrow(run, schema)
