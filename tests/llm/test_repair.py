@@ -91,6 +91,27 @@ def test_a_full_memo(library, monkeypatch):
         assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(t)] == [e.ids for e in library.encode_batch(t, add_special_tokens=False)]
 
 
+def test_pieces_are_met_once_and_end_with_the_id(library, monkeypatch):
+    """Keys of all lengths, more characters than there are bytes, contractions, and texts that go to the library whole."""
+    own, asked = R.Pieces(tokenizer_file(BYTE_BPE), byte_pattern()), []
+    assert own.own and own.bare
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda new: asked.extend(new) or learn(new))
+    texts = [" ".join("a" * k for k in range(1, 40)), "".join(map(chr, range(0xC0, 0x250))), "!'s 's'll've  \n'tx\n don't'", "日本 <|endoftext|>", "", " \n "] * 2
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for end, tail in ((2, [2]), (None, []), (7, [7])):
+        ids, ends = own.flat(texts, end)
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [w + tail for w in want]
+        assert len(own.flat([], end)[0]) == 0
+    assert len(asked) == len(set(asked)) and {"a" * 1, " " + "a" * 15, " " + "a" * 16, "'ll"} <= set(asked)
+    assert own.codes > R.NO_CODE and " " + "a" * 16 in own.rare and " " + "a" * 15 not in own.rare
+    for t in texts:
+        assert R.cuts(np.frombuffer((t + "\0").encode("utf-16-le"), "<u2"), own.kinds).tolist()[:-1] == [m.start() for m in own.find(t)] or own.other(t)
+    own.own = own.bare = False
+    own.__dict__.update({k: v for k, v in R.Pieces(tokenizer_file(BYTE_BPE), byte_pattern()).__dict__.items() if k in ("slots", "low", "high", "begin", "count", "ids", "entries", "used", "rare")})
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == want
+
+
 def test_files(spark, library):
     rows = [(i * 3 % 101, f"text {i} " * (i % 9), "x", 1) for i in range(101)] + [(7, "text", "x", 1), (8, None, "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, blob string, n int").repartition(5)
