@@ -112,6 +112,24 @@ def test_pieces_are_met_once_and_end_with_the_id(library, monkeypatch):
     assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == want
 
 
+def test_the_memo_outlives_a_task(spark, monkeypatch):
+    """What Spark sends to a worker finds the worker's own memo, not a copy of it."""
+    import pyarrow as pa
+    from pyspark import TaskContext, cloudpickle
+
+    df, sent = spark.createDataFrame([(1, "some words")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, *rest, f=type(df).mapInArrow, **more: sent.append(cloudpickle.dumps(run)) or f(self, run, *rest, **more))
+    R.store(df, tokenizer_file(BYTE_BPE), byte_pattern())
+    monkeypatch.setattr(R, "_open", {})
+    monkeypatch.setattr(TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    known = []
+    for _ in range(2):
+        batch = pa.RecordBatch.from_pydict({"key": [1], "text": ["some words"]})
+        assert [b.num_rows for b in cloudpickle.loads(sent[0])(iter([batch]))] == [1]
+        known.append([(id(t), t.entries) for t in R._open.values()])
+    assert len(known[0]) == 1 and known[0] == known[1] and known[0][0][1] == 3
+
+
 def test_files(spark, library):
     rows = [(i * 3 % 101, f"text {i} " * (i % 9), "x", 1) for i in range(101)] + [(7, "text", "x", 1), (8, None, "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, blob string, n int").repartition(5)

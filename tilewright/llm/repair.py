@@ -28,7 +28,7 @@ from tilewright.llm.common import arrow_pass, cut, pieces, small_join
 MAGIC = b"TWRP1\0\0\0"
 #: Ids of a shard at which it is closed, least occurrences of a pair, and characters of a part of the documents.
 SHARD, LEAST, PART = 1 << 20, 24, 1 << 24
-END, MEMO = 2, 1 << 20
+END, MEMO = 2, 400_000
 #: Documents that are encoded at once.
 ROWS = 128
 #: The characters of a piece that its key holds, and what one in 8 bits is if there is no number left for it.
@@ -431,13 +431,19 @@ class Pieces:
 _open: dict[str, Pieces] = {}
 
 
+def opened(path: str, pattern: str) -> Pieces:
+    """The one of this process, whose memo outlives a task: tasks get a copy of any variable that they name themselves."""
+    return _open.get(path) or _open.setdefault(path, Pieces(path, pattern))
+
+
 def store(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", end: int = END, shard: int = SHARD) -> DataFrame:
     """part, shard, keys, first, last, n, blob: the shards in order of (part, shard), one row each, already written."""
 
     def run(batches):
-        tok = _open.get(path) or _open.setdefault(path, Pieces(path, pattern))
         from pyspark import TaskContext
 
+        tok = opened(path, pattern)
+
         part, number, keys, held, n = TaskContext.get().partitionId(), 0, [], [], 0
 
         def close():
