@@ -48,8 +48,8 @@ CHI2, FLOOR = 20.0, 0.02
 DENSE_SHARE, DENSE_MOST, FIRST = 16, 2048, 4
 #: Directions onto which examples are projected to tell which are alike.
 SKETCH = 64
-#: Texts scored together, terms whose counts travel together, words that the memo keeps.
-TOGETHER, SLICE, MEMO = 256, 4096, 250_000
+#: Texts scored together, terms whose counts travel together, words that the memo keeps, postings of a short run.
+TOGETHER, SLICE, MEMO, FEW = 256, 4096, 250_000, 128
 #: Beyond what single precision can be wrong by.
 MARGIN = 2e-5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -78,6 +78,11 @@ def words_of(text: str | None) -> list[str]:
         return _WORD.findall(text.lower())
 
 
+#: The first n of 8 bytes, and the mark that ends a term of first letters, in its place.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_STAR = np.uint64(ord("*") << 8 * START)
+
+
 class Memo(dict):
     """Of words that were met, one number for a word's two terms: 0 if it has neither, which is not kept."""
 
@@ -97,18 +102,23 @@ class Terms:
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary, self.size, self.memo = vocabulary, len(vocabulary) + 1, Memo(vocabulary)
 
-    def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all texts one after the other: terms in ascending order, their counts, and where each text's begin."""
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
+    def found(self, texts: list[str | None]) -> np.ndarray:
+        """Each place of a term: its text's number times `size`, and the term's number from 1; in no order."""
         words = [words_of(t) for t in texts]
         size = np.fromiter(map(len, words), np.int64, len(words))
         flat = list(chain.from_iterable(words))
-        both = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat))
+        return self._both(np.repeat(np.arange(len(texts)) * self.size, size), np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat)))
+
+    def _both(self, text: np.ndarray, both: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(both)
-        text, (whole, start) = np.repeat(np.arange(len(texts)) * self.size, size)[some], np.divmod(both[some], self.size)
-        keys = np.concatenate([(text + whole)[whole > 0], (text + start)[start > 0]])
-        keys, n = np.unique(keys, return_counts=True)
+        text, (whole, start) = text[some], np.divmod(both[some], self.size)
+        return np.concatenate([(text + whole)[whole > 0], (text + start)[start > 0]])
+
+    def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts one after the other: terms in ascending order, their counts, and where each text's begin."""
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        keys, n = np.unique(self.found(texts), return_counts=True)
         return keys % self.size - 1, n.astype(np.float64), np.searchsorted(keys, np.arange(len(texts) + 1) * self.size)
 
     def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -117,6 +127,85 @@ class Terms:
         return [(t[a:b], n[a:b]) for a, b in zip(begin.tolist(), begin[1:].tolist())]
 
 
+class Packed(Terms):
+    """The same counts for many texts: words of Latin-1 of at most 16 letters are two numbers of 8 bytes each, their letters,
+    and all of several texts are looked up at once, by all their letters, in a hash table of arrays. Other words take the
+    memo. The table is built where it is first used."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__(vocabulary)
+        self.key: np.ndarray | None = None
+
+    def __reduce__(self):
+        return Packed, (self.vocabulary,)
+
+    def _place(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a ^ b * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        return (x >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def build(self) -> None:
+        raw = ((t.encode("latin-1", "ignore"), t, i) for t, i in self.vocabulary.items())
+        raw = [(b, i + 1) for b, t, i in raw if 0 < len(b) == len(t) <= 16]
+        key = np.array([b for b, _ in raw], "S16").view("<u8").reshape(-1, 2)
+        value = np.fromiter((i for _, i in raw), np.int32, len(raw))
+        self.bits = max(4, len(raw).bit_length() + 1)  # half full at most
+        self.key, self.value = np.zeros((1 << self.bits, 2), np.uint64), np.zeros(1 << self.bits, np.int32)
+        left = np.arange(len(raw))
+        at = self._place(key[:, 0], key[:, 1])
+        while len(left):  # each goes to the first free place from its own on
+            free = self.value[at] == 0
+            self.value[at[free]] = value[left[free]]  # of several one stays
+            own = self.value[at] == value[left]
+            self.key[at[own]] = key[left[own]]
+            left, at = left[~own], (at[~own] + 1) & ((1 << self.bits) - 1)
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The numbers from 1 of the terms with these letters, 0 for others."""
+        at, out, left = self._place(a, b), np.zeros(len(a), np.int64), np.arange(len(a))
+        while len(left):
+            there, value = self.key.take(at, 0), self.value.take(at)
+            same = (there[:, 0] == a) & (there[:, 1] == b)
+            out[left[same]] = value[same]
+            on = np.flatnonzero(~same & (value > 0))
+            left, a, b, at = left[on], a[on], b[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def found(self, texts: list[str | None]) -> np.ndarray:
+        if self.key is None:
+            self.build()
+        plain, other = [], [None] * len(texts)
+        for i, t in enumerate(texts):
+            try:
+                plain.append((t or "").encode("latin-1").translate(_PLAIN))
+            except UnicodeEncodeError:
+                plain.append(b"")
+                other[i] = t
+        out = [super().found(other)] if any(other) else []
+        raw = b" ".join([b"", *plain, b" " * 16])
+        letter = np.frombuffer(raw, np.uint8) != 32
+        edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        begin, size = edge[::2], edge[1::2] - edge[::2]
+        of = np.searchsorted(begin, np.cumsum([1, *(len(p) + 1 for p in plain)]))
+        text = np.repeat(np.arange(len(texts)) * self.size, np.diff(of))
+        eight = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))  # the 8 bytes from each byte on
+        first = eight[begin]
+        a, b = first & _MASK.take(size, mode="clip"), np.zeros(len(begin), np.uint64)
+        long = np.flatnonzero(size > 8)
+        b[long] = eight[begin[long] + 8] & _MASK.take(size[long] - 8, mode="clip")
+        whole = self._find(a, b)
+        whole[size > 16] = 0
+        started = np.flatnonzero((size >= START) & (size <= 16))
+        start = self._find(first[started] & _MASK[START] | _STAR, np.zeros(len(started), np.uint64))
+        out += [(text + whole)[whole > 0], (text[started] + start)[start > 0]]
+        long = np.flatnonzero(size > 16)
+        if len(long):
+            words = [raw[x : x + n].decode("latin-1") for x, n in zip(begin[long].tolist(), size[long].tolist())]
+            out.append(self._both(text[long], np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))))
+        return np.concatenate(out)
+
+
 def _bisect(x: np.ndarray, block: int) -> np.ndarray:
     """An order of the rows in which alike ones share a block: halves along the direction of the largest spread."""
     order, parts = np.arange(len(x)), [(0, len(x))]
@@ -187,34 +276,39 @@ class Index:
 
         sketch = np.concatenate([dense(a, min(a + 512, n)) @ random for a in range(0, n, 512)])
         order = _bisect(sketch, BLOCK)  # distances between rows are about those between their projections
-        # by block: ids, labels, and each example's own terms for the scores in double precision
-        self.ids, self.labels = [ids[i] for i in order], labels[order]
+        # by block: ids, labels, and each example's own terms
+        self.ids, self.labels, self.norm = [ids[i] for i in order], labels[order], norm[order]
         own = [slice(offsets[i], offsets[i + 1]) for i in order.tolist()]
         size = size[order]
-        if counts.max(initial=0) <= 0xFFFF:
-            counts = counts.astype(np.uint16)
+        # an example's place, and how often it has the term, in one number: a term's postings are one run
+        small = counts.max(initial=0) <= 0xFFFF and n <= 1 << 16
+        kind, self.shift = (np.uint32, 16) if small else (np.int64, 32)
+        counts = counts.astype(np.uint16 if small else np.int32)
         counts, weight, terms = (np.concatenate([some[x] for x in own]) for some in (counts, weight, terms))
-        # weights in double precision are made anew from counts, which are a quarter of their size
-        self.terms, self.counts, self.norm, self.begin = terms, counts, norm[order], np.concatenate([[0], np.cumsum(size)])
-        offsets = self.begin
+        offsets = np.concatenate([[0], np.cumsum(size)])
         self.blocks = max(1, -(-n // BLOCK))
         self.rows = np.zeros((self.blocks, len(often), BLOCK), np.float32)  # block, dense term, example
         for i, a in enumerate(range(0, n, BLOCK)):
             self.rows[i, :, : min(BLOCK, n - a)] = dense(a, min(a + BLOCK, n)).T
         self.top = np.ascontiguousarray(self.rows.max(2).T)
+        del weight
         rare = np.flatnonzero(self.dense[terms] < 0).astype(np.int32)
         rare = rare[np.argsort(terms[rare], kind="stable")]
-        # an example's place, and its weight in units (16 bits, rounded up), in one number: a term's postings are one run
-        self.unit = float(weight[rare].max(initial=0.0)) / 0xFFFE or 1.0
-        self.posts = (np.searchsorted(self.begin, rare, "right") - 1).astype(np.uint32 if n <= 1 << 16 else np.int64)
-        self.posts <<= 16
-        self.posts |= np.ceil(weight[rare] / self.unit).astype(np.uint16)
+        self.posts = (np.searchsorted(offsets, rare, "right") - 1).astype(kind)
+        self.posts <<= kind(self.shift)
+        self.posts |= counts[rare]
         self.start = np.searchsorted(terms[rare], np.arange(len(gain) + 1))
-        self.gain, self.scratch, self.built = gain, np.zeros(len(gain)), True
+        # the dense ones once more with their counts, for sums in double precision; those of postings are that anyway
+        some = np.flatnonzero(self.dense[terms] >= 0)
+        self.columns, self.counts = self.dense[terms[some]].astype(np.uint16), counts[some]
+        self.begin = np.searchsorted(some, offsets)
+        self.long = np.ones(self.blocks * BLOCK)  # lengths, of the blocks' empty places too
+        self.long[:n] = self.norm
+        self.gain, self.built = gain, True
         rank = sorted(range(n), key=lambda i: (str(type(self.ids[i])), self.ids[i]))
         self.rank = np.empty(n, np.int64)
         self.rank[rank] = np.arange(n)
-        del dense, terms, counts, weight
+        del dense, terms, counts
         released()
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -227,25 +321,40 @@ class Index:
 
     def _nearest(self, vectors: list, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         m, wide = len(vectors), self.blocks * BLOCK
-        query, score, weights = np.zeros((m, self.rows.shape[1]), np.float32), np.zeros((m, wide), np.float32), []
-        margin = np.full(m, MARGIN)
-        for i, (t, n) in enumerate(vectors):
-            w = n * self.gain[t]
-            w = w / (np.sqrt((w * w).sum()) or 1.0)
-            weights.append(w)
-            place = self.dense[t]
-            some = place >= 0
-            query[i, place[some]] = w[some]
-            rare = np.flatnonzero(~some)
-            a, b = self.start[t[rare]], self.start[t[rare] + 1]
-            if len(rare):
-                both = np.concatenate(list(map(self.posts.__getitem__, map(slice, a.tolist(), b.tolist()))))
-                share = np.repeat(w[rare] * self.unit, b - a)
-                share *= both & 0xFFFF
-                score[i] = np.bincount(both >> 16, share, wide)
-                margin[i] += w[rare].sum() * self.unit  # what rounding to units can add
+        query, score = np.zeros((m, self.rows.shape[1]), np.float32), np.zeros((m, wide))
+        exactly = np.zeros(query.shape)  # of dense terms, what to multiply counts with
+        length = [len(t) for t, _ in vectors]
+        row, t = np.repeat(np.arange(m), length), np.concatenate([t for t, _ in vectors])
+        w = np.concatenate([n for _, n in vectors]) * self.gain[t]
+        norm = np.sqrt(np.bincount(row, w * w, m))
+        norm[norm == 0] = 1.0
+        w /= norm[row]
+        place = self.dense[t]
+        some, rare = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        query[row[some], place[some]] = w[some]
+        w *= self.gain[t]
+        exactly[row[some], place[some]] = w[some]
+        size = self.start[t[rare] + 1] - self.start[t[rare]]
+        # by query, first the terms of few postings: theirs are gathered, the long runs copied
+        part = (2 * row[rare] + (size > FEW)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        rare, size, part = rare[order], size[order], part[order]
+        begin, share = self.start[t[rare]], w[rare]
+        parts = np.searchsorted(part, np.arange(2 * m + 1)).tolist()
+        for i in range(m):
+            x, y, z = parts[2 * i : 2 * i + 3]
+            if x == z:
+                continue
+            both = list(map(self.posts.__getitem__, map(slice, begin[y:z].tolist(), (begin[y:z] + size[y:z]).tolist())))
+            if x < y:
+                end = np.cumsum(size[x:y])
+                both.insert(0, self.posts[np.arange(end[-1]) + np.repeat(begin[x:y] + size[x:y] - end, size[x:y])])
+            both = np.concatenate(both)
+            each = np.repeat(share[x:z], size[x:z])
+            each *= both & ((1 << self.shift) - 1)
+            np.divide(np.bincount(both >> self.shift, each, wide), self.long, score[i])
         by_block = score.reshape(m, self.blocks, BLOCK)
-        bound = by_block.max(2) + query @ self.top + margin[:, None]
+        bound = by_block.max(2) + query @ self.top + MARGIN
         done = np.zeros((m, self.blocks), bool)
         exact = np.zeros((m, wide), np.float32)
         k = min(k, self.n)
@@ -262,28 +371,26 @@ class Index:
         fill(first)
         some = np.take_along_axis(exact.reshape(m, self.blocks, BLOCK), top[:, :, None], 1).reshape(m, -1)
         least = np.partition(some, some.shape[1] - min(k, some.shape[1]), 1)[:, some.shape[1] - min(k, some.shape[1])]
-        fill((bound >= np.maximum(least - margin, margin)[:, None]) & ~done)
+        fill((bound >= np.maximum(least - MARGIN, MARGIN)[:, None]) & ~done)
         out = []
-        for (t, _), w, x, l, off in zip(vectors, weights, exact, least.tolist(), (2 * margin).tolist()):
-            near = np.flatnonzero(x >= max(l - off, 1e-12))
+        for x, l, rough, q in zip(exact, least.tolist(), score, exactly):
+            near = np.flatnonzero(x >= max(l - 2 * MARGIN, 1e-12))
             if len(near) > k:  # the k-th best of all is at least that of the first blocks
                 own = x[near]
-                near = near[own >= np.partition(own, len(own) - k)[len(own) - k] - off]
-            out.append(self._exactly(t, w, near, k))
+                near = near[own >= np.partition(own, len(own) - k)[len(own) - k] - 2 * MARGIN]
+            out.append(self._exactly(q, rough[near], near, k))
         return out
 
-    def _exactly(self, t: np.ndarray, w: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines with some examples in double precision; the best k, of equal ones the smaller ids."""
-        if not len(near):
-            return near, np.zeros(0)
-        self.scratch[t] = w * self.gain[t]
-        size = self.begin[near + 1] - self.begin[near]
-        own = list(map(slice, self.begin[near].tolist(), self.begin[near + 1].tolist()))
-        terms = np.concatenate(list(map(self.terms.__getitem__, own)))
-        weight = self.scratch.take(terms, mode="clip")  # nothing is out of bounds, so nothing need be checked
-        weight *= np.concatenate(list(map(self.counts.__getitem__, own)))
-        cosine = np.add.reduceat(weight, np.cumsum(size) - size) / self.norm[near]
-        self.scratch[t] = 0.0
+    def _exactly(self, query: np.ndarray, cosine: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines with some examples in double precision, of which the postings' part is there; the best k, of equal ones
+        the smaller ids."""
+        begin, size = self.begin[near], self.begin[near + 1] - self.begin[near]
+        some = np.flatnonzero(size)
+        if len(some):
+            own = list(map(slice, begin.tolist(), (begin + size).tolist()))
+            weight = query.take(np.concatenate(list(map(self.columns.__getitem__, own))), mode="clip")  # nothing is out of bounds, so nothing need be checked
+            weight *= np.concatenate(list(map(self.counts.__getitem__, own)))
+            cosine[some] += np.add.reduceat(weight, (np.cumsum(size) - size)[some]) / self.norm[near[some]]
         order = np.lexsort((self.rank[near], -np.round(cosine, 12)))[:k]
         order = order[cosine[order] > 1e-12]
         return near[order], np.round(cosine[order], 12)
@@ -314,7 +421,7 @@ class Model:
         if not self.index.n:
             return [(min(max(self.base, 1e-4), 1 - 1e-4), np.zeros(0, np.int64), np.zeros(0)) for _ in texts]
         if self.terms is None:
-            self.terms = Terms(self.vocabulary)
+            self.terms = Packed(self.vocabulary)
         out = []
         for at in range(0, len(texts), TOGETHER):
             found = self.index.nearest(self.terms.vectors(texts[at : at + TOGETHER]))
@@ -369,14 +476,14 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_frequencies(docs: DataFrame, vocabulary: dict[str, int], text: str = "text") -> tuple[int, np.ndarray]:
     """Rows of docs, and of how many each term is a part. A task sends one number per term, whatever its number of rows."""
     size = len(vocabulary) + 1
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(Packed(vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, n = Terms(sent.value), np.zeros(-(-size // SLICE) * SLICE, np.int64)
+        terms, n = sent.value, np.zeros(-(-size // SLICE) * SLICE, np.int64)
         for batch in batches:
             n[size - 1] += batch.num_rows
             for part in pieces([batch], TOGETHER):
-                n += np.bincount(terms.count(part[0].to_pylist())[0], minlength=len(n))
+                np.add.at(n, terms.count(part[0].to_pylist())[0], 1)
         for s, part in enumerate(n.reshape(-1, SLICE)):
             if part.any():
                 yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "n": pa.array([part.tobytes()], pa.binary())})
@@ -426,12 +533,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n, df = document_frequencies(rows, vocabulary)
     gain = (np.log((n + 1) / (df + 1)) + 1) * ties(found["pos"].to_numpy().astype(np.float64), found["neg"].to_numpy().astype(np.float64), n1, n0)
     del found
-    sent = spark.sparkContext.broadcast(vocabulary)
+    sent = spark.sparkContext.broadcast(Packed(vocabulary))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(sent.value)
         for batch in batches:
-            got = terms.vectors(batch[2].to_pylist())
+            got = sent.value.vectors(batch[2].to_pylist())
             raw = lambda i: pa.array([g[i].astype(np.int32).tobytes() for g in got], pa.binary())
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], raw(0), raw(1)], ["id", "y", "t", "n"])
 
