@@ -30,7 +30,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -146,13 +146,15 @@ class Packed(Terms):
         return (x >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def build(self) -> None:
-        raw = ((t.encode("latin-1", "ignore"), t, i) for t, i in self.vocabulary.items())
-        raw = [(b, i + 1) for b, t, i in raw if 0 < len(b) == len(t) <= 16]
-        key = np.array([b for b, _ in raw], "S16").view("<u8").reshape(-1, 2)
-        value = np.fromiter((i for _, i in raw), np.int32, len(raw))
-        self.bits = max(4, len(raw).bit_length() + 1)  # half full at most
+        key, value, terms = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int32)], iter(self.vocabulary.items())
+        while some := [(t.encode("latin-1", "ignore"), t, i) for t, i in islice(terms, 1 << 15)]:
+            some = [(b, i + 1) for b, t, i in some if 0 < len(b) == len(t) <= 16]
+            key.append(np.array([b for b, _ in some], "S16").view("<u8").reshape(-1, 2))
+            value.append(np.array([i for _, i in some], np.int32))
+        key, value = np.concatenate(key), np.concatenate(value)
+        self.bits = max(4, len(key).bit_length() + 1)  # half full at most
         self.key, self.value = np.zeros((1 << self.bits, 2), np.uint64), np.zeros(1 << self.bits, np.int32)
-        left = np.arange(len(raw))
+        left = np.arange(len(key))
         at = self._place(key[:, 0], key[:, 1])
         while len(left):  # each goes to the first free place from its own on
             free = self.value[at] == 0
@@ -254,12 +256,13 @@ class Index:
         if self.sent:  # a task needs what it was built from no more
             self.raw = None
         n, size = self.n, np.diff(offsets)
-        who = np.repeat(np.arange(n, dtype=np.int32), size)
-        weight = counts * gain[terms]
-        norm = np.sqrt(np.bincount(who, weight * weight, n))
-        norm[norm == 0] = 1.0
-        weight /= norm[who]
-        del who
+        weight, norm = np.empty(len(terms), np.float32), np.empty(n)
+        for a in range(0, n, 512):
+            own, part = slice(offsets[a], offsets[min(a + 512, n)]), slice(a, min(a + 512, n))
+            who, w = np.repeat(np.arange(len(size[part])), size[part]), counts[own] * gain[terms[own]]
+            norm[part] = np.sqrt(np.bincount(who, w * w, len(size[part])))
+            norm[part][norm[part] == 0] = 1.0
+            weight[own] = w / norm[part][who]
         df = np.bincount(terms, minlength=len(gain))
         often = np.argsort(-df, kind="stable")[:DENSE_MOST]
         often = np.sort(often[df[often] * DENSE_SHARE >= max(n, 1)])
